@@ -276,33 +276,36 @@ def xp_ledger(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
 # -------------------------------------------------------------------- snapshot
 
-def user_snapshot(ledger: DataFrame, recent: int = 5) -> DataFrame:
-    """F20 (+F11): latest state per user, as of the user's last logged event.
+def recent_logs(ledger: DataFrame, recent: int = 5) -> DataFrame:
+    """The last ``recent`` logs per user (recent_rank 1 = latest).
 
-    The last-N logs come from a top-N aggregate (``max_by`` over a bounded
-    window of N); no user's full history is collected.
+    No user's whole history is ranked: count events per (user, day), walk the
+    user's days from the latest (a window bounded by the number of days), keep
+    the days that hold the last N, and rank there by each event's position in
+    its day (``n_today``).
     """
-    order = F.struct("ts", "event_id")
-    # Last N logs without ranking a user's whole history: count events per
-    # (user, day), walk the user's days from the latest (a window bounded by the
-    # number of days), keep the days that hold the last N, and rank only there
-    # using each event's position in its day (``n_today``).
     per_day = ledger.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("_cnt"))
     w_back = Window.partitionBy("user_id").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per_day = per_day.withColumn("_later", F.coalesce(F.sum("_cnt").over(w_back), F.lit(0))).where(F.col("_later") < recent)
     tail = ledger.join(per_day, ["user_id", "day"]).withColumn(
-        "_from_end", F.col("_later") + F.col("_cnt") - F.col("n_today") + 1
-    ).where(F.col("_from_end") <= recent)
-    last_logs = tail.groupBy("user_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("ts", "event_id", "activity_type", "duration_minutes", "intensity", "final_xp"))),
-            lambda s: F.struct(
-                s["activity_type"].alias("activity"), s["duration_minutes"].alias("duration"),
-                s["intensity"].alias("intensity"), s["final_xp"].alias("xp"),
-                F.date_format(s["ts"], "yyyy-MM-dd'T'HH:mm:ss").alias("logged_at"),
-            ),
-        ).alias("recent_logs")
+        "recent_rank", (F.col("_later") + F.col("_cnt") - F.col("n_today") + 1).cast("int")
     )
+    return tail.where(F.col("recent_rank") <= recent).select(
+        "user_id", "recent_rank",
+        F.col("activity_type").alias("activity"), F.col("duration_minutes").alias("duration"),
+        "intensity", F.col("final_xp").alias("xp"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("logged_at"),
+    )
+
+
+def user_snapshot(ledger: DataFrame, recent: int | None = 5) -> DataFrame:
+    """F20 (+F11): latest state per user, as of the user's last logged event.
+
+    ``max_by`` is a partial aggregate (one row per user per task before the
+    shuffle). With ``recent`` set, the last logs are attached as an array built
+    from ``recent_logs`` (bounded to N rows per user).
+    """
+    order = F.struct("ts", "event_id")
     latest = ledger.groupBy("user_id").agg(
         F.max_by(F.struct(*[c for c in ledger.columns if c != "user_id"]), order).alias("s"),
         F.count(F.lit(1)).alias("total_activities"),
@@ -328,11 +331,19 @@ def user_snapshot(ledger: DataFrame, recent: int = 5) -> DataFrame:
         s["day"].alias("last_activity_date"),
         s["daily_xp_after"].alias("daily_xp_today"),
         cap.alias("daily_xp_cap"),
-        F.greatest(F.lit(0), cap - s["daily_xp_after"]).alias("daily_xp_remaining"),
+        F.greatest(F.lit(0), cap - s["daily_xp_after"]).cast("int").alias("daily_xp_remaining"),
         (s["daily_xp_after"] >= cap).alias("daily_cap_reached"),
         "total_activities",
     )
-    return snap.join(last_logs, "user_id")
+    if not recent:
+        return snap
+    logs = recent_logs(ledger, recent).groupBy("user_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(-F.col("recent_rank"), F.struct("activity", "duration", "intensity", "xp", "logged_at")))),
+            lambda x: x.getField("col2"),
+        ).alias("recent_logs")
+    )
+    return snap.join(logs, "user_id", "left")
 
 
 # ---------------------------------------------------------- best / preview
@@ -379,11 +390,12 @@ def xp_preview(snapshot: DataFrame, proposals: DataFrame) -> DataFrame:
     raw = raw_xp(F.col("duration_minutes"), imult, rmult, smult)
     rounded = X.half_even_int(raw)
     remaining = F.greatest(F.lit(0), F.col("daily_xp_cap") - F.col("daily_xp_today"))
+    keep = [c for c in proposals.columns if c not in ("user_id", "activity_type", "duration_minutes", "intensity")]
     return x.select(
-        "user_id", "activity_type", "duration_minutes", "intensity",
+        "user_id", *keep, "activity_type", "duration_minutes", "intensity",
         F.least(rounded, remaining).cast("int").alias("projected_xp"),
         imult.alias("intensity_mult"), rmult.alias("relevance_mult"), smult.alias("streak_mult"),
-        F.round(raw, 1).alias("raw_xp"), is_primary.alias("is_primary"),
+        F.bround(raw, 1).alias("raw_xp"), is_primary.alias("is_primary"),
         (rounded > remaining).alias("would_cap"), remaining.cast("int").alias("daily_remaining"),
     )
 
@@ -407,8 +419,8 @@ def switch_builds(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
         "user_id", "mode", F.lower("new_build").alias("new_build"), ok.alias("success"), reason.alias("reason"),
         F.when(archive, F.lower("new_build")).otherwise(F.col("primary_build")).alias("primary_build"),
         F.when(archive, F.lit(K.LEGACY_BONUS_XP).cast("long")).otherwise(F.col("total_xp")).alias("primary_total_xp"),
-        F.when(archive, F.array(F.struct(F.col("primary_build").alias("build"), F.col("total_xp").alias("total_xp"), F.lit(True).alias("is_legacy"))))
-        .otherwise(F.array().cast("array<struct<build:string,total_xp:bigint,is_legacy:boolean>>")).alias("legacy_builds"),
+        F.when(archive, F.col("primary_build")).alias("archived_build"),
+        F.when(archive, F.col("total_xp")).alias("archived_total_xp"),
         F.when(ok & (F.col("mode") == "secondary"), F.lower("new_build")).alias("secondary_build"),
     )
 
@@ -417,3 +429,86 @@ def build_catalogue(spark: SparkSession) -> DataFrame:
     """the seven builds with display name, description and badge ladder."""
     rows = [(i, b, K.BUILD_DISPLAY[b], K.BUILD_DESCRIPTION[b], K.BADGE_NAMES[b]) for i, b in enumerate(K.BUILDS)]
     return spark.createDataFrame(rows, "build_order int, build string, display string, description string, badge_ladder array<string>")
+
+
+# --------------------------------------------------------------------- gamer
+
+def gamer_xp(
+    df: DataFrame,
+    activity="activity_type", duration="duration_minutes", intensity="intensity", streak="current_streak",
+    level="current_level", daily_so_far="daily_xp_so_far", sessions_before="primary_sessions_today",
+    overtime_before="overtime_xp_today",
+) -> DataFrame:
+    """the gamer-build calculator as columns (combo, boss day, speedrun,
+    side-quest 0.4x, overtime pool), from the counters before the session."""
+    a, d = F.col(activity), F.col(duration)
+    prim = relevance_score(a, F.lit("gamer")) >= K.PRIMARY_THRESHOLD
+    rmult = F.when(prim, F.lit(1.0)).otherwise(F.lit(K.GAMER_SIDE_QUEST_MULT))
+    raw = raw_xp(d, intensity_multiplier(intensity), rmult, X.streak_multiplier(streak))
+    rounded = X.half_even_int(raw)
+    base_cap = X.daily_cap_of(level)
+    boss = X.is_boss_day(streak)
+    eff_cap = F.when(boss, base_cap * 2).otherwise(base_cap)
+    so_far = F.col(daily_so_far)
+    rem = F.greatest(F.lit(0), eff_cap - so_far)
+    earned = F.least(rounded, rem)
+    cap_hit = (so_far + earned >= eff_cap)
+    combo = F.when(prim, X.combo_multiplier(F.col(sessions_before) + 1)).otherwise(F.lit(0.0))
+    combo_xp = F.floor(earned * combo).cast("int")
+    speed = F.when(
+        prim & (F.lower(F.col(intensity)) == "intense") & (d <= K.GAMER_SPEEDRUN_MAX_MINUTES), F.lit(K.GAMER_SPEEDRUN_BONUS)
+    ).otherwise(F.lit(0))
+    pool_left = F.greatest(F.lit(0), K.GAMER_OVERTIME_LIMIT - F.col(overtime_before))
+    overtime = F.when(prim & (cap_hit | (so_far >= eff_cap)), F.least(F.greatest(F.lit(0), rounded - rem), pool_left)).otherwise(F.lit(0))
+    bonus = combo_xp + speed + overtime
+    return df.select(
+        "*",
+        earned.cast("int").alias("base_final_xp"),
+        combo.alias("combo_multiplier"),
+        combo_xp.alias("combo_bonus_xp"),
+        boss.alias("is_boss_day"),
+        (boss & (so_far > base_cap)).alias("boss_day_cap_used"),
+        speed.cast("int").alias("speedrun_bonus"),
+        overtime.cast("int").alias("overtime_xp"),
+        (~prim).alias("side_quest_penalty"),
+        bonus.cast("int").alias("gamer_bonus_total"),
+        (earned + bonus).cast("int").alias("gamer_final_xp"),
+        F.greatest(F.lit(0), K.GAMER_OVERTIME_LIMIT - F.col(overtime_before) - overtime).cast("int").alias("overtime_pool_remaining"),
+    )
+
+
+def gamer_sessions(ledger: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """F15 over the log of gamer-build users.
+
+    State before each session comes from the XP ledger (streak, level before
+    the event, XP credited today); the day's counters are running values within
+    (user, day): earlier primary sessions, and overtime already granted, which
+    is ``least(150, sum of earlier primary overflow)``. Running values use the
+    hot-key-safe scan.
+    """
+    g = ledger.where(F.col("build") == "gamer")
+    prim = relevance_score("activity_type", F.lit("gamer")) >= K.PRIMARY_THRESHOLD
+    rmult = F.when(prim, F.lit(1.0)).otherwise(F.lit(K.GAMER_SIDE_QUEST_MULT))
+    rounded = X.half_even_int(raw_xp(F.col("duration_minutes"), F.col("intensity_mult"), rmult, F.col("streak_mult")))
+    level = X.level_of("total_xp_before")
+    eff_cap = F.when(X.is_boss_day("current_streak"), X.daily_cap_of(level) * 2).otherwise(X.daily_cap_of(level))
+    rem = F.greatest(F.lit(0), eff_cap - F.col("daily_xp_before"))
+    g = g.withColumn("_prim", F.when(prim, 1).otherwise(0)).withColumn(
+        "_over", F.when(prim, F.greatest(F.lit(0), rounded - rem)).otherwise(F.lit(0))
+    )
+    g = running_aggregates(
+        g, ["user_id", "day"], ["ts", "event_id"], {"_prim_run": ("_prim", "sum"), "_over_run": ("_over", "sum")}, num_partitions
+    )
+    g = (
+        g.withColumn("current_level", level)
+        .withColumn("daily_xp_so_far", F.col("daily_xp_before"))
+        .withColumn("primary_sessions_today", (F.col("_prim_run") - F.col("_prim")).cast("int"))
+        .withColumn("overtime_xp_today", F.least(F.lit(K.GAMER_OVERTIME_LIMIT), F.col("_over_run") - F.col("_over")).cast("int"))
+    )
+    out = gamer_xp(g)
+    return out.select(
+        "user_id", "event_id", "day", "activity_type", "duration_minutes", "intensity", "current_streak",
+        "current_level", "daily_xp_so_far", "primary_sessions_today", "overtime_xp_today",
+        "base_final_xp", "combo_multiplier", "combo_bonus_xp", "is_boss_day", "boss_day_cap_used", "speedrun_bonus",
+        "overtime_xp", "side_quest_penalty", "gamer_bonus_total", "gamer_final_xp", "overtime_pool_remaining",
+    )

@@ -41,3 +41,50 @@ def q_activity_streaks(spark, sf):
 @register("activity_xp_ledger", SA.ledger_sql())
 def q_activity_xp_ledger(spark, sf):
     return A.xp_ledger(activity_log(spark, sf)).drop("ts")
+
+
+def _ledger(spark, sf):
+    return A.xp_ledger(activity_log(spark, sf))
+
+
+@register("activity_user_snapshot", SA.snapshot_sql())
+def q_activity_user_snapshot(spark, sf):
+    return A.user_snapshot(_ledger(spark, sf), recent=None)
+
+
+@register("activity_recent_logs", SA.recent_logs_sql())
+def q_activity_recent_logs(spark, sf):
+    return A.recent_logs(_ledger(spark, sf), 5)
+
+
+@register("activity_best_activities", SA.best_activities_sql())
+def q_activity_best_activities(spark, sf):
+    return A.best_activities(A.user_snapshot(_ledger(spark, sf), recent=None))
+
+
+@register("activity_xp_preview", SA.preview_sql())
+def q_activity_xp_preview(spark, sf):
+    log = activity_log(spark, sf)
+    snap = A.user_snapshot(A.xp_ledger(log), recent=None)
+    proposals = log.select("user_id", "event_id", "activity_type", "duration_minutes", "intensity")
+    return A.xp_preview(snap, proposals)
+
+
+@register("activity_build_switch", SA.switch_sql())
+def q_activity_build_switch(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.constants import BUILDS
+
+    snap = A.user_snapshot(_ledger(spark, sf), recent=None)
+    builds = F.array(*[F.lit(b) for b in BUILDS])
+    requests = snap.select(
+        "user_id",
+        F.element_at(builds, (F.pmod(F.col("user_id") + 1, F.lit(7)) + 1).cast("int")).alias("new_build"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("archive")).otherwise(F.lit("secondary")).alias("mode"),
+    )
+    return A.switch_builds(snap, requests)
+
+
+@register("activity_gamer_sessions", SA.gamer_sql())
+def q_activity_gamer_sessions(spark, sf):
+    return A.gamer_sessions(_ledger(spark, sf))

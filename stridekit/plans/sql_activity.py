@@ -119,7 +119,7 @@ def streaks_sql() -> str:
     FROM s"""
 
 
-def ledger_sql() -> str:
+def ledger_sql(with_ts: bool = False) -> str:
     t = "f.total"
     return f"""
     WITH RECURSIVE {_common()},
@@ -162,7 +162,7 @@ def ledger_sql() -> str:
                   THEN {badge_name_sql('e2.build', badge_index_sql('f.total'))} END AS badge_earned
       FROM e2 JOIN f ON f.user_id = e2.user_id AND f.n = e2.n
     )
-    SELECT user_id, event_id, day, activity_type, duration_minutes, intensity, build,
+    SELECT user_id, event_id, {"ts, " if with_ts else ""}day, activity_type, duration_minutes, intensity, build,
            CAST(duration_minutes AS DOUBLE) AS base_xp, imult AS intensity_mult, rmult AS relevance_mult,
            smult AS streak_mult, raw_xp, CAST(earned AS INTEGER) AS final_xp,
            rr > greatest(0, cap - d_before) AS was_capped,
@@ -176,3 +176,161 @@ def ledger_sql() -> str:
            CASE WHEN broken AND n_today = 1 THEN 'support_mode'
                 WHEN badge_earned IS NOT NULL OR power_up_name IS NOT NULL THEN 'hype_mode' END AS chatbot_hint
     FROM j"""
+
+
+def _builds_list() -> str:
+    return "[" + ", ".join(f"'{b}'" for b in K.BUILDS) + "]"
+
+
+def next_level_sql(t: str) -> str:
+    nl = f"({level_sql(t)} + 1)"
+    return f"(CASE WHEN {nl} <= 10 THEN ({nl} - 1) * 500 WHEN {nl} <= 20 THEN ({nl} - 10) * 1500 + 5000 ELSE ({nl} - 20) * 3000 + 20000 END)"
+
+
+def snapshot_sql() -> str:
+    th = "[" + ", ".join(str(x) for x in K.BADGE_THRESHOLDS) + "]"
+    idx = badge_index_sql("total_xp_after")
+    cap = cap_sql(level_sql("total_xp_after"))
+    return f"""
+    WITH led AS ({ledger_sql(with_ts=True)}),
+    r AS (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk,
+             count(*) OVER (PARTITION BY user_id) AS cnt
+      FROM led
+    )
+    SELECT user_id, build AS primary_build, total_xp_after AS total_xp,
+           CAST({level_sql('total_xp_after')} AS INTEGER) AS level,
+           coalesce({badge_name_sql('build', idx)}, 'Unranked') AS badge,
+           {badge_name_sql('build', idx + ' + 1')} AS next_badge,
+           CAST(CASE WHEN {idx} + 1 < {len(K.BADGE_THRESHOLDS)} THEN greatest(0, {th}[{idx} + 2] - total_xp_after) END AS INTEGER) AS xp_to_next_badge,
+           CAST({next_level_sql('total_xp_after')} - total_xp_after AS INTEGER) AS xp_to_next_level,
+           {idx} >= {K.LEGENDARY_BADGE_INDEX} AS is_legendary,
+           current_streak, longest_streak, {streak_mult_sql('current_streak')} AS streak_multiplier,
+           shields_remaining, day AS last_activity_date, daily_xp_after AS daily_xp_today,
+           CAST({cap} AS INTEGER) AS daily_xp_cap,
+           CAST(greatest(0, {cap} - daily_xp_after) AS INTEGER) AS daily_xp_remaining,
+           daily_xp_after >= {cap} AS daily_cap_reached, cnt AS total_activities
+    FROM r WHERE rk = 1"""
+
+
+def recent_logs_sql(n: int = 5) -> str:
+    return f"""
+    WITH led AS ({ledger_sql(with_ts=True)})
+    SELECT user_id, recent_rank, activity, duration, intensity, xp, logged_at FROM (
+      SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS recent_rank,
+             activity_type AS activity, duration_minutes AS duration, intensity, final_xp AS xp,
+             strftime(ts, '%Y-%m-%dT%H:%M:%S') AS logged_at
+      FROM led
+    ) WHERE recent_rank <= {n}"""
+
+
+def best_activities_sql(duration: int = 60, top: int = 10) -> str:
+    acts = ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(K.RELEVANCE))
+    return f"""
+    WITH snap AS ({snapshot_sql()}),
+    rel AS ({rel_values()}),
+    cat AS (SELECT * FROM (VALUES {acts}) t(table_order, activity_type)),
+    x AS (
+      SELECT snap.user_id, cat.table_order, cat.activity_type,
+             CAST(least(CAST(round_even(CAST({duration} AS DOUBLE) * CAST(2.0 AS DOUBLE)
+                   * (CASE WHEN coalesce(rel.score, 0.5) >= {K.PRIMARY_THRESHOLD} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END)
+                   * {streak_mult_sql('snap.current_streak')}, 0) AS INTEGER),
+                   greatest(0, snap.daily_xp_cap - snap.daily_xp_today)) AS INTEGER) AS projected_xp
+      FROM snap CROSS JOIN cat
+      LEFT JOIN rel ON rel.activity_type = cat.activity_type AND rel.build = snap.primary_build
+    )
+    SELECT user_id, rank, activity_type, projected_xp FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY projected_xp DESC, table_order) AS INTEGER) AS rank FROM x
+    ) WHERE rank <= {top}"""
+
+
+def preview_sql() -> str:
+    prim = f"coalesce(rel.score, 0.5) >= {K.PRIMARY_THRESHOLD}"
+    rm = f"(CASE WHEN {prim} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END)"
+    raw = f"(CAST(p.duration_minutes AS DOUBLE) * im.mult * {rm} * {streak_mult_sql('snap.current_streak')})"
+    rem = "greatest(0, snap.daily_xp_cap - snap.daily_xp_today)"
+    return f"""
+    WITH snap AS ({snapshot_sql()}),
+    {_dims()},
+    p AS (SELECT user_id, event_id, activity_type, duration_minutes, intensity FROM al)
+    SELECT p.user_id, p.event_id, p.activity_type, p.duration_minutes, p.intensity,
+           CAST(least(CAST(round_even({raw}, 0) AS INTEGER), {rem}) AS INTEGER) AS projected_xp,
+           im.mult AS intensity_mult, {rm} AS relevance_mult, {streak_mult_sql('snap.current_streak')} AS streak_mult,
+           round_even({raw}, 1) AS raw_xp, {prim} AS is_primary,
+           CAST(round_even({raw}, 0) AS INTEGER) > {rem} AS would_cap, CAST({rem} AS INTEGER) AS daily_remaining
+    FROM p JOIN snap ON snap.user_id = p.user_id
+    LEFT JOIN rel ON rel.activity_type = p.activity_type AND rel.build = snap.primary_build
+    LEFT JOIN im ON im.intensity = p.intensity"""
+
+
+def switch_sql() -> str:
+    return f"""
+    WITH snap AS ({snapshot_sql()}),
+    req AS (
+      SELECT user_id, {_builds_list()}[CAST((user_id + 1) % 7 AS INTEGER) + 1] AS new_build,
+             CASE WHEN user_id % 2 = 0 THEN 'archive' ELSE 'secondary' END AS mode
+      FROM snap
+    )
+    SELECT req.user_id, req.mode, lower(req.new_build) AS new_build,
+           (is_legendary AND mode IN ('archive', 'secondary')) AS success,
+           CASE WHEN NOT is_legendary THEN 'Must reach Legendary badge first.' END AS reason,
+           CASE WHEN is_legendary AND mode = 'archive' THEN lower(new_build) ELSE primary_build END AS primary_build,
+           CASE WHEN is_legendary AND mode = 'archive' THEN CAST({K.LEGACY_BONUS_XP} AS BIGINT) ELSE total_xp END AS primary_total_xp,
+           CASE WHEN is_legendary AND mode = 'archive' THEN primary_build END AS archived_build,
+           CASE WHEN is_legendary AND mode = 'archive' THEN total_xp END AS archived_total_xp,
+           CASE WHEN is_legendary AND mode = 'secondary' THEN lower(new_build) END AS secondary_build
+    FROM req JOIN snap ON snap.user_id = req.user_id"""
+
+
+def gamer_sql() -> str:
+    prim = f"coalesce(rel.score, 0.5) >= {K.PRIMARY_THRESHOLD}"
+    lvl = level_sql("led.total_xp_before")
+    boss = f"(led.current_streak > 0 AND led.current_streak % {K.GAMER_BOSS_DAY_INTERVAL} = 0)"
+    base_cap = cap_sql(lvl)
+    combo_next = "(sessions_before + 1)"
+    combo_parts = " ".join(f"WHEN {combo_next} = {k} THEN CAST({v} AS DOUBLE)" for k, v in K.GAMER_COMBO)
+    return f"""
+    WITH led AS ({ledger_sql(with_ts=True)}),
+    rel AS ({rel_values()}),
+    g AS (
+      SELECT led.*, {prim} AS prim, CAST({lvl} AS INTEGER) AS current_level, {boss} AS boss,
+             {base_cap} AS base_cap,
+             CASE WHEN {boss} THEN {base_cap} * 2 ELSE {base_cap} END AS eff_cap,
+             CAST(round_even(CAST(led.duration_minutes AS DOUBLE) * led.intensity_mult
+                  * (CASE WHEN {prim} THEN CAST(1.0 AS DOUBLE) ELSE CAST({K.GAMER_SIDE_QUEST_MULT} AS DOUBLE) END)
+                  * led.streak_mult, 0) AS INTEGER) AS rounded
+      FROM led LEFT JOIN rel ON rel.activity_type = led.activity_type AND rel.build = 'gamer'
+      WHERE led.build = 'gamer'
+    ),
+    g2 AS (
+      SELECT *, greatest(0, eff_cap - daily_xp_before) AS rem,
+             CASE WHEN prim THEN greatest(0, rounded - greatest(0, eff_cap - daily_xp_before)) ELSE 0 END AS over
+      FROM g
+    ),
+    g3 AS (
+      SELECT *,
+             CAST(coalesce(sum(CASE WHEN prim THEN 1 ELSE 0 END) OVER w, 0) AS INTEGER) AS sessions_before,
+             CAST(least({K.GAMER_OVERTIME_LIMIT}, coalesce(sum(over) OVER w, 0)) AS INTEGER) AS ot_before,
+             least(rounded, rem) AS earned
+      FROM g2
+      WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ),
+    g4 AS (
+      SELECT *,
+             CASE WHEN NOT prim THEN CAST(0.0 AS DOUBLE) WHEN {combo_next} <= 1 THEN CAST(0.0 AS DOUBLE) {combo_parts}
+                  ELSE CAST({K.GAMER_COMBO_MAX} AS DOUBLE) END AS combo,
+             CASE WHEN prim AND intensity = 'intense' AND duration_minutes <= {K.GAMER_SPEEDRUN_MAX_MINUTES} THEN {K.GAMER_SPEEDRUN_BONUS} ELSE 0 END AS speed,
+             CASE WHEN prim AND (daily_xp_before + least(rounded, rem) >= eff_cap OR daily_xp_before >= eff_cap)
+                  THEN least(greatest(0, rounded - rem), greatest(0, {K.GAMER_OVERTIME_LIMIT} - ot_before)) ELSE 0 END AS ot
+      FROM g3
+    )
+    SELECT user_id, event_id, day, activity_type, duration_minutes, intensity, current_streak, current_level,
+           daily_xp_before AS daily_xp_so_far, sessions_before AS primary_sessions_today, ot_before AS overtime_xp_today,
+           CAST(earned AS INTEGER) AS base_final_xp, combo AS combo_multiplier,
+           CAST(floor(earned * combo) AS INTEGER) AS combo_bonus_xp, boss AS is_boss_day,
+           (boss AND daily_xp_before > base_cap) AS boss_day_cap_used, CAST(speed AS INTEGER) AS speedrun_bonus,
+           CAST(ot AS INTEGER) AS overtime_xp, NOT prim AS side_quest_penalty,
+           CAST(floor(earned * combo) + speed + ot AS INTEGER) AS gamer_bonus_total,
+           CAST(earned + floor(earned * combo) + speed + ot AS INTEGER) AS gamer_final_xp,
+           CAST(greatest(0, {K.GAMER_OVERTIME_LIMIT} - ot_before - ot) AS INTEGER) AS overtime_pool_remaining
+    FROM g4"""
