@@ -13,8 +13,8 @@ task; a key may hold a third of all rows. Instead:
    partitions. A one-row-per-partition summary gives that carry; it has at
    most ``num_partitions`` rows, so broadcasting it is bounded.
 
-Result: exact running values, two passes over the range-partitioned data (the
-exchange is reused), no group collected anywhere.
+Result: exact running values; the locally scanned rows are checkpointed once
+and read twice (summary, then the carry join); no group is collected anywhere.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import ensure_checkpoint_dir
+
 _PID = "_scan_pid"
 
 
@@ -89,7 +91,12 @@ def running_aggregates(
                     pdf[out] = pdf[out].round().astype("Int64")
             yield pdf
 
-    local = ranged.mapInPandas(local_scan, out_schema)
+    # Materialise the local scan once (reliable checkpoint in the session's
+    # checkpoint folder): the carry summary and the rows must come from the same
+    # range bounds, and re-running a range exchange over shuffled input may
+    # sample different bounds. It also cuts lineage for executor-loss recovery.
+    ensure_checkpoint_dir(spark)
+    local = ranged.mapInPandas(local_scan, out_schema).checkpoint(eager=True)
 
     kstruct = F.struct(*[F.col(k) for k in keys])
     order_struct = F.struct(*[F.col(c) for c in sort_cols])
@@ -132,3 +139,19 @@ def running_aggregates(
         else:
             cols.append(F.col(f.name))
     return joined.select(*cols)
+
+
+def row_numbers(
+    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", num_partitions: int | None = None
+) -> DataFrame:
+    """Exact ``row_number()`` over (partition ``keys``, ``order``) without a
+    single task per key. ``order`` must be total. Empty ``keys`` ranks globally
+    (still split across range partitions)."""
+    tmp_key = None
+    if not keys:
+        tmp_key = "_rn_all"
+        df = df.withColumn(tmp_key, F.lit(0))
+        keys = [tmp_key]
+    res = running_aggregates(df.withColumn("_rn_one", F.lit(1)), keys, order, {out: ("_rn_one", "sum")}, num_partitions)
+    res = res.drop("_rn_one")
+    return res.drop(tmp_key) if tmp_key else res

@@ -88,3 +88,5 @@ def q_activity_build_switch(spark, sf):
 @register("activity_gamer_sessions", SA.gamer_sql())
 def q_activity_gamer_sessions(spark, sf):
     return A.gamer_sessions(_ledger(spark, sf))
+
+from . import corpus_queries  # noqa: E402,F401  (registers on import)
