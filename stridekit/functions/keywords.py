@@ -82,7 +82,10 @@ def count_present(lower_text: Column, keywords: list[str], mode: str = "substrin
     if not keywords:
         return F.lit(0)
     if mode == "word":
-        return F.size(F.filter(_arr([r"\b" + re.escape(k) + r"\b" for k in keywords]), lambda p: lower_text.rlike(p)))
+        total = F.lit(0)
+        for k in keywords:
+            total = total + F.when(lower_text.rlike(r"\b" + re.escape(k) + r"\b"), 1).otherwise(0)
+        return total
     return F.size(F.filter(_arr(keywords), lambda k: F.contains(lower_text, k)))
 
 

@@ -90,3 +90,4 @@ def q_activity_gamer_sessions(spark, sf):
     return A.gamer_sessions(_ledger(spark, sf))
 
 from . import corpus_queries  # noqa: E402,F401  (registers on import)
+from . import dialogue_queries  # noqa: E402,F401
