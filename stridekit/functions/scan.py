@@ -36,8 +36,9 @@ def running_aggregates(
     aggs: dict[str, tuple[str, str]],
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """aggs: {output column: (input column, 'sum' | 'max')}. NULL inputs are
-    skipped like SQL (running SUM of nothing is 0, running MAX of nothing NULL)."""
+    """aggs: {output column: (input column, 'sum' | 'max' | 'lag')}. NULL inputs
+    are skipped like SQL (running SUM of nothing is 0, running MAX of nothing
+    NULL); 'lag' is the previous row's value within the group (NULL on the first)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order]
@@ -48,8 +49,14 @@ def running_aggregates(
     out_types = {}
     for out, (src, how) in aggs.items():
         integral = isinstance(in_types[src], (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
-        out_types[out] = T.LongType() if integral else T.DoubleType()
+        if how == "lag":
+            out_types[out] = in_types[src]
+        else:
+            out_types[out] = T.LongType() if integral else T.DoubleType()
         out_fields.append(T.StructField(out, out_types[out]))
+    has_lag = any(how == "lag" for _, how in aggs.values())
+    if has_lag:
+        out_fields.append(T.StructField("_scan_head", T.BooleanType()))
     out_schema = T.StructType(out_fields)
     agg_items = list(aggs.items())
 
@@ -68,7 +75,18 @@ def running_aggregates(
             gid = kframe.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             first_key = tuple(kframe.iloc[0])
             cont = carry_key is not None and first_key == carry_key
+            head = np.r_[True, gid[1:] != gid[:-1]]
             for out, (src, how) in agg_items:
+                if how == "lag":
+                    # previous row's value within the key group; a batch's first
+                    # group continues from the previous batch's last row
+                    lagged = pdf[src].groupby(gid).shift(1)
+                    if cont:
+                        lagged = lagged.astype(object)
+                        lagged.iloc[0] = carry.get(out)
+                    pdf[out] = lagged
+                    carry[out] = pdf[src].iloc[-1]
+                    continue
                 vals = pd.to_numeric(pdf[src], errors="coerce")
                 g = pd.Series(vals.to_numpy(dtype="float64"), index=pdf.index)
                 if how == "sum":
@@ -84,6 +102,8 @@ def running_aggregates(
                 pdf[out] = run.to_numpy()
                 last = pdf[out].iloc[-1]
                 carry[out] = None if pd.isna(last) else float(last)
+            if has_lag:
+                pdf["_scan_head"] = head & ~(cont & (gid == 0))
             carry_key = tuple(kframe.iloc[-1])
             pdf[_PID] = pid
             for out, t in out_types.items():
@@ -103,7 +123,7 @@ def running_aggregates(
     summary = local.groupBy(_PID).agg(
         F.min(kstruct).alias("_first"),
         F.max(kstruct).alias("_last"),
-        *[F.max_by(F.col(out), order_struct).alias(f"_t_{out}") for out in aggs],
+        *[F.max_by(F.col(out if how != "lag" else src), order_struct).alias(f"_t_{out}") for out, (src, how) in aggs.items()],
     )
     # Carry into partition p: the running value of its first key at the end of
     # the previous non-empty partition, if that partition ended on the same key.
@@ -111,6 +131,9 @@ def running_aggregates(
     by_pid = Window.orderBy(_PID)  # one row per partition: bounded single-task window
     cols = [F.col(_PID), F.col("_first"), F.col("_last")]
     for out, (_, how) in aggs.items():
+        if how == "lag":  # the previous partition's last value, not a running total
+            cols.append(F.col(f"_t_{out}").alias(f"_cum_{out}"))
+            continue
         fn = F.sum if how == "sum" else F.max
         cols.append(fn(F.col(f"_t_{out}")).over(by_last).alias(f"_cum_{out}"))
     carries = summary.select(*cols).select(
@@ -126,12 +149,14 @@ def running_aggregates(
     is_cont = kstruct.eqNullSafe(F.col("_first"))
     cols = []
     for f in out_schema.fields:
-        if f.name == _PID:
+        if f.name in (_PID, "_scan_head"):
             continue
         if f.name in aggs:
             how = aggs[f.name][1]
             c = F.col(f"_c_{f.name}")
-            if how == "sum":
+            if how == "lag":
+                v = F.when(is_cont & F.col("_scan_head"), c).otherwise(F.col(f.name))
+            elif how == "sum":
                 v = F.col(f.name) + F.when(is_cont, F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
             else:
                 v = F.when(is_cont & c.isNotNull(), F.greatest(F.col(f.name), c)).otherwise(F.col(f.name))

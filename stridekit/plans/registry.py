@@ -91,3 +91,4 @@ def q_activity_gamer_sessions(spark, sf):
 
 from . import corpus_queries  # noqa: E402,F401  (registers on import)
 from . import dialogue_queries  # noqa: E402,F401
+from . import anomaly_queries  # noqa: E402,F401
