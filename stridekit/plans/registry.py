@@ -93,3 +93,4 @@ from . import corpus_queries  # noqa: E402,F401  (registers on import)
 from . import dialogue_queries  # noqa: E402,F401
 from . import anomaly_queries  # noqa: E402,F401
 from . import sentiment_queries  # noqa: E402,F401
+from . import streaming_queries  # noqa: E402,F401
