@@ -36,8 +36,16 @@ SYS_CLOSE = "<</SYS>>"
 MARKUP_DROP_Q = ["<s>", "[INST]"]
 MARKUP_DROP_A = ["</s>"]
 
-# Delimited transcript separator.
+# Delimited transcripts and problem/solution templates.
 EOM = "|EOM|"
+EOM_PATTERN = r"\|EOM\|"
+TEACHER_PREFIX = "teacher:"
+MATH_PREFIX = "Math problem: "
+STUDENT_PREFIX = "\n\nStudent: "
+SOLVE_Q = "Can you help me solve this math problem? "
+SOLVE_A = "Sure! Let me walk you through this step by step.\n\n"
+CUSTOMER_MARK = "Customer:"
+AGENT_MARK = "Salesman:"
 # ------------------------------------------------------------ END FIXED VALUES
 
 

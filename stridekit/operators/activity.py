@@ -512,3 +512,27 @@ def gamer_sessions(ledger: DataFrame, num_partitions: int | None = None) -> Data
         "base_final_xp", "combo_multiplier", "combo_bonus_xp", "is_boss_day", "boss_day_cap_used", "speedrun_bonus",
         "overtime_xp", "side_quest_penalty", "gamer_bonus_total", "gamer_final_xp", "overtime_pool_remaining",
     )
+
+
+def calculate_xp(df: DataFrame, activity="activity_type", duration="duration_minutes", intensity="intensity",
+                 build="primary_build", streak="current_streak", level="current_level", so_far="daily_xp_so_far") -> DataFrame:
+    """F7 as columns: the breakdown of one activity given the state before it."""
+    score = relevance_score(activity, build)
+    is_primary = score >= K.PRIMARY_THRESHOLD
+    imult = intensity_multiplier(intensity)
+    rmult = F.when(is_primary, F.lit(K.PRIMARY_MULT)).otherwise(F.lit(K.SECONDARY_MULT))
+    smult = X.streak_multiplier(streak)
+    raw = raw_xp(F.col(duration), imult, rmult, smult)
+    rounded = X.half_even_int(raw)
+    cap = X.daily_cap_of(level)
+    remaining = F.greatest(F.lit(0), cap - F.col(so_far))
+    earned = F.least(rounded, remaining)
+    return df.select(
+        "*",
+        F.col(duration).cast("double").alias("base_xp"), imult.alias("intensity_mult"), rmult.alias("relevance_mult"),
+        smult.alias("streak_mult"), raw.alias("raw_xp"), earned.cast("int").alias("final_xp"),
+        (rounded > remaining).alias("was_capped"), F.col(so_far).cast("int").alias("daily_xp_before"),
+        (F.col(so_far) + earned).cast("int").alias("daily_xp_after"), cap.alias("daily_cap"),
+        (remaining - earned).cast("int").alias("daily_xp_remaining"), is_primary.alias("is_primary"),
+        X.streak_milestone(streak).alias("power_up_name"),
+    )

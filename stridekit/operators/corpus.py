@@ -147,37 +147,51 @@ def post_best_comment(
     )
 
 
-def transcript_pairs(df: DataFrame, id_col: str, transcript: str, problem: str, teacher: str = "teacher") -> DataFrame:
-    """Split a transcript on the EOM marker, drop empty turns, pair each
-    non-teacher turn with a following teacher turn, drop a leading '(tag)', and
-    prefix the problem text to the first pair."""
-    turns = df.select(id_col, problem, F.posexplode(F.split(T.nz(transcript), F.lit(T.EOM), -1)).alias("pos", "raw"))
-    turns = turns.withColumn("raw", T.py_strip("raw")).where(F.col("raw") != "")
-    is_teacher = F.lower(F.col("raw")).startswith(teacher)
-    body = T.py_strip(F.regexp_replace(F.regexp_replace("raw", r"^[^:]*:", ""), r"^\s*\([^)]+\)", ""))
-    turns = turns.withColumn("is_teacher", is_teacher).withColumn("body", body)
-    w = Window.partitionBy(id_col).orderBy("pos")
-    turns = turns.withColumn("_next_teacher", F.lead("is_teacher").over(w)).withColumn("_next_body", F.lead("body").over(w))
-    pairs = turns.where(~F.col("is_teacher") & F.col("_next_teacher"))
-    pairs = pairs.withColumn("_k", F.row_number().over(w))
-    user = F.when(F.col("_k") == 1, F.concat(T.py_strip(problem), F.lit("\n\n"), F.col("body"))).otherwise(F.col("body"))
-    return pairs.select(id_col, F.col("pos").alias("turn_pos"), user.alias("user"), F.col("_next_body").alias("assistant"))
-
-
-def last_exchange(df: DataFrame, id_col: str, blob: str, customer: str = "Customer:", agent: str = "Salesman:") -> DataFrame:
-    """Last customer line and the reply lines after it, from one text blob."""
-    lines = F.filter(F.split(T.nz(blob), "\n"), lambda l: T.py_strip(l) != "")
-    idx = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), F.lit(0),
-        lambda acc, i: F.when(F.trim(F.element_at(lines, i)).startswith(customer), i).otherwise(acc),
+def transcript_pairs(df: DataFrame, id_col: str, transcript: str, problem: str) -> DataFrame:
+    """Turns split on the EOM marker (stripped, empty ones dropped); each
+    non-teacher turn followed by a teacher turn is a pair. Text after the first
+    ':' of each turn; the teacher's leading "(tag)" is removed; empty sides
+    dropped. A pair starting at the first turn gets the problem prefixed."""
+    parts = F.filter(F.transform(F.split(T.nz(transcript), T.EOM_PATTERN, -1), lambda x: T.py_strip(x)), lambda x: x != "")
+    turns = df.select(id_col, problem, F.posexplode(parts).alias("pos", "raw"))
+    is_teacher = F.lower(F.col("raw")).startswith(T.TEACHER_PREFIX)
+    after = F.when(F.instr("raw", ":") > 0, F.expr("substring(raw, instr(raw, ':') + 1)")).otherwise(F.col("raw"))
+    w = Window.partitionBy(id_col).orderBy("pos")  # bounded by the transcript's length
+    t = turns.withColumn("_teacher", is_teacher).withColumn("_body", T.py_strip(after))
+    t = t.withColumn("_next_teacher", F.lead("_teacher").over(w)).withColumn("_next_body", F.lead("_body").over(w))
+    pairs = t.where(~F.col("_teacher") & F.col("_next_teacher"))
+    student = F.col("_body")
+    teacher = T.py_strip(F.regexp_replace(F.col("_next_body"), r"^\([^)]+\)", ""))
+    prob = T.py_strip(T.nz(problem))
+    user = F.when((F.col("pos") == 0) & (prob != ""), F.concat(F.lit(T.MATH_PREFIX), prob, F.lit(T.STUDENT_PREFIX), student)).otherwise(student)
+    return pairs.select(id_col, F.col("pos").alias("turn_pos"), user.alias("user"), teacher.alias("assistant")).where(
+        (F.col("_body") != "") & (F.col("assistant") != "")
+    )
+
+
+def problem_solution_pair(df: DataFrame, question: str, answer: str) -> DataFrame:
+    """Problem -> worked solution with the fixed templates; both required."""
+    q, a = T.py_strip(T.nz(question)), T.py_strip(T.nz(answer))
+    return df.where((q != "") & (a != "")).select(
+        "*", F.concat(F.lit(T.SOLVE_Q), q).alias("user"), F.concat(F.lit(T.SOLVE_A), a).alias("assistant")
+    )
+
+
+def last_exchange(df: DataFrame, id_col: str, blob: str, customer: str = T.CUSTOMER_MARK, agent: str = T.AGENT_MARK,
+                  min_reply: int = 20) -> DataFrame:
+    """From one dialogue blob holding both markers, the reply after the
+    last agent marker (longer than ``min_reply``) and the first line after the
+    last customer marker before it."""
+    raw = T.py_strip(T.nz(blob))
+    last_part = F.element_at(F.split(raw, F.lit(agent), -1), -1)
+    reply = T.py_strip(last_part)
+    block = F.substring(raw, F.lit(1), F.length(raw) - F.length(last_part) - len(agent))
+    cust = T.py_strip(F.element_at(F.split(block, F.lit(customer), -1), -1))
+    first_line = T.py_strip(F.element_at(F.split(cust, F.lit("\n"), -1), 1))
+    has = F.contains(raw, F.lit(agent)) & F.contains(raw, F.lit(customer))
+    return df.where(has).select(id_col, first_line.alias("user"), reply.alias("assistant")).where(
+        (F.col("user") != "") & (F.length("assistant") > min_reply)
     )
-    cust = F.element_at(lines, F.greatest(idx, F.lit(1)))
-    reply = F.array_join(F.slice(lines, idx + 1, F.greatest(F.size(lines) - idx, F.lit(1))), " ")
-    return df.select(
-        id_col,
-        F.when(idx > 0, T.py_strip(F.replace(cust, F.lit(customer), F.lit("")))).alias("user"),
-        F.when(idx > 0, T.py_strip(F.replace(reply, F.lit(agent), F.lit("")))).alias("assistant"),
-    ).where(F.col("user").isNotNull() & (F.col("assistant") != ""))
 
 
 # -------------------------------------------------------------- classification
