@@ -426,3 +426,25 @@ def validate_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """One pass; ``reasons`` lists the failed checks, ``is_valid`` when none."""
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
     return df.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
+
+
+def hash_class(key, classes: list[str] = KW.CLASS_ORDER, seed: int = 42) -> Column:
+    """A deterministic stand-in for a random class: md5(seed:key) -> one
+    of ``classes`` (first 8 hex digits mod the number of classes)."""
+    h = F.conv(F.substring(shuffle_key(seed, key), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), (F.pmod(h, F.lit(len(classes))) + 1).cast("int"))
+
+
+def append_bio(system, bio, sep: str = "\n\n") -> Column:
+    """The optional biography appended to the system text."""
+    s, b = T.py_strip(T.nz(system)), T.py_strip(T.nz(bio))
+    return F.when(b != "", F.concat(s, F.lit(sep), b)).otherwise(s)
+
+
+def training_rows(df: DataFrame, class_col: str, classes: list[str] | None, max_samples: int | None, order: list[str]) -> DataFrame:
+    """Keep the wanted classes and complete rows (user and assistant
+    present), then at most ``max_samples`` rows in ``order``."""
+    d = df.where(F.col("user").isNotNull() & (F.col("user") != "") & F.col("assistant").isNotNull() & (F.col("assistant") != ""))
+    if classes:
+        d = d.where(F.col(class_col).isin(*classes))
+    return first_n_per_group(d, [], order, max_samples) if max_samples else d

@@ -94,3 +94,4 @@ from . import dialogue_queries  # noqa: E402,F401
 from . import anomaly_queries  # noqa: E402,F401
 from . import sentiment_queries  # noqa: E402,F401
 from . import streaming_queries  # noqa: E402,F401
+from . import source_queries  # noqa: E402,F401
