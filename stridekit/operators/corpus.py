@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import keywords as KW
 from ..functions import text as T
-from ..functions.scan import row_numbers
+from ..functions.scan import row_numbers, running_aggregates
 
 
 def shuffle_key(seed: int | str, key) -> Column:
@@ -53,14 +53,12 @@ def adjacent_pairs(
 ) -> DataFrame:
     """A turn and the next turn of the same conversation; with roles
     given, only first_role -> second_role. Reply must be longer than
-    ``min_reply`` after stripping. The window is per conversation (bounded by
-    the conversation's length)."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    x = turns.select(
-        conv, turn, role, text,
-        F.lead(role).over(w).alias("_next_role"),
-        F.lead(text).over(w).alias("_next_text"),
-        F.lead(turn).over(w).alias("_next_turn"),
+    ``min_reply`` after stripping. The next turn is a ``lag`` over descending
+    turn order from the range-partitioned scan, so one very long conversation
+    is still split across tasks."""
+    t = turns.select(conv, turn, role, text).withColumn("_neg_turn", -F.col(turn))
+    x = running_aggregates(
+        t, [conv], ["_neg_turn"], {"_next_role": (role, "lag"), "_next_text": (text, "lag"), "_next_turn": (turn, "lag")}
     ).where(F.col("_next_turn").isNotNull())
     if first_role is not None:
         x = x.where((F.col(role) == first_role) & (F.col("_next_role") == second_role))
@@ -251,7 +249,8 @@ def cascade(df: DataFrame, text: Column, stages: list[tuple[str, list[str], int]
 
 def dedup_first_wins(df: DataFrame, group: list[str], key: Column, order: list[str]) -> DataFrame:
     """Keep the first row (by ``order``) per (group, key). ``min_by`` is a
-    partial aggregate: a hot key is combined map-side, not collected."""
+    partial aggregate: a hot key is combined map-side, not collected. The whole
+    row travels through the shuffle, so project to the needed columns first."""
     cols = [c for c in df.columns]
     d = df.withColumn("_key", key)
     agg = d.groupBy(*group, "_key").agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))

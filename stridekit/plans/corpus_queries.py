@@ -153,7 +153,9 @@ def q_validate(spark, sf):
       FROM cd WHERE "user" <> '' AND assistant <> '') WHERE rn = 1""")
 def q_dedup_first_wins(spark, sf):
     d = classified(spark, sf).where((F.col("user") != "") & (F.col("assistant") != ""))
-    return C.dedup_first_wins(d, ["class"], F.substring("user", 1, 100), ["source", "doc_id"]).select("doc_id", "class")
+    # carry only the key prefix through the shuffle, not the texts
+    d = d.select("doc_id", "class", "source", F.substring("user", 1, 100).alias("_k100"))
+    return C.dedup_first_wins(d, ["class"], F.col("_k100"), ["source", "doc_id"]).select("doc_id", "class")
 
 
 @register("corpus_incremental_dedup", """
@@ -174,8 +176,8 @@ def q_incremental_dedup(spark, sf):
       SELECT doc_id, source, row_number() OVER (PARTITION BY substr(coalesce(text, ''), 1, 120) ORDER BY source, doc_id) AS rn
       FROM documents) WHERE rn = 1""")
 def q_ordered_union(spark, sf):
-    d = docs(spark, sf)
-    return C.ordered_union(d, "source", F.substring("text", 1, 120), ["doc_id"]).select("doc_id", "source")
+    d = docs(spark, sf).select("doc_id", "source", F.substring("text", 1, 120).alias("_k120"))
+    return C.ordered_union(d, "source", F.col("_k120"), ["doc_id"]).select("doc_id", "source")
 
 
 @register("corpus_key_union", """
