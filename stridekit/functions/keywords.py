@@ -79,19 +79,25 @@ def _arr(values) -> Column:
 
 def count_present(lower_text: Column, keywords: list[str], mode: str = "substring") -> Column:
     """Number of keywords present (each counted once; duplicates in the list count again)."""
+    # Plain expressions, no lambda over an array of keywords: a lambda that
+    # refers to the text would re-evaluate it (e.g. lower()) per keyword, while
+    # subexpression elimination shares it across these terms.
     if not keywords:
         return F.lit(0)
-    if mode == "word":
-        total = F.lit(0)
-        for k in keywords:
-            total = total + F.when(lower_text.rlike(r"\b" + re.escape(k) + r"\b"), 1).otherwise(0)
-        return total
-    return F.size(F.filter(_arr(keywords), lambda k: F.contains(lower_text, k)))
+    total = F.lit(0)
+    for k in keywords:
+        hit = lower_text.rlike(r"\b" + re.escape(k) + r"\b") if mode == "word" else F.contains(lower_text, F.lit(k))
+        total = total + F.when(hit, 1).otherwise(0)
+    return total
 
 
 def any_present(lower_text: Column, keywords: list[str]) -> Column:
     """Any keyword is a substring."""
-    return F.exists(_arr(keywords), lambda k: F.contains(lower_text, k))
+    out = None
+    for k in keywords:
+        c = F.contains(lower_text, F.lit(k))
+        out = c if out is None else (out | c)
+    return out if out is not None else F.lit(False)
 
 
 def class_scores(text: Column, table: list[tuple[str, int, str]], mode: str = "substring") -> dict[str, Column]:

@@ -197,9 +197,10 @@ def last_exchange(df: DataFrame, id_col: str, blob: str, customer: str = T.CUSTO
 def classify(df: DataFrame, text: Column, table: list[tuple[str, int, str]], order=KW.CLASS_ORDER,
              min_score: int = KW.MIN_CLASS_SCORE, mode: str = "substring") -> DataFrame:
     """Per-class keyword scores and the best class (NULL below the minimum)."""
-    scores = KW.class_scores(text, table, mode)
+    base = df.withColumn("_text_for_scores", text)
+    scores = KW.class_scores(F.col("_text_for_scores"), table, mode)
     cols = [s.alias(f"score_{c}") for c, s in scores.items()]
-    out = df.select("*", *cols)
+    out = base.select("*", *cols).drop("_text_for_scores")
     named = {c: F.col(f"score_{c}") for c in scores}
     return out.withColumn("best_class", KW.best_class(named, order, min_score))
 
