@@ -88,10 +88,3 @@ def q_activity_build_switch(spark, sf):
 @register("activity_gamer_sessions", SA.gamer_sql())
 def q_activity_gamer_sessions(spark, sf):
     return A.gamer_sessions(_ledger(spark, sf))
-
-from . import corpus_queries  # noqa: E402,F401  (registers on import)
-from . import dialogue_queries  # noqa: E402,F401
-from . import anomaly_queries  # noqa: E402,F401
-from . import sentiment_queries  # noqa: E402,F401
-from . import streaming_queries  # noqa: E402,F401
-from . import source_queries  # noqa: E402,F401
