@@ -69,6 +69,14 @@ def fixture():
             ts = base + dt.timedelta(days=d, minutes=37 * k)
             rows.append((1, eid, ts, ts.date(), ["gym_session", "reading", "running"][k % 3], 30 + 7 * k, ["intense", "moderate", "light"][k % 3], "strength"))
             eid += 1
+    # hostile rows: unknown activity, identical timestamps (ordered by event id), a year change
+    same = dt.datetime(2024, 3, 1, 9)
+    for k in range(3):
+        rows.append((7, eid, same, same.date(), "unicycling" if k == 0 else "gym_session", 45, "intense", "strength"))
+        eid += 1
+    for d in (dt.datetime(2024, 12, 31, 8), dt.datetime(2025, 1, 1, 8), dt.datetime(2025, 1, 3, 8)):
+        rows.append((7, eid, d, d.date(), "reading", 200, "moderate", "intelligence"))
+        eid += 1
     for u in range(2, 6):
         for d in range(0, 60, 3):
             ts = base + dt.timedelta(days=d, hours=u)
