@@ -339,8 +339,8 @@ def q_growth_report(spark, sf):
     SELECT doc_id, length(coalesce(text, '')) AS n_chars, 'documents' AS provenance FROM documents
     UNION ALL SELECT item_id AS doc_id, length(coalesce(text, '')) AS n_chars, 'benchmark' AS provenance FROM benchmark""")
 def q_provenance_union(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.length("text").alias("n_chars"))
-    b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.length(T.nz("text")).alias("n_chars"))
+    d = docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.length(T.nz("text")).cast("long").alias("n_chars"))
     return C.union_with_provenance({"documents": d, "benchmark": b})
 
 

@@ -104,7 +104,7 @@ def _posts_comments(spark, sf):
     )
     comments = c.where(F.col("role") == "assistant").select(
         F.col("conv_id").alias("post_id"), F.col("turn").alias("pos"), F.col("text").alias("body"),
-        F.size(F.split(T.nz("text"), "\n")).alias("score"),
+        F.size(F.split(T.nz("text"), "\n")).cast("long").alias("score"),
     )
     return posts, comments
 

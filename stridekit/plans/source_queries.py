@@ -56,8 +56,8 @@ def q_feature_csv(spark, sf):
 def q_registry(spark, sf):
     """Chosen sources in order, an unknown name skipped, union by name."""
     builders = {
-        "documents": lambda: read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars")),
-        "benchmark": lambda: read_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars")),
+        "documents": lambda: read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")),
+        "benchmark": lambda: read_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")),
     }
     return FL.source_registry(builders, ["documents", "no_such_source", "benchmark"])
 
