@@ -15,6 +15,8 @@ task; a key may hold a third of all rows. Instead:
 
 Result: exact running values; the locally scanned rows are checkpointed once
 and read twice (summary, then the carry join); no group is collected anywhere.
+When the largest group is small enough (measured first), a plain window gives
+the same values in the JVM and the scan is skipped.
 """
 
 from __future__ import annotations
@@ -28,6 +30,38 @@ from ..session import ensure_checkpoint_dir
 
 _PID = "_scan_pid"
 
+# Groups up to this many rows use a plain window (one task per group, spilling
+# as needed); larger ones use the range-partitioned scan. Set
+# ``spark.stridekit.scan.maxGroupRows`` (0 forces the scan).
+DEFAULT_MAX_GROUP_ROWS = 5_000_000
+
+
+def _limit(spark) -> int:
+    v = spark.conf.get("spark.stridekit.scan.maxGroupRows", None)
+    return DEFAULT_MAX_GROUP_ROWS if v is None else int(v)
+
+
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest group: one partial aggregate, a bounded scalar."""
+    if not keys:
+        return int(df.agg(F.count(F.lit(1))).first()[0] or 0)
+    return int(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+
+
+def _window_aggregates(df: DataFrame, keys, order, aggs, out_types) -> DataFrame:
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    cols = []
+    for out, (src, how) in aggs.items():
+        if how == "sum":
+            c = F.coalesce(F.sum(src).over(run), F.lit(0))
+        elif how == "max":
+            c = F.max(src).over(run)
+        else:
+            c = F.lag(src).over(w)
+        cols.append(c.cast(out_types[out]).alias(out))
+    return df.select("*", *cols)
+
 
 def running_aggregates(
     df: DataFrame,
@@ -35,16 +69,28 @@ def running_aggregates(
     order: list[str],
     aggs: dict[str, tuple[str, str]],
     num_partitions: int | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """aggs: {output column: (input column, 'sum' | 'max' | 'lag')}. NULL inputs
     are skipped like SQL (running SUM of nothing is 0, running MAX of nothing
-    NULL); 'lag' is the previous row's value within the group (NULL on the first)."""
+    NULL); 'lag' is the previous row's value within the group (NULL on the first).
+
+    The largest group is measured first; when it is within the limit a window
+    computes the same values in the JVM, otherwise the scan below is used."""
     spark = df.sparkSession
+    in_types = {f.name: f.dataType for f in df.schema.fields}
+    limit = _limit(spark) if max_group_rows is None else max_group_rows
+    if limit > 0 and _largest_group(df, keys) <= limit:
+        types = {}
+        for out, (src, how) in aggs.items():
+            integral = isinstance(in_types[src], (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+            types[out] = in_types[src] if how == "lag" else (T.LongType() if integral else T.DoubleType())
+        return _window_aggregates(df, keys, order, aggs, types)
+
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order]
     ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
 
-    in_types = {f.name: f.dataType for f in ranged.schema.fields}
     out_fields = list(ranged.schema.fields) + [T.StructField(_PID, T.IntegerType())]
     out_types = {}
     for out, (src, how) in aggs.items():
@@ -167,7 +213,8 @@ def running_aggregates(
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", num_partitions: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", num_partitions: int | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number()`` over (partition ``keys``, ``order``) without a
     single task per key. ``order`` must be total. Empty ``keys`` ranks globally
@@ -177,6 +224,7 @@ def row_numbers(
         tmp_key = "_rn_all"
         df = df.withColumn(tmp_key, F.lit(0))
         keys = [tmp_key]
-    res = running_aggregates(df.withColumn("_rn_one", F.lit(1)), keys, order, {out: ("_rn_one", "sum")}, num_partitions)
+    res = running_aggregates(df.withColumn("_rn_one", F.lit(1)), keys, order, {out: ("_rn_one", "sum")}, num_partitions,
+                             max_group_rows)
     res = res.drop("_rn_one")
     return res.drop(tmp_key) if tmp_key else res

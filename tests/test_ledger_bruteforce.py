@@ -85,7 +85,12 @@ def fixture():
     return rows
 
 
-def test_ledger_matches_sequential_fold(spark):
+import pytest
+
+
+@pytest.mark.parametrize("limit", ["0", "5000000"])  # forced range scan, then plain windows
+def test_ledger_matches_sequential_fold(spark, limit):
+    spark.conf.set("spark.stridekit.scan.maxGroupRows", limit)
     rows = fixture()
     df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, day date, activity_type string, "
                                      "duration_minutes int, intensity string, build string")
@@ -95,6 +100,7 @@ def test_ledger_matches_sequential_fold(spark):
     assert got == want
     caps = {v[1] for k, v in want.items()}
     assert {600, 800, 1000} <= caps  # both boundaries are crossed
+    spark.conf.unset("spark.stridekit.scan.maxGroupRows")
 
 
 def test_daily_credit_never_exceeds_cap(spark):

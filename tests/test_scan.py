@@ -15,7 +15,8 @@ def test_running_aggregates_hot_key(spark):
     rows = [(0 if random.random() < 0.45 else random.randint(1, 40), i,
              random.randint(0, 9) if random.random() > 0.05 else None, random.choice(["a", "b", None])) for i in range(15000)]
     df = spark.createDataFrame(rows, "k int, o long, v int, s string")
-    r = running_aggregates(df, ["k"], ["o"], {"rs": ("v", "sum"), "rm": ("v", "max"), "lg": ("s", "lag")}, num_partitions=12)
+    r = running_aggregates(df, ["k"], ["o"], {"rs": ("v", "sum"), "rm": ("v", "max"), "lg": ("s", "lag")},
+                           num_partitions=12, max_group_rows=0)
     w = W.partitionBy("k").orderBy("o")
     run = w.rowsBetween(W.unboundedPreceding, 0)
     ref = df.select("k", "o", F.coalesce(F.sum("v").over(run), F.lit(0)).alias("rs2"), F.max("v").over(run).alias("rm2"),
@@ -29,6 +30,17 @@ def test_running_aggregates_hot_key(spark):
 
 def test_row_numbers_global(spark):
     df = spark.range(5000).withColumn("h", F.md5(F.col("id").cast("string")))
-    r = row_numbers(df, [], ["h", "id"], "rn", num_partitions=7)
+    r = row_numbers(df, [], ["h", "id"], "rn", num_partitions=7, max_group_rows=0)
     ref = df.select("id", F.row_number().over(W.orderBy("h", "id")).alias("rn2"))
     assert r.join(ref, "id").where("rn <> rn2").count() == 0
+
+
+def test_window_path_matches_scan_path(spark):
+    random.seed(3)
+    rows = [(random.randint(0, 5), i, random.randint(0, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, o long, v int")
+    aggs = {"rs": ("v", "sum"), "lg": ("v", "lag")}
+    a = running_aggregates(df, ["k"], ["o"], aggs, num_partitions=6, max_group_rows=0)
+    b = running_aggregates(df, ["k"], ["o"], aggs, max_group_rows=10**9)
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
