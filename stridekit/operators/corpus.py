@@ -362,22 +362,27 @@ def downsample(df: DataFrame, label: str, key: str, cap: int, labels: list[str],
     return first_n_per_group(d, [label], ["_h", key], cap).drop("_h")
 
 
+OVERSAMPLE_BROADCAST_ROWS = 1_000_000  # minority rows broadcast below this (checked count)
+
+
 def oversample(df: DataFrame, label: str, cls: str, key: str, frac: float = 0.12, seed: int = 42) -> DataFrame:
     """Add draws with replacement from class ``cls`` until it has
     ``int(total*frac)`` rows (total before adding); no-op if it has enough.
     Draw i picks the row of rank ``md5_number(seed:i) mod n_cls + 1`` (the
-    first 15 hex digits of the md5 as an integer)."""
+    first 15 hex digits of the md5 as an integer). The draws are a distributed
+    ``range``; the ranked class rows are broadcast only under a checked size."""
     spark = df.sparkSession
-    cnt = df.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col(label) == cls, 1)).alias("n_cls"))
-    need = cnt.select(
-        (F.floor(F.col("total") * F.lit(frac)) - F.col("n_cls")).alias("need"), "n_cls"
-    ).where((F.col("need") > 0) & (F.col("n_cls") > 0))
-    draws = need.select("n_cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("draw"))
-    h = F.conv(F.substring(shuffle_key(seed, F.col("draw")), 1, 15), 16, 10).cast("long")
-    draws = draws.select("draw", (F.pmod(h, F.col("n_cls")) + 1).alias("_rn"))
+    c = df.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col(label) == cls, 1)).alias("n_cls")).first()
+    total, n_cls = int(c["total"]), int(c["n_cls"])
+    need = int(total * frac) - n_cls
+    if need <= 0 or n_cls == 0:
+        return df
+    draw = F.col("id")
+    h = F.conv(F.substring(shuffle_key(seed, draw), 1, 15), 16, 10).cast("long")
+    draws = spark.range(0, need).select((F.pmod(h, F.lit(n_cls)) + 1).alias("_rn"))
     ranked = row_numbers(df.where(F.col(label) == cls), [], [key], "_rn")
-    extra = ranked.join(draws, "_rn").drop("_rn", "draw")
-    _ = spark
+    side = F.broadcast(ranked) if n_cls <= OVERSAMPLE_BROADCAST_ROWS else ranked
+    extra = draws.join(side, "_rn").drop("_rn")
     return df.unionByName(extra)
 
 
