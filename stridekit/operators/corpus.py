@@ -453,3 +453,32 @@ def training_rows(df: DataFrame, class_col: str, classes: list[str] | None, max_
     if classes:
         d = d.where(F.col(class_col).isin(*classes))
     return first_n_per_group(d, [], order, max_samples) if max_samples else d
+
+
+def sequential_dedup_quota(
+    df: DataFrame, source_col: str, sources: list[str], key: Column, class_col: str, cap: int, order: list[str],
+) -> DataFrame:
+    """E3 x E4 in their sequential form: sources are taken in the given order;
+    within a source a row is skipped if an earlier source already accepted its
+    key or an earlier row of this source holds the key, and then at most
+    ``cap`` rows per class are accepted. A row turned away by a full quota
+    does not claim its key, so a later source may still take it (first-wins
+    dedup runs only among rows of the same source).
+
+    ``sources`` is a parameter (the collectors' order), so the loop composes a
+    plan per source; accepted keys are checkpointed each step."""
+    d = df.withColumn("_key", key)
+    accepted = None
+    keys = None
+    for src in sources:
+        part = d.where(F.col(source_col) == src)
+        if keys is not None:
+            part = part.join(keys, "_key", "left_anti")
+        first = dedup_first_wins(part, [], F.col("_key"), order)
+        take = quota(first, [class_col], order, cap)
+        accepted = take if accepted is None else accepted.unionByName(take)
+        new_keys = take.select("_key")
+        keys = (new_keys if keys is None else keys.unionByName(new_keys)).checkpoint(eager=True)
+    if accepted is None:
+        return df.limit(0)
+    return accepted.drop("_key")

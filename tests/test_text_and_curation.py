@@ -101,3 +101,25 @@ def test_lexicon_duplicate_counts_twice(spark):
     df = spark.createDataFrame([("i want to stop",)], "t string")
     s, m = KW.lexicon_hits(F.col("t"))
     assert df.select(s.alias("s")).first().s == 2
+
+
+def test_sequential_dedup_quota_matches_row_by_row(spark):
+    import random
+
+    random.seed(5)
+    sources = ["s1", "s2", "s3"]
+    rows = [(i, random.choice(sources), random.choice("ABCDEFGH"), random.choice(["x", "y"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_no int, source string, k string, cls string")
+    got = sorted(r.row_no for r in C.sequential_dedup_quota(df, "source", sources, F.col("k"), "cls", 3, ["row_no"]).collect())
+    want, seen = [], set()
+    for s in sources:  # the rule, source by source, row by row
+        counts, seen_here = {}, set()
+        for row_no, src, k, cls in sorted(r for r in rows if r[1] == s):
+            if k in seen or k in seen_here:
+                continue
+            seen_here.add(k)  # first row of a key in this source decides it
+            if counts.get(cls, 0) < 3:
+                counts[cls] = counts.get(cls, 0) + 1
+                want.append(row_no)
+        seen |= {k for row_no, src, k, cls in rows if row_no in want}
+    assert got == sorted(want)
