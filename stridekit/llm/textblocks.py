@@ -175,3 +175,20 @@ def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, x)
     at[at == len(keys)] = 0
     return at, keys[at] == x
+
+
+def hash_unit(*cols: str):
+    """A uniform value in [0, 1) that depends on the columns' values alone."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
+
+
+def bounded_sample(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` rows with the smallest hash of ``key`` (all rows, if there are no more).
+
+    A count sets a hash limit that leaves about 2n + 100 rows, so that no task has to order more than that.
+    """
+    total = df.count()
+    h = hash_unit(key)
+    if total > 2 * n + 100:
+        df = df.where(h < (2.0 * n + 100) / total)
+    return df.orderBy(h, key).limit(n)
