@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontam, neardup, sharding
+from . import decontam, langid, neardup, quality, sharding
+from .textblocks import with_crc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 N_SHARDS = 40
@@ -66,3 +67,17 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = com
 @query("op2_minhash_near_dedup", OP2_SQL)
 def op2(spark, sf):
     return neardup.near_duplicates(read_table(spark, sf, "documents"))
+
+
+@query("op1_language_id")
+def op1(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.train(langid.training_rows(docs))
+    return langid.identify(with_crc(docs.select("doc_id", "text"), 5, 0), model).drop("text")
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.training_labels(read_table(spark, sf, "labels")))
+    return quality.score(with_crc(docs, 3, 1), model).drop("text")
