@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontam, langid, neardup, quality, sharding
+from . import decontam, langid, lm, neardup, quality, sharding
 from .textblocks import with_crc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -81,3 +81,8 @@ def op3(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.training_labels(read_table(spark, sf, "labels")))
     return quality.score(with_crc(docs, 3, 1), model).drop("text")
+
+
+@query("op6_lm_scoring")
+def op6(spark, sf):
+    return lm.score_documents(read_table(spark, sf, "documents"))
