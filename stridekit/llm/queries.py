@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontam, langid, lm, neardup, quality, sharding
+from . import decontam, langid, licenses, lm, neardup, pieces, quality, sharding, simhash, urls
 from .textblocks import with_crc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -86,3 +86,23 @@ def op3(spark, sf):
 @query("op6_lm_scoring")
 def op6(spark, sf):
     return lm.score_documents(read_table(spark, sf, "documents"))
+
+
+@query("op4_simhash_fingerprints")
+def op4(spark, sf):
+    return simhash.with_near_counts(simhash.fingerprint_digest(read_table(spark, sf, "documents")))
+
+
+@query("op5_license_scan")
+def op5(spark, sf):
+    return licenses.scan_documents(read_table(spark, sf, "documents"))
+
+
+@query("op7_url_filter")
+def op7(spark, sf):
+    return urls.filter_urls(read_table(spark, sf, "pages"))
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf):
+    return pieces.encode(read_table(spark, sf, "documents").select("doc_id", "text")).drop("text")
