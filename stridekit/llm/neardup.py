@@ -10,8 +10,10 @@
    with a common prefix of at least ``MIN_DEPTH``: where few nodes share the
    prefix these are all of them, in dense regions they are those with the longest
    common prefix, so the depth adapts to the region. Partition edges are seamed.
+   The window bounds no result by itself: with 24 orders a text has some 400
+   places for partners, and a text with more links than that is reached by many.
 4. A candidate goes on if its sketches agree like sets of that similarity could
-   (over five standard deviations of room) and its set sizes allow the threshold.
+   (4.75 standard deviations of room) and its set sizes allow the threshold.
 5. Candidates are confirmed on the full sets: first each node's nearest
    neighbours, then those of the rest whose ends are still in different
    components. Components come from alternating star rounds.
@@ -45,11 +47,11 @@ from .textblocks import NON_SPACE, blocks, bounded_batches, grams, mix, text_buf
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
 TREES = 24
-DEPTH = 6
+DEPTH = 8
 MIN_DEPTH = 2
-WINDOW = 32
+WINDOW = 8
 SKETCH_BITS = 128
-NEAREST = 2
+NEAREST = 1
 _NULL_IDS = 1 << 62  # nodes without a doc_id are numbered from here
 
 
@@ -137,16 +139,17 @@ def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.uint32).reshape(m, TREES, DEPTH).astype(np.uint64)
         tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         key = mix((lab[:, :, 0] << np.uint64(32) | lab[:, :, 1]) ^ mix(tree)[None, :])
-        r1 = lab[:, :, 2] << np.uint64(32) | lab[:, :, 3]
-        r2 = lab[:, :, 4] << np.uint64(32) | lab[:, :, 5]
+        lab >>= np.uint64(11)  # the deeper values go three to a column, 21 bits each
+        r1 = lab[:, :, 2] << np.uint64(42) | lab[:, :, 3] << np.uint64(21) | lab[:, :, 4]
+        r2 = lab[:, :, 5] << np.uint64(42) | lab[:, :, 6] << np.uint64(21) | lab[:, :, 7]
         same = [np.repeat(batch.column(c).to_numpy(), TREES) for c in ("nid", "n", "s1", "s2")]
         yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1).view(np.int64)) for x in (key, r1, r2)] + [pa.array(x) for x in same], names=_ROW)
 
 
 def _least_agreement(percent: int) -> int:
-    """Sketch bits that sets of the threshold's similarity agree on, less 5.3 standard deviations."""
+    """Sketch bits that sets of the threshold's similarity agree on, less 4.75 standard deviations."""
     p = (1 + percent / 100) / 2
-    return int(SKETCH_BITS * p - 5.3 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+    return int(SKETCH_BITS * p - 4.75 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
 def _neighbours(rows: np.ndarray, new: int, percent: int, part: np.ndarray | None = None) -> np.ndarray:
