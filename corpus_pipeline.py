@@ -23,13 +23,13 @@ from stridekit.sources.tables import read_table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised (the operator's calibrated rejection drops the rest)."""
     model = langid.train(langid.training_rows(docs))
-    return langid.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return langid.drop_rejected(docs, model)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality trees score 0.5 or more."""
     model = quality.train(docs, quality.training_labels(read_table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .textblocks import ALNUM, LOWER, blocks, bounded_batches, find, grams, text_buffer, words
+from .textblocks import ALNUM, LOWER, blocks, bounded_batches, find, fresh, grams, text_buffer, without, words
 
 NGRAM = 10
 MAX_BROADCAST_NGRAMS = 2_000_000
@@ -104,8 +104,9 @@ def _merge(found: list) -> list[dict]:
 
 
 def scan_documents(docs: DataFrame, bench: DataFrame, n: int = NGRAM, max_broadcast: int = MAX_BROADCAST_NGRAMS) -> DataFrame:
-    """Every row of ``docs`` with ``n_words`` and ``spans`` added."""
+    """Every row of ``docs`` with ``n_words`` and ``spans`` added (columns of these names are replaced)."""
     spark = docs.sparkSession
+    docs = without(docs, "n_words", "spans")
     ensure_checkpoint_dir(spark)
     bounded_batches(spark)
     tests = benchmark_ngrams(bench, n).checkpoint()
@@ -128,12 +129,13 @@ def scan_documents(docs: DataFrame, bench: DataFrame, n: int = NGRAM, max_broadc
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, n_words long, spans {_SPANS}"
     if passes == 1:
         return docs.mapInArrow(_scanner(block(0), fields), schema)
-    kept = docs.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    row = fresh(docs, "_row")
+    kept = docs.withColumn(row, F.monotonically_increasing_id()).checkpoint()
     found = None
     for k in range(passes):
-        one = kept.select("_row", "text").mapInArrow(_scanner(block(k), ["_row"]), f"_row long, n_words long, spans {_SPANS}")
+        one = kept.select(row, "text").mapInArrow(_scanner(block(k), [row]), f"`{row}` long, n_words long, spans {_SPANS}")
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = found.groupBy(row).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def step(acc, x):
         last = F.element_at(acc, -1)
@@ -145,7 +147,7 @@ def scan_documents(docs: DataFrame, bench: DataFrame, n: int = NGRAM, max_broadc
         return F.when(touch, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
     merged = merged.withColumn("spans", F.aggregate("spans", F.lit([]).cast(_SPANS), step))
-    return kept.join(merged, "_row").drop("_row")
+    return kept.join(merged, row).drop(row)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = NGRAM, max_broadcast: int = MAX_BROADCAST_NGRAMS) -> DataFrame:
@@ -167,20 +169,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = NGRAM, action: str
     """
     if action not in ("documents", "spans"):
         raise ValueError(action)
-    rows = scan_documents(docs, bench, n, max_broadcast)
+    # the found spans travel under a name of their own, so that every column of docs stays as it is
+    spans, names = fresh(docs, "_hit_spans"), docs.columns
+    taken = {c: fresh(docs, f"_kept_{c}") for c in names if c.lower() in ("n_words", "spans")}
+    rows = scan_documents(docs.withColumnsRenamed(taken), bench, n, max_broadcast).withColumnRenamed("spans", spans).drop("n_words")
+    rows = rows.withColumnsRenamed({v: k for k, v in taken.items()})
     if action == "documents":
-        return rows.where(F.size("spans") == 0).select(*docs.columns)
-    names = docs.columns
+        return rows.where(F.size(spans) == 0).select(*names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
+            for i, hits in enumerate(batch.column(spans).to_pylist()):
+                if hits:
                     b, o = text_buffer(pa.array([texts[i]]))
                     _, _, s, e = words(b, o, ALNUM, spans=True)
                     raw, out, at = b.tobytes(), [], 0
-                    for x in spans:
+                    for x in hits:
                         out.append(raw[at : s[x["first"]]])
                         at = int(e[x["past"] - 1])
                     texts[i] = b"".join([*out, raw[at:]]).decode("utf-8", "replace")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textblocks import blocks, bounded_batches, find, hash_unit, mix, with_crc
+from .textblocks import blocks, bounded_batches, find, hash_unit, mix, with_crc, without
 
 ORDER = 5
 ROWS_PER_LANG = 1500
@@ -52,7 +52,9 @@ _BLOCK = 1 << 19
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
     t = np.zeros(0x110000, bool)
-    t[[i for i in range(0x110000) if chr(i).isalpha()]] = True
+    for i in range(0x110000):
+        if chr(i).isalpha():
+            t[i] = True
     return t
 
 
@@ -93,7 +95,9 @@ def _ngrams(ids: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _count(order: int):
+def _count(order: int, langs: list[str]):
+    where = {x: i for i, x in enumerate(langs)}
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list] = {}
         for batch in batches:
@@ -109,7 +113,7 @@ def _count(order: int):
                 u, at = np.unique(np.concatenate([p[k][0] for p in parts]), return_inverse=True)
                 c = np.bincount(at, weights=np.concatenate([p[k][1] for p in parts])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), k + 1, np.int32)), pa.array(u.view(np.int64)), pa.array(c)],
+                    [pa.array(np.full(len(u), where[lang], np.int32)), pa.array(np.full(len(u), k + 1, np.int32)), pa.array(u.view(np.int64)), pa.array(c)],
                     names=["lang", "k", "gram", "c"],
                 )
 
@@ -215,13 +219,10 @@ class Model:
         self.cut = max(MIN_CUT, 1.5 * float(np.concatenate(z).max())) if z else np.inf
 
 
-def fit(counts: pd.DataFrame, order: int = ORDER) -> Model:
-    """Interpolated Kneser-Ney from the counts (lang, k, gram, c) of all orders."""
-    langs = sorted(counts["lang"].unique())
+def fit(counts: pd.DataFrame, langs: list[str], order: int = ORDER) -> Model:
+    """Interpolated Kneser-Ney from the counts (lang: place in ``langs``, k, gram, c) of all orders."""
     m, width = Model(langs, order), len(langs)
-    where = {x: i for i, x in enumerate(langs)}
-    lang = counts["lang"].map(where).to_numpy() if len(counts) else np.zeros(0, int)
-    k_all, g_all, c_all = (counts[c].to_numpy() for c in ("k", "gram", "c"))
+    lang, k_all, g_all, c_all = (counts[c].to_numpy() for c in ("lang", "k", "gram", "c"))
     mask = lambda k: np.uint64((1 << (_BITS * k)) - 1)
     raw = []
     for k in range(1, order + 1):
@@ -269,22 +270,22 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDE
     bounded_batches(docs.sparkSession)
     ids = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id", hash_unit("doc_id").alias("h"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("rows"))
-    n_langs = sizes.count()
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
     # a hash limit leaves about twice the wanted rows of each language to be ranked
     pick = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = ids.join(sizes, "lang").where(F.col("h") * F.col("rows") < 2 * rows_per_lang + 100)
     ids = ids.withColumn("rank", F.row_number().over(pick)).where(F.col("rank") <= rows_per_lang)
     ids = ids.groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
-    if n_langs * rows_per_lang <= MAX_BROADCAST_ROWS:
+    if len(langs) * rows_per_lang <= MAX_BROADCAST_ROWS:
         ids = F.broadcast(ids)
     sample = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
     sample = sample.where("text IS NOT NULL").withColumn("calibrate", F.col("rank") % CALIBRATE_EVERY == 0).persist()
     counts = (
-        sample.where(~F.col("calibrate")).select("lang", "text").mapInArrow(_count(order), "lang string, k int, gram long, c long")
+        sample.where(~F.col("calibrate")).select("lang", "text").mapInArrow(_count(order, langs), "lang int, k int, gram long, c long")
         .groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")).toPandas()
     )
-    m = fit(counts, order)
-    held = sample.where("calibrate").where(F.col("lang").isin(m.langs or [""])).select("lang", "text").toPandas()
+    m = fit(counts, langs, order)
+    held = sample.where("calibrate").select("lang", "text").toPandas()
     m.calibrate(held["text"].tolist(), held["lang"].tolist())
     sample.unpersist()
     return m
@@ -294,6 +295,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy and rejected added; reads only ``text``."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    docs = without(docs, "lang_pred", "score", "cross_entropy", "rejected")
     names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +309,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(scan, f"{fields}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text the model does not reject."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rejected = shared.value.judge([t or "" for t in batch.column("text").to_pylist()])[3]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """The rows that the query and the pipeline learn from: crc32(doc_id) mod 5 is not 0."""
     return with_crc(docs.select("doc_id", "lang", "text"), 5, 0).where(~F.col("held_out")).drop("held_out")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import ALNUM, LOWER, blocks, bounded_batches, text_buffer
+from .textblocks import ALNUM, LOWER, blocks, bounded_batches, text_buffer, without
 
 # The base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -232,6 +232,7 @@ _FOUND_SQL = "array<struct<label:string,kind:string,priority:int,first:long,past
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with n_words, base (all places of base phrases) and detections (those that are not suppressed)."""
     bounded_batches(docs.sparkSession)
+    docs = without(docs, "n_words", "base", "detections")
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .components import connected_components
-from .textblocks import NON_SPACE, blocks, bounded_batches, grams, mix, text_buffer, words
+from .textblocks import NON_SPACE, blocks, bounded_batches, fresh, grams, mix, text_buffer, words
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
@@ -305,8 +305,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """One row of each near-duplicate class: the row of its smallest doc_id (of repeated rows of that id, one)."""
+    """One row of each near-duplicate class: the row of its smallest doc_id (of repeated rows of that id, one).
+
+    Rows without a doc_id cannot be told apart: of classes that have no other rows, one row stays in all.
+    """
     kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    rows, nth = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi"), fresh(docs, "_nth")
     one = Window.partitionBy("doc_id").orderBy("doc_id")  # the join has dealt and sorted the rows by doc_id
-    return rows.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
+    return rows.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import blocks, bounded_batches
+from .textblocks import blocks, bounded_batches, without
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -166,7 +166,7 @@ class Codec:
         prefix = self.model.dummy_prefix
         bare = [s[1:].replace(MARK, " ") if prefix and s.startswith(MARK) else s.replace(MARK, " ") for s in distinct]
         theirs = self.other.encode(bare, num_threads=1)
-        alone = self.other.encode(MARK) if prefix else []
+        alone = [self.other.piece_to_id(MARK)]
         same = np.array([a == (b if s or not prefix else alone) for a, b, s in zip(ids, theirs, bare, strict=True)], bool)
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.int32)
@@ -221,6 +221,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """``docs`` with n_tokens, ids, parity and round_trip (the ids decode to the text) added."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_model(docs, model))
+    docs = without(docs, "n_tokens", "ids", "parity", "round_trip")
     names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +249,7 @@ def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids") -> Dat
     """``rows`` with ``decoded`` added: the text of each row's ids (null ids: empty)."""
     bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(read_model(rows, model))
+    rows = without(rows, "decoded")
     names = rows.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

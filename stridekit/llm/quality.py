@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .textblocks import ALNUM, LOWER, NON_SPACE, blocks, bounded_batches, bounded_sample, mix, table_of, text_buffer, with_crc, words
+from .textblocks import ALNUM, LOWER, NON_SPACE, blocks, bounded_batches, bounded_sample, mix, table_of, text_buffer, with_crc, without, words
 
 MAX_ROWS = 20_000
 FEATURES = [
@@ -119,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> gbt.T
 def score(docs: DataFrame, model: gbt.Trees) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` added; reads only ``text``."""
     bounded_batches(docs.sparkSession)
+    docs = without(docs, "score", "predicted")
     names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +132,17 @@ def score(docs: DataFrame, model: gbt.Trees) -> DataFrame:
     return docs.mapInArrow(scan, f"{fields}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: gbt.Trees, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``least``."""
+    bounded_batches(docs.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= least))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """The labels that the query and the pipeline learn from: crc32(doc_id) mod 3 is not 1."""
     return with_crc(labels.select("doc_id", "quality"), 3, 1).where(~F.col("held_out")).drop("held_out")

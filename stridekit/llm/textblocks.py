@@ -30,6 +30,19 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def without(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` without the columns whose names (in any case) an operator is about to add: the operator's replace them."""
+    names = {a.lower() for a in added}
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def with_crc(df: DataFrame, modulus: int, remainder: int) -> DataFrame:
     """Add ``held_out``: crc32 of doc_id as text has this remainder (a null id is never held out)."""
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
