@@ -1,22 +1,19 @@
-"""Running aggregates that do not put a whole group into one task.
+"""Running aggregates and ranks that do not put a whole group into one task.
 
-``running_aggregates`` computes, per row, the running SUM or MAX of value columns
-within groups ``keys`` ordered by ``order`` (which must make the order total).
-A window ``partitionBy(keys).orderBy(order)`` would hold one key's rows in one
-task; a key may hold a third of all rows. Instead:
+``running_aggregates`` computes, per row, the running SUM or MAX (or the LAG) of value
+columns within groups ``keys`` ordered by ``order`` (which must make the order
+total). A window ``partitionBy(keys).orderBy(order)`` holds one key's rows in
+one task; a key may hold a third of all rows. Instead, at every size and in the JVM:
 
 1. ``repartitionByRange(keys + order)``: Spark's sampled range bounds cut a hot
-   key into many partitions by its order columns;
-2. a vectorised per-partition scan (``mapInPandas``; the rows are sorted
-   within the partition) yields the running value local to the partition;
-3. only the first key of a partition can continue a key from earlier
-   partitions. A one-row-per-partition summary gives that carry; it has at
-   most ``num_partitions`` rows, so broadcasting it is bounded.
-
-Result: exact running values; the locally scanned rows are checkpointed once
-and read twice (summary, then the carry join); no group is collected anywhere.
-When the largest group is small enough (measured first), a plain window gives
-the same values in the JVM and the scan is skipped.
+   key into many partitions by its order columns; the partition's number is
+   kept and the rows are checkpointed, so both readers below see the same cuts;
+2. a window over (partition number, keys) gives the value local to the partition;
+3. a key that goes on in later partitions carries its totals over: one row for
+   each (partition, key) is aggregated, and those with an earlier partition, at
+   most one for each partition, are joined back.
+
+Integer sums stay integers. Callers pass only the columns they need.
 """
 
 from __future__ import annotations
@@ -28,39 +25,7 @@ from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
 
-_PID = "_scan_pid"
-
-# Groups up to this many rows use a plain window (one task per group, spilling
-# as needed); larger ones use the range-partitioned scan. Set
-# ``spark.stridekit.scan.maxGroupRows`` (0 forces the scan).
-DEFAULT_MAX_GROUP_ROWS = 5_000_000
-
-
-def _limit(spark) -> int:
-    v = spark.conf.get("spark.stridekit.scan.maxGroupRows", None)
-    return DEFAULT_MAX_GROUP_ROWS if v is None else int(v)
-
-
-def _largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest group: one partial aggregate, a bounded scalar."""
-    if not keys:
-        return int(df.agg(F.count(F.lit(1))).first()[0] or 0)
-    return int(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
-
-
-def _window_aggregates(df: DataFrame, keys, order, aggs, out_types) -> DataFrame:
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    cols = []
-    for out, (src, how) in aggs.items():
-        if how == "sum":
-            c = F.coalesce(F.sum(src).over(run), F.lit(0))
-        elif how == "max":
-            c = F.max(src).over(run)
-        else:
-            c = F.lag(src).over(w)
-        cols.append(c.cast(out_types[out]).alias(out))
-    return df.select("*", *cols)
+_PART = "_scan_part"
 
 
 def running_aggregates(
@@ -69,162 +34,65 @@ def running_aggregates(
     order: list[str],
     aggs: dict[str, tuple[str, str]],
     num_partitions: int | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """aggs: {output column: (input column, 'sum' | 'max' | 'lag')}. NULL inputs
     are skipped like SQL (running SUM of nothing is 0, running MAX of nothing
-    NULL); 'lag' is the previous row's value within the group (NULL on the first).
-
-    The largest group is measured first; when it is within the limit a window
-    computes the same values in the JVM, otherwise the scan below is used."""
-    spark = df.sparkSession
-    in_types = {f.name: f.dataType for f in df.schema.fields}
-    limit = _limit(spark) if max_group_rows is None else max_group_rows
-    if limit > 0 and _largest_group(df, keys) <= limit:
-        types = {}
-        for out, (src, how) in aggs.items():
-            integral = isinstance(in_types[src], (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
-            types[out] = in_types[src] if how == "lag" else (T.LongType() if integral else T.DoubleType())
-        return _window_aggregates(df, keys, order, aggs, types)
-
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [*keys, *order]
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-
-    out_fields = list(ranged.schema.fields) + [T.StructField(_PID, T.IntegerType())]
-    out_types = {}
+    NULL); 'lag' is the previous row's value within the group (NULL on the first)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cut = [*keys, *order]
+    ranged = df.repartitionByRange(num_partitions, *cut) if num_partitions else df.repartitionByRange(*cut)
+    rows = ranged.withColumn(_PART, F.spark_partition_id()).checkpoint()
+
+    inside = Window.partitionBy(_PART, *keys).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_PART)
+    all_earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    local, whole, carried, final = [], [], [], []
     for out, (src, how) in aggs.items():
-        integral = isinstance(in_types[src], (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
-        if how == "lag":
-            out_types[out] = in_types[src]
-        else:
-            out_types[out] = T.LongType() if integral else T.DoubleType()
-        out_fields.append(T.StructField(out, out_types[out]))
-    has_lag = any(how == "lag" for _, how in aggs.values())
-    if has_lag:
-        out_fields.append(T.StructField("_scan_head", T.BooleanType()))
-    out_schema = T.StructType(out_fields)
-    agg_items = list(aggs.items())
-
-    def local_scan(batches):
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            kframe = pdf[keys].astype(object).where(pdf[keys].notna(), None)
-            gid = kframe.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-            first_key = tuple(kframe.iloc[0])
-            cont = carry_key is not None and first_key == carry_key
-            head = np.r_[True, gid[1:] != gid[:-1]]
-            for out, (src, how) in agg_items:
-                if how == "lag":
-                    # previous row's value within the key group; a batch's first
-                    # group continues from the previous batch's last row
-                    lagged = pdf[src].groupby(gid).shift(1)
-                    if cont:
-                        lagged = lagged.astype(object)
-                        lagged.iloc[0] = carry.get(out)
-                    pdf[out] = lagged
-                    carry[out] = pdf[src].iloc[-1]
-                    continue
-                vals = pd.to_numeric(pdf[src], errors="coerce")
-                g = pd.Series(vals.to_numpy(dtype="float64"), index=pdf.index)
-                if how == "sum":
-                    run = g.fillna(0.0).groupby(gid).cumsum()
-                    if cont:
-                        run = run + np.where(gid == 0, carry.get(out, 0.0), 0.0)
-                else:
-                    run = g.groupby(gid).cummax().groupby(gid).ffill()
-                    if cont and carry.get(out) is not None:
-                        prev = carry[out]
-                        run = pd.Series(np.where(gid == 0, np.fmax(run.to_numpy(), prev), run.to_numpy()), index=pdf.index)
-                    # rows before the first non-null stay NaN (NULL)
-                pdf[out] = run.to_numpy()
-                last = pdf[out].iloc[-1]
-                carry[out] = None if pd.isna(last) else float(last)
-            if has_lag:
-                pdf["_scan_head"] = head & ~(cont & (gid == 0))
-            carry_key = tuple(kframe.iloc[-1])
-            pdf[_PID] = pid
-            for out, t in out_types.items():
-                if isinstance(t, T.LongType):
-                    pdf[out] = pdf[out].round().astype("Int64")
-            yield pdf
-
-    # Materialise the local scan once (reliable checkpoint in the session's
-    # checkpoint folder): the carry summary and the rows must come from the same
-    # range bounds, and re-running a range exchange over shuffled input may
-    # sample different bounds. It also cuts lineage for executor-loss recovery.
-    ensure_checkpoint_dir(spark)
-    local = ranged.mapInPandas(local_scan, out_schema).checkpoint(eager=True)
-
-    kstruct = F.struct(*[F.col(k) for k in keys])
-    order_struct = F.struct(*[F.col(c) for c in sort_cols])
-    summary = local.groupBy(_PID).agg(
-        F.min(kstruct).alias("_first"),
-        F.max(kstruct).alias("_last"),
-        *[F.max_by(F.col(out if how != "lag" else src), order_struct).alias(f"_t_{out}") for out, (src, how) in aggs.items()],
-    )
-    # Carry into partition p: the running value of its first key at the end of
-    # the previous non-empty partition, if that partition ended on the same key.
-    by_last = Window.partitionBy("_last").orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
-    by_pid = Window.orderBy(_PID)  # one row per partition: bounded single-task window
-    cols = [F.col(_PID), F.col("_first"), F.col("_last")]
-    for out, (_, how) in aggs.items():
-        if how == "lag":  # the previous partition's last value, not a running total
-            cols.append(F.col(f"_t_{out}").alias(f"_cum_{out}"))
-            continue
-        fn = F.sum if how == "sum" else F.max
-        cols.append(fn(F.col(f"_t_{out}")).over(by_last).alias(f"_cum_{out}"))
-    carries = summary.select(*cols).select(
-        F.col(_PID),
-        F.col("_first"),
-        *[
-            F.when(F.lag("_last").over(by_pid).eqNullSafe(F.col("_first")), F.lag(f"_cum_{out}").over(by_pid)).alias(f"_c_{out}")
-            for out in aggs
-        ],
-    )
-    # ``carries`` has at most one row per partition: a proven bound.
-    joined = local.join(F.broadcast(carries), _PID, "left")
-    is_cont = kstruct.eqNullSafe(F.col("_first"))
-    cols = []
-    for f in out_schema.fields:
-        if f.name in (_PID, "_scan_head"):
-            continue
-        if f.name in aggs:
-            how = aggs[f.name][1]
-            c = F.col(f"_c_{f.name}")
-            if how == "lag":
-                v = F.when(is_cont & F.col("_scan_head"), c).otherwise(F.col(f.name))
-            elif how == "sum":
-                v = F.col(f.name) + F.when(is_cont, F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
-            else:
-                v = F.when(is_cont & c.isNotNull(), F.greatest(F.col(f.name), c)).otherwise(F.col(f.name))
-            cols.append(v.cast(f.dataType).alias(f.name))
+        integral = isinstance(types[src], (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+        kind = types[src] if how == "lag" else T.LongType() if integral else T.DoubleType()
+        here, before = f"_l_{out}", F.col(f"_c_{out}")
+        if how == "sum":
+            local.append(F.coalesce(F.sum(src).over(so_far), F.lit(0)).alias(here))
+            whole.append(F.sum(src).alias(f"_t_{out}"))
+            carried.append(F.sum(f"_t_{out}").over(all_earlier).alias(f"_c_{out}"))
+            value = F.col(here) + F.coalesce(before, F.lit(0))
+        elif how == "max":
+            local.append(F.max(src).over(so_far).alias(here))
+            whole.append(F.max(src).alias(f"_t_{out}"))
+            carried.append(F.max(f"_t_{out}").over(all_earlier).alias(f"_c_{out}"))
+            value = F.greatest(here, before)  # skips nulls
         else:
-            cols.append(F.col(f.name))
-    return joined.select(*cols)
-
-
-def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "rn", num_partitions: int | None = None,
-    max_group_rows: int | None = None,
-) -> DataFrame:
-    """Exact ``row_number()`` over (partition ``keys``, ``order``) without a
-    single task per key. ``order`` must be total. Empty ``keys`` ranks globally
-    (still split across range partitions)."""
-    tmp_key = None
+            # in a struct, so that a null value differs from no row
+            local.append(F.lag(F.struct(src)).over(inside).alias(here))
+            whole.append(F.max_by(F.struct(src), F.struct(*order)).alias(f"_t_{out}"))
+            carried.append(F.lag(f"_t_{out}").over(earlier).alias(f"_c_{out}"))
+            value = F.coalesce(F.col(here), before).getField(src)
+        final.append(value.cast(kind).alias(out))
+    totals = rows.groupBy(_PART, *keys).agg(*whole)
+    carry = totals.select(_PART, *keys, F.lag(_PART).over(earlier).alias("_prev"), *carried).where("_prev IS NOT NULL").drop("_prev")
+    # at most one row for each partition: only a partition's first key can go on from an earlier one
+    carry = carry.withColumnsRenamed({_PART: "_cp", **{k: f"_ck_{k}" for k in keys}})
+    on = F.col(_PART) == F.col("_cp")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_ck_{k}"))
+    scanned = rows.select("*", *local).join(F.broadcast(carry), on, "left")
+    return scanned.select(*[F.col(c) for c in df.columns], *final)
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", num_partitions: int | None = None) -> DataFrame:
+    """Exact ``row_number()`` over (partition ``keys``, ``order``) without a single
+    task per key; empty ``keys`` rank globally. ``order`` must be total. For the
+    first rows of a group use ``first_rows``."""
+    return running_aggregates(df.withColumn("_rn_one", F.lit(1)), keys, order, {out: ("_rn_one", "sum")}, num_partitions).drop("_rn_one")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group (of the table, if there are no keys).
+
+    Spark prunes to ``n`` rows a group and task before the shuffle, or takes the top ``n`` of each task."""
     if not keys:
-        tmp_key = "_rn_all"
-        df = df.withColumn(tmp_key, F.lit(0))
-        keys = [tmp_key]
-    res = running_aggregates(df.withColumn("_rn_one", F.lit(1)), keys, order, {out: ("_rn_one", "sum")}, num_partitions,
-                             max_group_rows)
-    res = res.drop("_rn_one")
-    return res.drop(tmp_key) if tmp_key else res
+        return df.orderBy(*order).limit(n)
+    nth = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= n).drop("_nth")

@@ -3,7 +3,7 @@ dedup, quotas, top-ups, splits, sampling and reports.
 
 Order-dependent rules (first wins, first N, quotas, splits) need an explicit
 total order: the caller passes order columns. Ranks come from
-``row_numbers`` (range-partitioned scan), never from one window task per
+``row_numbers`` (range-partitioned windows), never from one window task per
 group, because one class or source may hold a third of all rows. First-wins
 dedup is an aggregate (``min_by``), which combines map-side.
 Shuffles are deterministic: ``md5(seed || ':' || key)`` orders rows, so an
@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 
 from ..functions import keywords as KW
 from ..functions import text as T
-from ..functions.scan import row_numbers, running_aggregates
+from ..session import ensure_checkpoint_dir
+from ..functions.scan import first_rows, row_numbers, running_aggregates
 
 
 def shuffle_key(seed: int | str, key) -> Column:
@@ -42,7 +43,7 @@ def qa_projection(df: DataFrame, q: str, a: str, min_answer: int = 0) -> DataFra
 def first_n_per_group(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows per group in ``order`` (counted after
     any filters already applied)."""
-    return row_numbers(df, keys, order, "_rn").where(F.col("_rn") <= n).drop("_rn")
+    return first_rows(df, keys, order, n)
 
 
 # -------------------------------------------------------------------- pairing
@@ -234,16 +235,19 @@ def cascade(df: DataFrame, text: Column, stages: list[tuple[str, list[str], int]
     stage whose quota is not yet full and whose keywords it contains. Exact as
     stages: stage i takes the first q_i rows (in order) matching its keywords
     among rows no earlier stage took."""
+    # one pass over the texts: the order columns and which stages match; the stages then pick among those
     lower = F.lower(text)
-    base = df.withColumn("_lower", lower)
+    match = F.filter(F.array(*[F.when(KW.any_present(lower, kws), F.lit(i)) for i, (_, kws, _) in enumerate(stages)]), lambda x: x.isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(*order, match.alias("_match")).where(F.size("_match") > 0).checkpoint()
     taken = None
-    for cls, kws, quota in stages:
-        cand = base.where(KW.any_present(F.col("_lower"), kws))
+    for i, (cls, _, quota) in enumerate(stages):
+        cand = rows.where(F.array_contains("_match", i)).select(*order)
         if taken is not None:
             cand = cand.join(taken.select(*order), order, "left_anti")
-        pick = row_numbers(cand, [], order, "_rn").where(F.col("_rn") <= quota).drop("_rn").withColumn("class", F.lit(cls))
+        pick = first_rows(cand, [], order, quota).withColumn("class", F.lit(cls))
         taken = pick if taken is None else taken.unionByName(pick)
-    return taken.drop("_lower")
+    return df.join(taken, order)
 
 
 # ---------------------------------------------------------------------- dedup
@@ -309,8 +313,11 @@ def need_based_topup(
     takes = summ.select(class_col, F.explode(F.aggregate(F.col("_srcs"), init, step)["takes"]).alias("t")).select(
         class_col, F.col("t").getField(source_order).alias(source_order), F.col("t.take").alias("_take")
     )
-    ranked = row_numbers(candidates, [class_col, source_order], order, "_rn")
-    return ranked.join(F.broadcast(takes), [class_col, source_order]).where(F.col("_rn") <= F.col("_take")).drop("_rn", "_take")
+    narrow = candidates.select(*dict.fromkeys([class_col, source_order, *order]))
+    ranked = row_numbers(narrow, [class_col, source_order], order, "_rn")
+    # one row for each class and source; Spark chooses the join
+    picked = ranked.join(takes, [class_col, source_order]).where(F.col("_rn") <= F.col("_take"))
+    return candidates.join(picked.select(*narrow.columns), narrow.columns)
 
 
 def class_cap(df: DataFrame, class_col: str, key: str, cap: int, seed: int = 42) -> DataFrame:
@@ -329,31 +336,37 @@ def _with_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(counts), "_one").drop("_one")
 
 
+def _shuffled(df: DataFrame, keys: list[str], key: str, seed: int) -> DataFrame:
+    """``key``, its rank in md5 order within the group and the group's size; only ids travel, not the rows."""
+    ids = df.select(*dict.fromkeys([*keys, key])).withColumn("_h", shuffle_key(seed, key))
+    return _with_counts(row_numbers(ids, keys, ["_h", key], "_rn"), keys)
+
+
+def _marked(df: DataFrame, ranked: DataFrame, key: str, split: Column) -> DataFrame:
+    """``df`` with ``split`` joined on its unique ``key``."""
+    return df.join(ranked.select(key, split.alias("split")), key).select(*df.columns, "split")
+
+
 def split_per_class(df: DataFrame, class_col: str, key: str, frac: float = 0.9, min_one: bool = True, seed: int = 42) -> DataFrame:
     """Per class, shuffled; the first ``max(1, int(frac*n))`` rows (or
-    ``int(frac*n)``) are train, the rest val. Adds ``split``."""
-    d = row_numbers(df.withColumn("_h", shuffle_key(seed, key)), [class_col], ["_h", key], "_rn")
-    d = _with_counts(d, [class_col])
+    ``int(frac*n)``) are train, the rest val. Adds ``split``; ``key`` is unique."""
     k = F.floor(F.col("_n") * F.lit(frac))
     if min_one:
         k = F.greatest(F.lit(1), k)
-    return d.withColumn("split", F.when(F.col("_rn") <= k, "train").otherwise("val")).drop("_h", "_rn", "_n")
+    return _marked(df, _shuffled(df, [class_col], key, seed), key, F.when(F.col("_rn") <= k, "train").otherwise("val"))
 
 
 def global_split(df: DataFrame, key: str, frac: float = 0.9, seed: int = 42) -> DataFrame:
     """Exact-size shuffled split over all rows: the first ``int(frac*N)``
-    in md5 order are train. Ranks come from the range-partitioned scan, so no
-    single task ranks everything."""
-    d = row_numbers(df.withColumn("_h", shuffle_key(seed, key)), [], ["_h", key], "_rn")
-    d = _with_counts(d, [])
-    return d.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(frac)), "train").otherwise("val")).drop("_h", "_rn", "_n")
+    in md5 order of the unique ``key`` are train."""
+    k = F.floor(F.col("_n") * F.lit(frac))
+    return _marked(df, _shuffled(df, [], key, seed), key, F.when(F.col("_rn") <= k, "train").otherwise("val"))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Per label ``ceil(test*n)`` rows (md5 order) go to test."""
-    d = row_numbers(df.withColumn("_h", shuffle_key(seed, key)), [label], ["_h", key], "_rn")
-    d = _with_counts(d, [label])
-    return d.withColumn("split", F.when(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(test)), "test").otherwise("train")).drop("_h", "_rn", "_n")
+    """Per label ``ceil(test*n)`` rows (md5 order of the unique ``key``) go to test."""
+    k = F.ceil(F.col("_n") * F.lit(test))
+    return _marked(df, _shuffled(df, [label], key, seed), key, F.when(F.col("_rn") <= k, "test").otherwise("train"))
 
 
 def downsample(df: DataFrame, label: str, key: str, cap: int, labels: list[str], seed: int = 42) -> DataFrame:
@@ -362,15 +375,12 @@ def downsample(df: DataFrame, label: str, key: str, cap: int, labels: list[str],
     return first_n_per_group(d, [label], ["_h", key], cap).drop("_h")
 
 
-OVERSAMPLE_BROADCAST_ROWS = 1_000_000  # minority rows broadcast below this (checked count)
-
-
 def oversample(df: DataFrame, label: str, cls: str, key: str, frac: float = 0.12, seed: int = 42) -> DataFrame:
     """Add draws with replacement from class ``cls`` until it has
     ``int(total*frac)`` rows (total before adding); no-op if it has enough.
     Draw i picks the row of rank ``md5_number(seed:i) mod n_cls + 1`` (the
     first 15 hex digits of the md5 as an integer). The draws are a distributed
-    ``range``; the ranked class rows are broadcast only under a checked size."""
+    ``range``; only ids are ranked and joined to the draws, the rows follow by id."""
     spark = df.sparkSession
     c = df.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col(label) == cls, 1)).alias("n_cls")).first()
     total, n_cls = int(c["total"]), int(c["n_cls"])
@@ -380,10 +390,10 @@ def oversample(df: DataFrame, label: str, cls: str, key: str, frac: float = 0.12
     draw = F.col("id")
     h = F.conv(F.substring(shuffle_key(seed, draw), 1, 15), 16, 10).cast("long")
     draws = spark.range(0, need).select((F.pmod(h, F.lit(n_cls)) + 1).alias("_rn"))
-    ranked = row_numbers(df.where(F.col(label) == cls), [], [key], "_rn")
-    side = F.broadcast(ranked) if n_cls <= OVERSAMPLE_BROADCAST_ROWS else ranked
-    extra = draws.join(side, "_rn").drop("_rn")
-    return df.unionByName(extra)
+    own = df.where(F.col(label) == cls)
+    picks = draws.join(row_numbers(own.select(key), [], [key], "_rn"), "_rn").groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
+    extra = own.join(picks, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return df.unionByName(extra.select(*df.columns))
 
 
 # -------------------------------------------------------------------- reports

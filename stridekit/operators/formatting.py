@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scan import row_numbers
+from ..functions.scan import first_rows
 
 # ---------------------------------------------------------------- FIXED VALUES
 BOS = "<|begin_of_text|>"
@@ -46,14 +46,13 @@ def multi_turn_prompts(
 ) -> DataFrame:
     """I3 + I4: per conversation, the last user message is the new message; the
     user/assistant turns before it (the last ``keep_last``) are the history.
-    Ranks from the end use the range-partitioned scan; only ``keep_last`` turns
-    per conversation are ever gathered."""
+    Each task keeps at most ``keep_last`` turns of a conversation before the shuffle."""
     chat = turns.where(F.col(role).isin("user", "assistant"))
     last_user = chat.where(F.col(role) == "user").groupBy(conv).agg(
         F.max_by(F.struct(F.col(turn).alias("t"), F.col(text).alias("x")), F.col(turn)).alias("_lu")
     )
     hist = chat.join(last_user, conv).where(F.col(turn) < F.col("_lu.t")).withColumn("_neg", -F.col(turn))
-    hist = row_numbers(hist, [conv], ["_neg"], "_from_end").where(F.col("_from_end") <= keep_last)
+    hist = first_rows(hist, [conv], ["_neg"], keep_last)
     piece = F.concat(header(F.col(role)), T.py_strip(T.nz(text)), F.lit(EOT))
     hist = hist.groupBy(conv).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), piece.alias("p")))), lambda s: s["p"]), "").alias("_h")
