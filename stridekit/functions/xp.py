@@ -32,10 +32,6 @@ def daily_cap_of(level) -> Column:
     return expr.otherwise(F.lit(600)).cast("int")
 
 
-def cap_of_total(total_xp) -> Column:
-    return daily_cap_of(level_of(total_xp))
-
-
 def streak_multiplier(streak) -> Column:
     """step function of the streak length."""
     s = _c(streak)

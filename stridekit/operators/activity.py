@@ -425,12 +425,6 @@ def switch_builds(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def build_catalogue(spark: SparkSession) -> DataFrame:
-    """the seven builds with display name, description and badge ladder."""
-    rows = [(i, b, K.BUILD_DISPLAY[b], K.BUILD_DESCRIPTION[b], K.BADGE_NAMES[b]) for i, b in enumerate(K.BUILDS)]
-    return spark.createDataFrame(rows, "build_order int, build string, display string, description string, badge_ladder array<string>")
-
-
 # --------------------------------------------------------------------- gamer
 
 def gamer_xp(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import activity as A
-from ..sources.tables import activity_log
+from ..sources.tables import activity_log, rejected_events, rejected_events_sql
 from . import sql_activity as SA
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def register(name: str, sql: str | None):
 
 # ------------------------------------------------------------------ activity
 
+@register("activity_rejected_events", rejected_events_sql())
+def q_activity_rejected_events(spark, sf):
+    return rejected_events(spark, sf)
+
+
 @register("activity_daily_xp", SA.daily_raw_xp_sql())
 def q_activity_daily_xp(spark, sf):
     return A.daily_raw_xp(activity_log(spark, sf))

@@ -12,7 +12,7 @@ from . import sql_activity as SA
 from .anomaly_queries import _split
 from .registry import register
 
-_STREAM_COLS = [f.name for f in US.OUTPUT_SCHEMA.fields]
+_STREAM_COLS = US.OUTPUT_COLUMNS
 
 
 @register("stream_user_state", f"""
@@ -21,7 +21,7 @@ _STREAM_COLS = [f.name for f in US.OUTPUT_SCHEMA.fields]
 def q_stream_user_state(spark, sf):
     """The live user-state stream over ``events``; on in-order delivery it
     equals the batch ledger (the oracle is the ledger SQL)."""
-    stream = US.stream_events(spark, sf, "events.parquet")
+    stream = US.stream_events(spark, f"{sf.rstrip('/')}/events.parquet", max_files_per_trigger=1000)
     return US.run_to_table(US.live_user_state(stream), "user_state")
 
 

@@ -22,6 +22,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     user_id, event_id, ts, day, activity_type, duration_minutes, intensity, build.
     Unmapped event types keep a NULL activity and later score the 0.5 default.
+    Events without a duration of 1 to 480 minutes are rejected (B22); see ``rejected_events``.
     """
     ev = read_table(spark, sf_dir, "events")
     return events_to_activity_log(ev)
@@ -38,10 +39,27 @@ def events_to_activity_log(ev: DataFrame) -> DataFrame:
         "ts",
         F.to_date("ts").alias("day"),
         act[F.col("event_type")].alias("activity_type"),
-        (F.floor(F.least(F.col("value"), F.lit(479.0))) + 1).cast("int").alias("duration_minutes"),
+        (F.floor("value") + 1).cast("int").alias("duration_minutes"),
         F.element_at(intensities, F.pmod(k, F.lit(3)) + 1).alias("intensity"),
         F.element_at(builds, F.pmod(F.col("user_id"), F.lit(7)).cast("int") + 1).alias("build"),
-    )
+    ).where(F.col("duration_minutes").between(*K.DURATION_MINUTES))
+
+
+def rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that ``activity_log`` rejects, with the reason."""
+    minutes = F.floor("value") + 1
+    low, high = K.DURATION_MINUTES
+    reason = F.when(minutes.isNull(), "missing duration").when(minutes < low, "duration too short").when(minutes > high, "duration too long")
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", reason.alias("reason"))
+    return ev.where(F.col("reason").isNotNull())
+
+
+def rejected_events_sql() -> str:
+    low, high = K.DURATION_MINUTES
+    return f"""
+      SELECT event_id, user_id, CASE WHEN value IS NULL THEN 'missing duration' WHEN floor(value) + 1 < {low} THEN 'duration too short'
+             ELSE 'duration too long' END AS reason
+      FROM events WHERE value IS NULL OR floor(value) + 1 NOT BETWEEN {low} AND {high}"""
 
 
 # SQL text of the same view for the DuckDB oracle.
@@ -52,7 +70,7 @@ def activity_log_sql() -> str:
     return f"""
       SELECT user_id, event_id, ts, CAST(ts AS DATE) AS day,
              CASE event_type {act} END AS activity_type,
-             CAST(floor(least(value, 479.0)) + 1 AS INTEGER) AS duration_minutes,
+             CAST(floor(value) + 1 AS INTEGER) AS duration_minutes,
              ([{ints}])[CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 AS INTEGER) + 1] AS intensity,
              ([{builds}])[CAST(user_id % 7 AS INTEGER) + 1] AS build
-      FROM events"""
+      FROM events WHERE floor(value) + 1 BETWEEN {K.DURATION_MINUTES[0]} AND {K.DURATION_MINUTES[1]}"""

@@ -1,165 +1,177 @@
 """Live user state as a keyed stateful stream (J1, J2) and stream scoring.
 
-``live_user_state`` groups the activity stream by user and keeps, per user,
-the state the batch ledger derives from history: total XP, streak, longest
-streak, last active day, shields and their month, and the day's credited XP.
-Each micro-batch folds the user's new events in (ts, event_id) order through
-the same rules as ``operators.activity.xp_ledger``; on events delivered in
-order the two agree row for row (tested).
-
-Late events (J2, a decision): an event older than the last active day leaves
-the streak and last day unchanged; it is credited against its own day's pool
-when that day is still the state's current day, otherwise against an empty
-pool of its own day (older pools are not kept). With a watermark, Spark drops
-rows behind it before they reach the processor.
+Every event is credited when it arrives, under the rules of the batch ledger
+(``operators.activity.xp_ledger``). The stateful step does only what needs the
+state: it folds a user's new user-days, column-wise, and returns each event's
+credit and streak. What depends on single rows (relevance before it; level,
+badge and hint after it) stays in column expressions shared with the ledger.
+
+Order: within a micro-batch a user's events are taken by (ts, event_id). If the
+source delivers a user's days in order (files or offsets by time), the stream
+equals the ledger row for row, however the rows are cut into micro-batches on
+day boundaries; a batch that ends inside a day continues that day's pool.
+
+Late events (J2): an event of a day before the user's last active day changes
+neither streak nor last day; it is credited against its own day's pool, under
+the cap of the user's present level. The pools of the last ``KEEP_DAYS`` days
+are state; an older event earns nothing, so no delivery order can pass a cap.
+With a watermark, Spark drops rows behind it before they get here.
+
+A group holds one user's events of one micro-batch: bound it at the source
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import xp as X
+from ..operators.activity import with_relevance
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import events_to_activity_log
 
-OUTPUT_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("day", T.DateType()),
-    T.StructField("final_xp", T.IntegerType()),
-    T.StructField("was_capped", T.BooleanType()),
-    T.StructField("daily_xp_before", T.IntegerType()),
-    T.StructField("daily_xp_after", T.IntegerType()),
-    T.StructField("daily_cap", T.IntegerType()),
-    T.StructField("current_streak", T.IntegerType()),
-    T.StructField("longest_streak", T.IntegerType()),
-    T.StructField("shield_used", T.BooleanType()),
-    T.StructField("streak_broken", T.BooleanType()),
-    T.StructField("shields_remaining", T.IntegerType()),
-    T.StructField("total_xp_before", T.LongType()),
-    T.StructField("total_xp_after", T.LongType()),
-    T.StructField("level_after", T.IntegerType()),
-    T.StructField("badge_earned", T.StringType()),
-    T.StructField("chatbot_hint", T.StringType()),
-])
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("total", T.LongType()),
-    T.StructField("streak", T.IntegerType()),
-    T.StructField("longest", T.IntegerType()),
-    T.StructField("last_day", T.IntegerType()),   # days since epoch, -1 = none
-    T.StructField("shields", T.IntegerType()),
-    T.StructField("shield_month", T.IntegerType()),
-    T.StructField("daily", T.IntegerType()),
-    T.StructField("daily_day", T.IntegerType()),
-])
-
-_REL = {name: dict(zip(K.BUILDS, scores)) for name, scores in K.RELEVANCE}
-_INT = dict(K.INTENSITY)
-_EPOCH = _dt.date(1970, 1, 1)
-
-
-def _level(t: int) -> int:
-    if t < 5000:
-        return max(1, t // 500 + 1)
-    if t < 20000:
-        return 10 + (t - 5000) // 1500
-    return 20 + (t - 20000) // 3000
-
-
-def _cap(level: int) -> int:
-    for min_level, cap in K.DAILY_CAP_TIERS:
-        if level >= min_level:
-            return cap
-    return 600
-
-
-def _streak_mult(s: int) -> tuple[float, str | None]:
-    for days, mult, name in K.STREAK_MILESTONES:
-        if s >= days:
-            return mult, (name if s == days else None)
-    return 1.0, None
-
-
-def _badge(t: int) -> int:
-    return sum(1 for th in K.BADGE_THRESHOLDS if t >= th) - 1
-
-
-def _fold(key, batches, state):
-    """Per-user fold over this micro-batch's events (a small state machine)."""
-    if state.exists:
-        total, streak, longest, last_day, shields, shield_month, daily, daily_day = state.get
-    else:
-        total, streak, longest, last_day, shields, shield_month, daily, daily_day = 0, 0, 0, -1, K.SHIELDS_PER_MONTH, -1, 0, -1
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-    out = []
-    for r in pdf.itertuples(index=False):
-        d = (r.day - _EPOCH).days if isinstance(r.day, _dt.date) else int(r.day)
-        day = _EPOCH + _dt.timedelta(days=d)
-        month = day.year * 12 + day.month
-        if month != shield_month and (last_day < 0 or d >= last_day):
-            shields, shield_month = K.SHIELDS_PER_MONTH, month
-        broken = shield = False
-        if last_day < 0:
-            streak = 1
-        else:
-            gap = d - last_day
-            if gap == 1:
-                streak += 1
-            elif gap == 2 and shields > 0:
-                shields -= 1
-                streak += 1
-                shield = True
-            elif gap >= 2:
-                streak, broken = 1, True
-            # gap == 0: same day; gap < 0: late event, streak untouched
-        longest = max(longest, streak)
-        if d >= last_day:
-            last_day = d
-        if d != daily_day:
-            if d > daily_day:
-                daily, daily_day = 0, d
-        pool_before = daily if d == daily_day else 0
-        level = _level(total)
-        cap = _cap(level)
-        rel = _REL.get(r.activity_type, {}).get(r.build, K.UNKNOWN_RELEVANCE)
-        rmult = K.PRIMARY_MULT if rel >= K.PRIMARY_THRESHOLD else K.SECONDARY_MULT
-        smult, power_up = _streak_mult(streak)
-        raw = float(r.duration_minutes) * _INT[r.intensity] * rmult * smult
-        rounded = int(round(raw))
-        remaining = max(0, cap - pool_before)
-        earned = min(rounded, remaining)
-        before = total
-        total += earned
-        if d == daily_day:
-            daily += earned
-        b0, b1 = _badge(before), _badge(total)
-        badge = K.BADGE_NAMES[r.build][b1] if b1 > b0 else None
-        hint = "support_mode" if broken else ("hype_mode" if badge or power_up else None)
-        out.append((
-            int(r.user_id), int(r.event_id), day, earned, rounded > remaining, pool_before, pool_before + earned, cap,
-            streak, longest, shield, broken, shields, before, total, _level(total), badge, hint,
-        ))
-    state.update((total, streak, longest, last_day, shields, shield_month, daily, daily_day))
-    yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+KEEP_DAYS = 60
+
+OUTPUT_COLUMNS = [
+    "user_id", "event_id", "day", "final_xp", "was_capped", "daily_xp_before", "daily_xp_after", "daily_cap", "current_streak",
+    "longest_streak", "shield_used", "streak_broken", "shields_remaining", "total_xp_before", "total_xp_after", "level_after",
+    "badge_earned", "chatbot_hint",
+]
+_FOLDED = (
+    "user_id long, event_id long, day date, build string, rr long, final_xp int, daily_xp_before int, daily_xp_after int, daily_cap int, "
+    "current_streak int, longest_streak int, shield_used boolean, streak_broken boolean, shields_remaining int, total_xp_before long, total_xp_after long"
+)
+_STATE = "total long, streak int, longest int, last_day int, month int, shields_used int, pool_days array<int>, pools array<int>"
+
+# the streak multiplier as a step function: thresholds ascending, and the value from each on
+_STEPS = sorted((days, mult) for days, mult, _ in K.STREAK_MILESTONES)
+_STEP_AT = np.array([d for d, _ in _STEPS])
+_STEP_MULT = np.array([1.0, *[m for _, m in _STEPS]])
+
+
+def _streaks(days: np.ndarray, last: int, streak: int, month: int, used: int) -> pd.DataFrame:
+    """Streak columns of ascending new days, continuing from the state (``last`` < 0: none)."""
+    n = len(days)
+    gap = np.diff(days, prepend=last if last >= 0 else days[0])
+    of = pd.to_datetime(days, unit="D")
+    months = (of.year * 12 + of.month).to_numpy()
+    # the k-th two-day gap of a month takes the month's k-th shield
+    two = pd.Series((gap == 2).astype(int)).groupby(months).cumsum().to_numpy() + np.where(months == month, used, 0)
+    shielded = (gap == 2) & (two <= K.SHIELDS_PER_MONTH)
+    broken = (gap >= 2) & ~shielded
+    begins = broken.copy()
+    if n and last < 0:
+        begins[0] = True
+    at = np.arange(n)
+    run = np.maximum.accumulate(np.where(begins, at, -1))
+    same = int(n and gap[0] == 0 and last >= 0)  # the batch goes on in the last active day
+    length = np.where(run >= 0, at - run + 1, streak + at + 1 - same)
+    return pd.DataFrame({"day": days, "streak": length, "shield": shielded, "broken": broken, "month": months, "used": np.minimum(two, K.SHIELDS_PER_MONTH)})
+
+
+def _credits(prefix: np.ndarray, pool: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Credited XP after each of a day's events, and the cap that held for each; ``prefix``: running raw XP.
+
+    Under one cap the credit is min(prefix, cap - pool). The cap changes behind the
+    event with which the total reaches a cap boundary; from there the same holds
+    for the rest of the day under the next cap.
+    """
+    bounds = K.cap_change_points()
+    tiers = [b[1] for b in bounds] + [bounds[-1][2]]
+    tier = sum(total >= b[0] for b in bounds)
+    credit, cap = np.zeros(len(prefix), np.int64), np.zeros(len(prefix), np.int64)
+    start, done, raw = 0, 0, 0
+    while start < len(prefix):
+        credit[start:] = done + np.minimum(prefix[start:] - raw, max(0, tiers[tier] - pool - done))
+        cap[start:] = tiers[tier]
+        if tier == len(bounds):
+            break
+        over = np.flatnonzero(total + credit[start:] >= bounds[tier][0])
+        if not len(over):
+            break
+        last = start + int(over[0])
+        start, done, raw = last + 1, int(credit[last]), int(prefix[last])
+        tier = sum(total + done >= b[0] for b in bounds)
+    return credit, cap
+
+
+def fold_events(new: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    """One user's events of a micro-batch on top of the state: their result rows and the new state."""
+    total, streak, longest, last, month, used, pool_days, pools = state or (0, 0, 0, -1, -1, 0, [], [])
+    pool = dict(zip(pool_days, pools, strict=True))
+    ev = new.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
+    ev["n"] = pd.to_datetime(ev["day"]).to_numpy().astype("datetime64[D]").astype(int)
+    days = np.unique(ev["n"])
+    own = _streaks(days[days >= last], last, streak, month, used)
+    own["longest"] = np.maximum(longest, own["streak"].cummax())
+    left = pd.DataFrame({"day": days[days < last], "streak": streak, "shield": False, "broken": False, "month": month, "used": used, "longest": longest})
+    table = pd.concat([left, own], ignore_index=True).set_index("day")
+    ev = ev.join(table[["streak", "longest", "shield", "broken", "used"]], on="n")
+    mult = _STEP_MULT[np.searchsorted(_STEP_AT, ev["streak"], side="right")]
+    ev["rr"] = np.rint(ev["base"].to_numpy(float) * mult).astype(np.int64)
+    newest = max(last, int(days[-1]))
+    for d, rows in ev.groupby("n", sort=True).indices.items():
+        rr = ev["rr"].to_numpy()[rows]
+        known = d > newest - KEEP_DAYS
+        before = pool.get(d, 0)
+        credit, cap = _credits(np.cumsum(rr), before, total) if known else (np.zeros(len(rr), np.int64), np.full(len(rr), 0))
+        prior = np.concatenate([[0], credit[:-1]])
+        first = np.arange(len(rows)) == 0
+        ev.loc[rows, "daily_xp_before"], ev.loc[rows, "daily_xp_after"] = before + prior, before + credit
+        ev.loc[rows, "total_xp_before"], ev.loc[rows, "total_xp_after"] = total + prior, total + credit
+        ev.loc[rows, "final_xp"], ev.loc[rows, "daily_cap"] = credit - prior, cap
+        ev.loc[rows, "shield_used"] = first & bool(table.at[d, "shield"])
+        ev.loc[rows, "streak_broken"] = first & bool(table.at[d, "broken"])
+        total += int(credit[-1])
+        if known:
+            pool[d] = before + int(credit[-1])
+    if len(own):
+        end = own.iloc[-1]
+        streak, longest, last, month, used = int(end["streak"]), int(end["longest"]), int(end["day"]), int(end["month"]), int(end["used"])
+    kept = sorted(d for d in pool if d > last - KEEP_DAYS)
+    out = pd.DataFrame({
+        "user_id": ev["user_id"], "event_id": ev["event_id"], "day": ev["day"], "build": ev["build"], "rr": ev["rr"],
+        **{c: ev[c].astype("int32") for c in ("final_xp", "daily_xp_before", "daily_xp_after", "daily_cap")},
+        "current_streak": ev["streak"].astype("int32"), "longest_streak": ev["longest"].astype("int32"),
+        "shield_used": ev["shield_used"].astype(bool), "streak_broken": ev["streak_broken"].astype(bool),
+        "shields_remaining": (K.SHIELDS_PER_MONTH - ev["used"]).astype("int32"),
+        "total_xp_before": ev["total_xp_before"].astype("int64"), "total_xp_after": ev["total_xp_after"].astype("int64"),
+    })
+    return out, (int(total), streak, longest, last, month, used, [int(d) for d in kept], [int(pool[d]) for d in kept])
+
+
+def _step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    rows, after = fold_events(pd.concat(list(batches), ignore_index=True), state.get if state.exists else None)
+    state.update(after)
+    yield rows
 
 
 def live_user_state(activity: DataFrame, watermark: str | None = None) -> DataFrame:
     """Streaming activity log -> one result row per event."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    a = activity
-    if watermark:
-        a = a.withWatermark("ts", watermark)
-    cols = ["user_id", "event_id", "ts", "day", "activity_type", "duration_minutes", "intensity", "build"]
-    return a.select(*cols).groupBy("user_id").applyInPandasWithState(
-        _fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    a = activity.withWatermark("ts", watermark) if watermark else activity
+    base = F.col("duration_minutes").cast("double") * F.col("intensity_mult") * F.col("relevance_mult")
+    rows = with_relevance(a).select("user_id", "event_id", "ts", "day", "build", base.alias("base"))
+    out = rows.groupBy("user_id").applyInPandasWithState(_step, _FOLDED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    before, after = X.badge_index("total_xp_before"), X.badge_index("total_xp_after")
+    badge = F.when(after > before, X.badge_name(F.col("build"), after))
+    room = F.greatest(F.lit(0), F.col("daily_cap") - F.col("daily_xp_before"))
+    lively = F.col("badge_earned").isNotNull() | X.streak_milestone("current_streak").isNotNull()
+    return (
+        out.withColumn("was_capped", F.col("rr") > room)
+        .withColumn("level_after", X.level_of("total_xp_after"))
+        .withColumn("badge_earned", badge)
+        .withColumn("chatbot_hint", F.when(F.col("streak_broken"), "support_mode").when(lively, "hype_mode"))
+        .select(*OUTPUT_COLUMNS)
     )
 
 
@@ -168,7 +180,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_to_table(stream: DataFrame, name: str, trigger_once: bool = True) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a streaming query to completion (``availableNow``) into a parquet
     folder under the shared checkpoint folder and read the result back."""
     spark = stream.sparkSession
@@ -186,18 +198,13 @@ def run_to_table(stream: DataFrame, name: str, trigger_once: bool = True) -> Dat
     return spark.read.parquet(os.path.join(root, "data"))
 
 
-def stream_events(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files_per_trigger: int = 1) -> DataFrame:
-    """File stream of event parquet files in ``folder`` matching ``pattern``
-    (oldest first, ``max_files_per_trigger`` per micro-batch)."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    raw = (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder)
-    )
+def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Stream of the event files of ``path`` (a table folder or one file), oldest first, ``max_files_per_trigger`` a micro-batch."""
+    schema = spark.read.parquet(path).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
     return events_to_activity_log(raw)
 
 
 def score_stream(model, features_stream: DataFrame) -> DataFrame:
     """Apply a fitted ``PipelineModel`` to a streaming DataFrame."""
     return model.transform(features_stream)
-
