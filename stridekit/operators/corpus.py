@@ -84,19 +84,42 @@ def first_exchange(turns: DataFrame, conv="conv_id", turn="turn", role="role", t
     )
 
 
-def first_two_turns(turns: DataFrame, conv="conv_id", turn="turn", text="text") -> DataFrame:
-    """Positional first and second turn of each conversation, when it has two."""
-    agg = turns.groupBy(conv).agg(
-        F.min_by(F.struct(F.col(turn), F.col(text)), F.col(turn)).alias("t0"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    second = turns.alias("s").join(agg.alias("a"), conv).where(F.col(f"s.{turn}") > F.col("a.t0").getField(turn))
-    second = second.groupBy(conv).agg(F.min_by(F.col(f"s.{text}"), F.col(f"s.{turn}")).alias("second_text"))
-    return (
-        agg.join(second, conv)
-        .select(conv, T.py_strip(T.nz(F.col("t0").getField(text))).alias("user"), T.py_strip(T.nz("second_text")).alias("assistant"))
-        .where((F.length("user") > 0) & (F.length("assistant") > 0))
-    )
+def first_two_turns(
+    turns: DataFrame, conv="conv_id", turn="turn", role="role", text="text", human: str = "user", min_reply: int = 40,
+    flat: DataFrame | None = None,
+) -> DataFrame:
+    """The first two turns of each conversation: the first must come from
+    ``human``, the reply is the second turn, whoever speaks, with at least
+    ``min_reply`` characters. Conversations of fewer than two turns fall back
+    to ``flat`` (conv, instruction, input, output, response): the instruction (or the
+    input, if there is no instruction column value) and the output (or response).
+
+    One aggregate: the two turns with the smallest numbers, combined map-side."""
+    one = F.struct(F.col(turn).alias("n"), F.col(role).alias("r"), F.col(text).alias("t"))
+    first = turns.groupBy(conv).agg(F.min_by(one, turn).alias("a"), F.count(F.lit(1)).alias("n_turns"))
+    if flat is not None:
+        first = first.join(flat, conv, "full")
+    later = turns.join(first.where("n_turns >= 2").select(conv, F.col("a.n").alias("_n")), conv).where(F.col(turn) > F.col("_n"))
+    reply = later.groupBy(conv).agg(F.min_by(F.col(text), turn).alias("b"))
+    x = first.join(reply, conv, "left")
+    talks = F.coalesce(F.col("n_turns"), F.lit(0)) >= 2
+    user = F.when(talks, F.when(F.col("a.r") == human, F.col("a.t")))
+    answer = F.when(talks, F.col("b"))
+    if flat is not None:
+        user = F.when(~talks, F.coalesce("instruction", "input")).otherwise(user)
+        answer = F.when(~talks, F.coalesce("output", "response")).otherwise(answer)
+    out = x.select(conv, user.alias("user"), answer.alias("assistant"))
+    return out.where((F.length("user") > 0) & (F.length("assistant") >= min_reply))
+
+
+def utterance_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", utterances: str = "utterances", min_reply: int = 30) -> DataFrame:
+    """Neighbouring turns of utterance lists: each side's utterances joined
+    by a space and stripped; both sides non-empty, the reply longer than ``min_reply``."""
+    said = turns.withColumn("_said", F.when(F.size(utterances) > 0, T.py_strip(F.array_join(utterances, " "))))
+    rows = said.select(conv, turn, "_said", (-F.col(turn)).alias("_back"))
+    rows = running_aggregates(rows, [conv], ["_back"], {"_reply": ("_said", "lag")})
+    out = rows.select(conv, F.col(turn).alias("user_turn"), F.col("_said").alias("user"), F.col("_reply").alias("assistant"))
+    return out.where((F.length("user") > 0) & (F.length("assistant") > min_reply))
 
 
 def parent_child_pairs(

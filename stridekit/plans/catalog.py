@@ -4,6 +4,7 @@ from . import (  # noqa: F401  (imported for their registrations)
     anomaly_queries,
     corpus_queries,
     dialogue_queries,
+    extract_queries,
     sentiment_queries,
     source_queries,
     streaming_queries,

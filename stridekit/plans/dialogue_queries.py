@@ -60,33 +60,51 @@ def q_first_exchange(spark, sf):
     return C.first_exchange(conv(spark, sf))
 
 
-@register("dialogue_first_two_turns", f"""
-    SELECT conv_id, "user", assistant FROM (
-      SELECT conv_id,
-             {S.py_strip("coalesce(max(text) FILTER (WHERE rn = 1), '')")} AS "user",
-             {S.py_strip("coalesce(max(text) FILTER (WHERE rn = 2), '')")} AS assistant,
-             count(*) FILTER (WHERE rn = 2) AS has2
-      FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
-      GROUP BY conv_id)
-    WHERE has2 > 0 AND length("user") > 0 AND length(assistant) > 0""")
+@register("dialogue_first_two_turns", """
+    WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+    c AS (SELECT conv_id, count(*) AS n, max(CASE WHEN rn = 1 THEN role END) AS role1,
+                 max(CASE WHEN rn = 1 THEN text END) AS text1, max(CASE WHEN rn = 2 THEN text END) AS text2 FROM t GROUP BY conv_id),
+    f AS (SELECT doc_id AS conv_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS instruction, lang AS input,
+                 CASE WHEN doc_id % 2 = 0 THEN NULL ELSE text END AS output, substr(text, 1, 60) AS response FROM documents),
+    x AS (SELECT coalesce(c.conv_id, f.conv_id) AS conv_id,
+                 CASE WHEN n >= 2 THEN CASE WHEN role1 = 'user' THEN text1 END ELSE coalesce(instruction, input) END AS "user",
+                 CASE WHEN n >= 2 THEN text2 ELSE coalesce(output, response) END AS assistant
+          FROM c FULL JOIN f ON c.conv_id = f.conv_id)
+    SELECT conv_id, "user", assistant FROM x WHERE length("user") > 0 AND length(assistant) >= 40""")
 def q_first_two_turns(spark, sf):
-    return C.first_two_turns(conv(spark, sf))
+    """``conversations``, with ``documents`` as the flat records of ids without two turns."""
+    d = read_table(spark, sf, "documents")
+    flat = d.select(
+        F.col("doc_id").alias("conv_id"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("instruction"), F.col("lang").alias("input"),
+        F.when(F.col("doc_id") % 2 != 0, F.col("text")).alias("output"), F.substring("text", 1, 60).alias("response"),
+    )
+    return C.first_two_turns(conv(spark, sf), flat=flat)
+
+
+@register("dialogue_utterance_pairs", f"""
+    WITH t AS (SELECT conv_id, turn, {S.py_strip("array_to_string(string_split(text, chr(10)), ' ')")} AS said FROM conversations WHERE text IS NOT NULL),
+    p AS (SELECT conv_id, turn AS user_turn, said AS "user", lead(said) OVER (PARTITION BY conv_id ORDER BY turn) AS assistant FROM t)
+    SELECT conv_id, user_turn, "user", assistant FROM p WHERE length("user") > 0 AND length(assistant) > 30""")
+def q_utterance_pairs(spark, sf):
+    """Turns as lists of utterances (a turn's lines)."""
+    turns = conv(spark, sf).where("text IS NOT NULL").select("conv_id", "turn", F.split("text", "\n").alias("utterances"))
+    return C.utterance_pairs(turns)
 
 
 @register("dialogue_parent_child", f"""
-    SELECT c.conv_id * 1000 + c.turn AS message_id, c.conv_id * 1000 + c.turn - 1 AS parent_id,
-           {S.py_strip("coalesce(p.text, '')")} AS "user", {S.py_strip("coalesce(c.text, '')")} AS assistant
-    FROM conversations c JOIN conversations p ON p.conv_id * 1000 + p.turn = c.conv_id * 1000 + c.turn - 1
-    WHERE c.role = 'assistant' AND p.role = 'user'
+    SELECT c.conv_id, c.turn, {S.py_strip("coalesce(p.text, '')")} AS "user", {S.py_strip("coalesce(c.text, '')")} AS assistant
+    FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+    WHERE c.role = 'assistant' AND p.role = 'user' AND (c.conv_id % 4 <> 1)
       AND length({S.py_strip("coalesce(p.text, '')")}) > 0 AND length({S.py_strip("coalesce(c.text, '')")}) > 0""")
 def q_parent_child(spark, sf):
-    """B13 on a message table whose ids/parent ids are derived from (conv_id, turn)."""
+    """B13 on a message table whose ids are (conversation, turn) pairs; languages en, fr and none in turn."""
+    lang = F.when(F.col("conv_id") % 4 == 1, "fr").when(F.col("conv_id") % 4 == 2, "en")
     m = conv(spark, sf).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"),
-        "role", "text",
+        F.struct("conv_id", "turn").alias("message_id"),
+        F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent_id"), "role", "text", lang.alias("lang"),
     )
-    return C.parent_child_pairs(m, "message_id", "parent_id")
+    out = C.parent_child_pairs(m, "message_id", "parent_id", lang="lang")
+    return out.select("message_id.conv_id", "message_id.turn", "user", "assistant")
 
 
 def _posts_comments(spark, sf):

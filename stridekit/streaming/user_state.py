@@ -200,8 +200,14 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Stream of the event files of ``path`` (a table folder or one file), oldest first, ``max_files_per_trigger`` a micro-batch."""
-    schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    files = table.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}"):  # a file: a stream reads folders, so its folder under its name
+        raw = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        raw = reader.parquet(path)
     return events_to_activity_log(raw)
 
 
