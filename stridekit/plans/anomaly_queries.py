@@ -136,22 +136,13 @@ def q_scaled_features(spark, sf):
     return z.select("user_id", "day", "split", *[F.bround(f"z_{c}", 6).alias(f"z_{c}") for c in AN.FEATURES])
 
 
-_SCORED: dict = {}
-
-
 def _scored(spark, sf, rf_trees: int = 150):
-    """Fit once per session and dataset; the scored held-out days are
-    checkpointed and shared by the two model queries."""
-    key = (id(spark), sf, rf_trees)
-    if key not in _SCORED:
-        sp = _split(spark, sf)
-        stats = AN.fit_scaler(sp.where(F.col("split") == "train"))
-        z = AN.apply_scaler(sp, stats).checkpoint(eager=True)
-        model = AN.fit_models(z.where(F.col("split") == "train"), P.SEED, rf_trees)
-        _SCORED[key] = AN.score(model, z.where(F.col("split") == "val")).drop(
-            "features", "r_lr", "p_lr", "r_dt", "p_dt", "r_rf", "p_rf"
-        ).checkpoint(eager=True)
-    return _SCORED[key]
+    """The three models, fitted anew, and their scores of the held-out days."""
+    sp = _split(spark, sf)
+    stats = AN.fit_scaler(sp.where(F.col("split") == "train"))
+    z = AN.apply_scaler(sp, stats).checkpoint(eager=True)
+    model = AN.fit_models(z.where(F.col("split") == "train"), P.SEED, rf_trees)
+    return AN.score(model, z.where(F.col("split") == "val")).drop("features", "r_lr", "p_lr", "r_dt", "p_dt", "r_rf", "p_rf")
 
 
 @register("anomaly_model_scores", None)
