@@ -263,7 +263,7 @@ def plain_lm(rows, gram_share, d=lm.DISCOUNT):
     return out
 
 
-@pytest.mark.parametrize("word_share,gram_share", [(lm.WORD_SHARE, lm.GRAM_SHARE), (1e-3, 2e-4)])
+@pytest.mark.parametrize("word_share,gram_share", [(lm.WORD_SHARE, lm.GRAM_SHARE), (1e-3, 2e-4), (5e-5, 1e-3)])
 def test_op6_against_plain(docs, texts, word_share, gram_share):
     rows = textblocks.with_crc(docs.select("doc_id", "text"), 7, 2)
     got = {r["doc_id"]: r for r in lm.score(rows, *lm.train(rows.where("NOT held_out"), word_share, gram_share)).collect()}
