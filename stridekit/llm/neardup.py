@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     root = lambda end: comp.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     rest = pairs.where(F.col("gap") > NEAREST).join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.unionByName(_confirmed(rest, sets, percent))
+    links = links.unionByName(_confirmed(rest, sets, percent).checkpoint())  # read several times
     comp = connected_components(links)
     named = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select(
         F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("n").alias("kn"), F.coalesce("root", "nid").alias("root")
