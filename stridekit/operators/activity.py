@@ -405,14 +405,18 @@ def xp_preview(snapshot: DataFrame, proposals: DataFrame) -> DataFrame:
 def switch_builds(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
     """apply (user_id, new_build, mode) requests. ``archive`` keeps the old
     build as legacy and starts the new one at the 500 XP bonus; ``secondary``
-    opens the single secondary slot. Both need the legendary badge."""
-    x = requests.join(snapshot.select("user_id", "primary_build", "total_xp", "is_legendary"), "user_id")
+    opens the single secondary slot, unless the snapshot's ``secondary_build`` (if it
+    has that column) holds one. Both need the legendary badge."""
+    slot = F.col("secondary_build") if "secondary_build" in snapshot.columns else F.lit(None).cast("string")
+    x = requests.join(snapshot.select("user_id", "primary_build", "total_xp", "is_legendary", slot.alias("_slot")), "user_id")
     valid_build = F.array_contains(_builds(), F.lower("new_build"))
-    ok = valid_build & F.col("is_legendary") & F.col("mode").isin("archive", "secondary")
+    taken = (F.col("mode") == "secondary") & F.col("_slot").isNotNull()
+    ok = valid_build & F.col("is_legendary") & F.col("mode").isin("archive", "secondary") & ~taken
     reason = (
         F.when(~valid_build, F.lit("Unknown build"))
         .when(~F.col("mode").isin("archive", "secondary"), F.lit("mode must be 'secondary' or 'archive'"))
         .when(~F.col("is_legendary"), F.lit("Must reach Legendary badge first."))
+        .when(taken, F.lit("Secondary build slot already active."))
     )
     archive = ok & (F.col("mode") == "archive")
     return x.select(
@@ -421,7 +425,7 @@ def switch_builds(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(archive, F.lit(K.LEGACY_BONUS_XP).cast("long")).otherwise(F.col("total_xp")).alias("primary_total_xp"),
         F.when(archive, F.col("primary_build")).alias("archived_build"),
         F.when(archive, F.col("total_xp")).alias("archived_total_xp"),
-        F.when(ok & (F.col("mode") == "secondary"), F.lower("new_build")).alias("secondary_build"),
+        F.when(ok & (F.col("mode") == "secondary"), F.lower("new_build")).otherwise(F.col("_slot")).alias("secondary_build"),
     )
 
 

@@ -286,14 +286,14 @@ def q_downsample(spark, sf):
 @register("corpus_oversample", f"""
     WITH {_LABELLED_SQL},
     c AS (SELECT count(*) AS total, count(*) FILTER (WHERE label = 'neutral') AS n_cls FROM lab),
-    need AS (SELECT CAST(floor(total * 0.12) - n_cls AS BIGINT) AS need, n_cls FROM c WHERE floor(total * 0.12) - n_cls > 0 AND n_cls > 0),
+    need AS (SELECT CAST(floor(total * 0.2) - n_cls AS BIGINT) AS need, n_cls FROM c WHERE floor(total * 0.2) - n_cls > 0 AND n_cls > 0),
     draws AS (SELECT i AS draw, (CAST(('0x' || substr({S.shuffle_key(P.SEED, 'i')}, 1, 15)) AS BIGINT) % n_cls) + 1 AS rn
               FROM need, range(need) t(i)),
     ranked AS (SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) AS rn FROM lab WHERE label = 'neutral')
     SELECT doc_id, label FROM lab
     UNION ALL SELECT r.doc_id, r.label FROM draws JOIN ranked r ON r.rn = draws.rn""")
 def q_oversample(spark, sf):
-    return C.oversample(labelled(spark, sf).select("doc_id", "label"), "label", "neutral", "doc_id", 0.12, P.SEED)
+    return C.oversample(labelled(spark, sf).select("doc_id", "label"), "label", "neutral", "doc_id", 0.2, P.SEED)
 
 
 # ------------------------------------------------------------------- reports

@@ -164,7 +164,8 @@ def _first_system(c):
                arg_min({_STRIP_TEXT}, turn) FILTER (WHERE role = 'assistant' AND {_STRIP_TEXT} <> '') AS assistant
         FROM conversations GROUP BY conv_id)
       WHERE "user" IS NOT NULL AND assistant IS NOT NULL),
-    x AS (SELECT fx.*, coalesce(sys.system, '') AS system FROM fx LEFT JOIN sys ON sys.conv_id = fx.conv_id),
+    x AS (SELECT fx.*, coalesce(sys.system, '') || CASE WHEN fx.conv_id % 9 < 7 THEN ' You are ' || [{", ".join(S.q(c) for c in KW.CLASS_ORDER)}][CAST(fx.conv_id % 9 AS INTEGER) + 1] ELSE '' END AS system
+          FROM fx LEFT JOIN sys ON sys.conv_id = fx.conv_id),
     y AS (SELECT *, (CASE {" ".join(f"WHEN contains(system, '{c}') THEN '{c}'" for c in KW.CLASS_ORDER)} ELSE 'GENERIC' END) AS persona,
                  {S.best_class(S.class_score_cols('"user" || \' \' || assistant', P.DEMO_KEYWORDS))} AS best_class
           FROM x WHERE "user" <> '' AND assistant <> ''),
@@ -174,12 +175,23 @@ def _first_system(c):
     FROM z""")
 def q_persona_retag(spark, sf):
     c = conv(spark, sf)
-    fx = C.first_exchange(c).join(_first_system(c), "conv_id", "left").withColumn("system", T.nz("system"))
+    # seven of nine system texts name a class
+    k = F.pmod(F.col("conv_id"), F.lit(9)).cast("int")
+    named = F.when(k < 7, F.concat(F.lit(" You are "), F.element_at(F.array(*[F.lit(x) for x in KW.CLASS_ORDER]), F.least(k, F.lit(6)) + 1))).otherwise("")
+    fx = C.first_exchange(c).join(_first_system(c), "conv_id", "left").withColumn("system", F.concat(T.nz("system"), named))
     text = F.concat(F.col("user"), F.lit(" "), F.col("assistant"))
     r = C.retag_generic(fx, "system", text, P.DEMO_KEYWORDS, P.PERSONAS)
     return r.select("conv_id", "persona", "best_class", "class", "system_out")
 
 
+def _said(spark, sf):
+    """``conversations`` with one of ``SAID`` added to each text in turn."""
+    add = F.element_at(F.array(*[F.lit(x) for x in P.SAID]), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(P.SAID))) + 1).cast("int"))
+    return conv(spark, sf).withColumn("text", F.concat(T.nz("text"), F.lit(" "), add))
+
+
+_SAID_SQL = f"""(SELECT conv_id, turn, role, coalesce(text, '') || ' ' ||
+      [{", ".join(S.q(x) for x in P.SAID)}][CAST((conv_id * 7 + turn) % {len(P.SAID)} AS INTEGER) + 1] AS text FROM conversations)"""
 _S_HITS, _M_HITS = S.lexicon_hits("coalesce(text, '')")
 
 
@@ -187,9 +199,9 @@ _S_HITS, _M_HITS = S.lexicon_hits("coalesce(text, '')")
     SELECT conv_id, turn, CAST(s AS INTEGER) AS s_hits, CAST(m AS INTEGER) AS m_hits,
            CASE WHEN s > m THEN 'struggling' WHEN m > s THEN 'motivated' END AS lex_class,
            CAST(CASE WHEN s > m THEN s WHEN m > s THEN m ELSE 0 END AS INTEGER) AS lex_hits
-    FROM (SELECT conv_id, turn, {_S_HITS} AS s, {_M_HITS} AS m FROM conversations)""")
+    FROM (SELECT conv_id, turn, {_S_HITS} AS s, {_M_HITS} AS m FROM {_SAID_SQL})""")
 def q_lexicon(spark, sf):
-    c = conv(spark, sf)
+    c = _said(spark, sf)
     s, m = KW.lexicon_hits(T.nz("text"))
     c = c.select("conv_id", "turn", s.alias("s_hits"), m.alias("m_hits"))
     cls, hits = KW.lexicon_class(F.col("s_hits"), F.col("m_hits"))
@@ -199,9 +211,9 @@ def q_lexicon(spark, sf):
 @register("dialogue_routing", f"""
     SELECT conv_id, turn, {S.route_message("coalesce(text, '')", "lex_class")} AS mode FROM (
       SELECT conv_id, turn, text, CASE WHEN s > m THEN 'struggling' WHEN m > s THEN 'motivated' END AS lex_class
-      FROM (SELECT conv_id, turn, text, {_S_HITS} AS s, {_M_HITS} AS m FROM conversations WHERE role = 'user'))""")
+      FROM (SELECT conv_id, turn, text, {_S_HITS} AS s, {_M_HITS} AS m FROM {_SAID_SQL} WHERE role = 'user'))""")
 def q_routing(spark, sf):
-    c = conv(spark, sf).where(F.col("role") == "user")
+    c = _said(spark, sf).where(F.col("role") == "user")
     s, m = KW.lexicon_hits(T.nz("text"))
     cls, _ = KW.lexicon_class(s, m)
     return c.select("conv_id", "turn", KW.route_message(T.nz("text"), cls).alias("mode"))

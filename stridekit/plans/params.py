@@ -42,3 +42,11 @@ SEED = 42
 BOOSTING = {"rounds": 10, "depth": 4, "features": 1000}
 # Likewise the most iterations of their logistic regressions and SVMs (default: 1,000 and 2,000).
 ITERATIONS = (100, 25)
+
+# Things people say, added to the tables' texts in turn (the invented vocabulary has none of
+# the lexicon's or the router's words): both sides of the lexicon, once and several times, ties,
+# words of every route, and nothing.
+SAID = [
+    "", "i want to give up", "hopeless and stuck and exhausted", "crushed it today", "proud and unstoppable and hyped", "stuck but proud",
+    "how much xp do i earn", "can i switch my build", "hey whats up", "so tired", "my daily streak",
+]

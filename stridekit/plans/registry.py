@@ -78,10 +78,15 @@ def q_activity_xp_preview(spark, sf):
 @register("activity_build_switch", SA.switch_sql())
 def q_activity_build_switch(spark, sf):
     from pyspark.sql import functions as F
-    from ..functions.constants import BUILDS
+    from ..functions.constants import BADGE_THRESHOLDS, BUILDS, LEGENDARY_BADGE_INDEX
 
-    snap = A.user_snapshot(_ledger(spark, sf), recent=None)
+    # forty times the month's XP stand for a longer history; every third user has a second build
     builds = F.array(*[F.lit(b) for b in BUILDS])
+    snap = A.user_snapshot(_ledger(spark, sf), recent=None).select(
+        "user_id", "primary_build", (F.col("total_xp") * 40).alias("total_xp"),
+        (F.col("total_xp") * 40 >= BADGE_THRESHOLDS[LEGENDARY_BADGE_INDEX]).alias("is_legendary"),
+        F.when(F.col("user_id") % 3 == 0, F.element_at(builds, (F.pmod(F.col("user_id") + 2, F.lit(7)) + 1).cast("int"))).alias("secondary_build"),
+    )
     requests = snap.select(
         "user_id",
         F.element_at(builds, (F.pmod(F.col("user_id") + 1, F.lit(7)) + 1).cast("int")).alias("new_build"),

@@ -264,22 +264,28 @@ def preview_sql() -> str:
 
 
 def switch_sql() -> str:
+    legendary = K.BADGE_THRESHOLDS[K.LEGENDARY_BADGE_INDEX]
     return f"""
-    WITH snap AS ({snapshot_sql()}),
+    WITH snap AS (
+      SELECT user_id, primary_build, total_xp * 40 AS total_xp, total_xp * 40 >= {legendary} AS is_legendary,
+             CASE WHEN user_id % 3 = 0 THEN {_builds_list()}[CAST((user_id + 2) % 7 AS INTEGER) + 1] END AS slot
+      FROM ({snapshot_sql()})),
     req AS (
       SELECT user_id, {_builds_list()}[CAST((user_id + 1) % 7 AS INTEGER) + 1] AS new_build,
              CASE WHEN user_id % 2 = 0 THEN 'archive' ELSE 'secondary' END AS mode
       FROM snap
-    )
-    SELECT req.user_id, req.mode, lower(req.new_build) AS new_build,
-           (is_legendary AND mode IN ('archive', 'secondary')) AS success,
-           CASE WHEN NOT is_legendary THEN 'Must reach Legendary badge first.' END AS reason,
-           CASE WHEN is_legendary AND mode = 'archive' THEN lower(new_build) ELSE primary_build END AS primary_build,
-           CASE WHEN is_legendary AND mode = 'archive' THEN CAST({K.LEGACY_BONUS_XP} AS BIGINT) ELSE total_xp END AS primary_total_xp,
-           CASE WHEN is_legendary AND mode = 'archive' THEN primary_build END AS archived_build,
-           CASE WHEN is_legendary AND mode = 'archive' THEN total_xp END AS archived_total_xp,
-           CASE WHEN is_legendary AND mode = 'secondary' THEN lower(new_build) END AS secondary_build
-    FROM req JOIN snap ON snap.user_id = req.user_id"""
+    ),
+    x AS (SELECT req.*, snap.* EXCLUDE (user_id), is_legendary AND NOT (mode = 'secondary' AND slot IS NOT NULL) AS ok
+          FROM req JOIN snap ON snap.user_id = req.user_id)
+    SELECT user_id, mode, lower(new_build) AS new_build, ok AS success,
+           CASE WHEN NOT is_legendary THEN 'Must reach Legendary badge first.'
+                WHEN mode = 'secondary' AND slot IS NOT NULL THEN 'Secondary build slot already active.' END AS reason,
+           CASE WHEN ok AND mode = 'archive' THEN lower(new_build) ELSE primary_build END AS primary_build,
+           CASE WHEN ok AND mode = 'archive' THEN CAST({K.LEGACY_BONUS_XP} AS BIGINT) ELSE total_xp END AS primary_total_xp,
+           CASE WHEN ok AND mode = 'archive' THEN primary_build END AS archived_build,
+           CASE WHEN ok AND mode = 'archive' THEN total_xp END AS archived_total_xp,
+           CASE WHEN ok AND mode = 'secondary' THEN lower(new_build) ELSE slot END AS secondary_build
+    FROM x"""
 
 
 def gamer_sql() -> str:
