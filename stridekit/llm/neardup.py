@@ -52,6 +52,7 @@ MIN_DEPTH = 2
 WINDOW = 8
 SKETCH_BITS = 128
 NEAREST = 1
+MAX_BROADCAST_NODES = 500_000
 _NULL_IDS = 1 << 62  # nodes without a doc_id are numbered from here
 
 
@@ -97,7 +98,7 @@ def _signatures(sets: list[np.ndarray], mult: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n, g1, g2 (set digest), labels (TREES x DEPTH 32-bit values), s1, s2 (sketch) of every row."""
+    """doc_id, n, g1, g2 (set digest), labels (the forest keys of all trees), s1, s2 (sketch) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = _functions(TREES * DEPTH)
@@ -106,7 +107,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             at, ids = 0, batch.column("doc_id")
             for sets in shingle_sets(batch.column("text"), shingle):
                 sig = mix(_signatures(sets, mult))
-                labels = (sig >> np.uint64(32)).astype(np.uint32)
+                labels = _forest_keys(sig)
                 bits = sig[:, :SKETCH_BITS] & np.uint64(1)
                 g1, g2 = _digest(sets)
                 yield pa.RecordBatch.from_arrays(
@@ -127,23 +128,28 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, g1 long, g2 long, labels binary, s1 long, s2 long")
 
 
+def _forest_keys(sig: np.ndarray) -> np.ndarray:
+    """Three 64-bit columns for each text and tree: the prefix of MIN_DEPTH values, then the deeper values in order, 21 bits each."""
+    lab = (sig >> np.uint64(32)).reshape(len(sig), TREES, DEPTH)
+    tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = mix((lab[:, :, 0] << np.uint64(32) | lab[:, :, 1]) ^ mix(tree)[None, :])
+    lab = lab >> np.uint64(11)
+    deep = [lab[:, :, d] << np.uint64(42) | lab[:, :, d + 1] << np.uint64(21) | lab[:, :, d + 2] for d in (2, 5)]
+    return np.stack([key, *deep], axis=2)
+
+
 _ROW = ["key", "r1", "r2", "nid", "n", "s1", "s2"]
 
 
 def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each node and tree: the prefix key of MIN_DEPTH values, then the deeper values in order."""
+    """One row for each node and tree."""
     for batch in batches:
         m = batch.num_rows
         if not m:
             continue
-        lab = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.uint32).reshape(m, TREES, DEPTH).astype(np.uint64)
-        tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        key = mix((lab[:, :, 0] << np.uint64(32) | lab[:, :, 1]) ^ mix(tree)[None, :])
-        lab >>= np.uint64(11)  # the deeper values go three to a column, 21 bits each
-        r1 = lab[:, :, 2] << np.uint64(42) | lab[:, :, 3] << np.uint64(21) | lab[:, :, 4]
-        r2 = lab[:, :, 5] << np.uint64(42) | lab[:, :, 6] << np.uint64(21) | lab[:, :, 7]
+        keys = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.int64).reshape(m * TREES, 3)
         same = [np.repeat(batch.column(c).to_numpy(), TREES) for c in ("nid", "n", "s1", "s2")]
-        yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1).view(np.int64)) for x in (key, r1, r2)] + [pa.array(x) for x in same], names=_ROW)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[:, c]) for c in range(3)] + [pa.array(x) for x in same], names=_ROW)
 
 
 def _least_agreement(percent: int) -> int:
@@ -238,7 +244,9 @@ def candidates(nodes: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """nid, items (sorted distinct shingle hashes) of the nodes in ``ids``."""
-    wanted = nodes.join(ids, "nid", "left_semi").select("nid", "g1", "g2", F.col("doc").alias("doc_id"))
+    wanted = nodes.join(ids, "nid", "left_semi").select("nid", "g1", "g2", F.col("doc").alias("doc_id")).checkpoint()
+    if wanted.count() <= MAX_BROADCAST_NODES:  # four numbers a row; else the texts are shuffled to them
+        wanted = F.broadcast(wanted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
