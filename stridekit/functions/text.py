@@ -78,13 +78,13 @@ def html_unescape_subset(x) -> Column:
 
 
 def clean_post(x) -> Column:
-    """Sentinel -> ''; entities; URLs out; *emphasis* unwrapped; escaped
-    quote lines out; 3+ newlines -> 2; stripped."""
+    """Sentinel -> ''; entities; URLs out; *emphasis* unwrapped; lines that
+    start with ``>`` (quotes) out; 3+ newlines -> 2; stripped."""
     raw = nz(x)
     t = html_unescape_subset(raw)
     t = F.regexp_replace(t, f"http{NON_WS}+", "")
     t = F.regexp_replace(t, r"\*{1,3}(.*?)\*{1,3}", "$1")
-    t = F.regexp_replace(t, r"&gt;[^\n]*\n?", "")
+    t = F.regexp_replace(t, r"(?m)^>[^\n]*\n?", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = py_strip(t)
     return F.when(py_strip(raw).isin(*EMPTY_SENTINELS), F.lit("")).otherwise(t)

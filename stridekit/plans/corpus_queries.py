@@ -47,14 +47,25 @@ def q_manifest(spark, sf):
 
 # ------------------------------------------------------------------ cleaning
 
-@register("corpus_clean_text", f"SELECT doc_id, {S.clean_text('text')} AS clean FROM documents")
+# Every second text in typographic dress: quotes, dashes, an ellipsis, runs of spaces.
+_DRESSED_SQL = """CASE WHEN doc_id % 2 = 0 THEN '“' || replace(replace(text, ', ', ' —  '), ' the ', ' ‘the’ ') || '…”' ELSE text END"""
+
+
+@register("corpus_clean_text", f"SELECT doc_id, {S.clean_text('x')} AS clean FROM (SELECT doc_id, {_DRESSED_SQL} AS x FROM documents)")
 def q_clean_text(spark, sf):
-    return docs(spark, sf).select("doc_id", T.clean_text("text").alias("clean"))
+    return docs(spark, sf).select("doc_id", F.expr(_DRESSED_SQL).alias("x")).select("doc_id", T.clean_text("x").alias("clean"))
+
+
+# Texts as posts: deleted ones, quoted lines, emphasis, entities, links, many blank lines.
+_POST_SQL = """CASE doc_id % 5 WHEN 0 THEN ' [deleted] '
+      WHEN 1 THEN '&gt; ' || text || chr(10) || 'reply'
+      WHEN 2 THEN '**' || source || '** &amp; see http://x.y/' || CAST(doc_id AS STRING) || ' ' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'end'
+      WHEN 3 THEN '&lt;b&gt; &quot;' || text || '&quot; it&#39;s *so*' ELSE text END"""
 
 
-@register("corpus_clean_post", f"SELECT doc_id, {S.clean_post('text')} AS clean FROM documents")
+@register("corpus_clean_post", f"SELECT doc_id, {S.clean_post('x')} AS clean FROM (SELECT doc_id, {_POST_SQL} AS x FROM documents)")
 def q_clean_post(spark, sf):
-    return docs(spark, sf).select("doc_id", T.clean_post("text").alias("clean"))
+    return docs(spark, sf).select("doc_id", F.expr(_POST_SQL).alias("x")).select("doc_id", T.clean_post("x").alias("clean"))
 
 
 @register(

@@ -30,7 +30,7 @@ def clean_post(x: str) -> str:
         t = f"replace({t}, {q(ent)}, {q(ch)})"
     t = f"regexp_replace({t}, 'http{T.NON_WS}+', '', 'g')"
     t = rf"regexp_replace({t}, '\*{{1,3}}(.*?)\*{{1,3}}', '\1', 'g')"
-    t = rf"regexp_replace({t}, '&gt;[^\n]*\n?', '', 'g')"
+    t = rf"regexp_replace({t}, '(?m)^>[^\n]*\n?', '', 'g')"
     t = rf"regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g')"
     t = py_strip(t)
     sentinels = ", ".join(q(s) for s in T.EMPTY_SENTINELS)
