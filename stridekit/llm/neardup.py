@@ -245,8 +245,9 @@ def candidates(nodes: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """nid, items (sorted distinct shingle hashes) of the nodes in ``ids``."""
     wanted = nodes.join(ids, "nid", "left_semi").select("nid", "g1", "g2", F.col("doc").alias("doc_id")).checkpoint()
-    if wanted.count() <= MAX_BROADCAST_NODES:  # four numbers a row; else the texts are shuffled to them
-        wanted = F.broadcast(wanted)
+    named = wanted.where("doc_id IS NOT NULL")
+    if named.count() <= MAX_BROADCAST_NODES:  # four numbers a row; else the texts are shuffled to them
+        named = F.broadcast(named)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,9 +265,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> Da
                 )
                 at += len(sets)
 
-    on = docs["doc_id"].eqNullSafe(wanted["doc_id"])
-    texts = docs.join(wanted, on).select("nid", "g1", "g2", "text")
-    return texts.mapInArrow(scan, "nid long, items array<long>").dropDuplicates(["nid"])
+    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets in shingle_sets(batch.column("text"), shingle):
+                offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                g1, g2 = _digest(sets)
+                items = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), items], names=["g1", "g2", "items"])
+
+    texts = docs.join(named, "doc_id").select("nid", "g1", "g2", "text")
+    found = texts.mapInArrow(scan, "nid long, items array<long>")
+    # rows without an id are found by their set's digest
+    others = docs.where("doc_id IS NULL").select("text").mapInArrow(all_sets, "g1 long, g2 long, items array<long>")
+    others = others.join(wanted.where("doc_id IS NULL").select("nid", "g1", "g2"), ["g1", "g2"]).select("nid", "items")
+    return found.unionByName(others).dropDuplicates(["nid"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -318,6 +331,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     Rows without a doc_id cannot be told apart: of classes that have no other rows, one row stays in all.
     """
     kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows, nth = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi"), fresh(docs, "_nth")
+    named, nth = docs.where("doc_id IS NOT NULL"), fresh(docs, "_nth")
     one = Window.partitionBy("doc_id").orderBy("doc_id")  # the join has dealt and sorted the rows by doc_id
-    return rows.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
+    rows = named.join(kept, named["doc_id"] == kept["_id"], "left_semi")
+    rows = rows.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
+    nameless = kept.where("_id IS NULL").select(F.lit(1).alias("_any"))  # one row or none
+    return rows.unionByName(docs.where("doc_id IS NULL").join(nameless, F.col("_any") == F.lit(1), "left_semi").limit(1))
