@@ -271,9 +271,10 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDE
     ids = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id", hash_unit("doc_id").alias("h"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("rows"))
     langs = sorted(r["lang"] for r in sizes.select("lang").collect())
-    # a hash limit leaves about twice the wanted rows of each language to be ranked
+    # a hash limit leaves about twice the wanted rows of each language to be ranked; one row a language is broadcast,
+    # as ids are not to be dealt by language before that
     pick = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ids.join(sizes, "lang").where(F.col("h") * F.col("rows") < 2 * rows_per_lang + 100)
+    ids = ids.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("rows") < 2 * rows_per_lang + 100)
     ids = ids.withColumn("rank", F.row_number().over(pick)).where(F.col("rank") <= rows_per_lang)
     ids = ids.groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
     if len(langs) * rows_per_lang <= MAX_BROADCAST_ROWS:
