@@ -10,13 +10,18 @@
    with a common prefix of at least ``MIN_DEPTH``: where few nodes share the
    prefix these are all of them, in dense regions they are those with the longest
    common prefix, so the depth adapts to the region. Partition edges are seamed.
-   The window bounds no result by itself: with 24 orders a text has some 400
-   places for partners, and a text with more links than that is reached by many.
 4. A candidate goes on if its sketches agree like sets of that similarity could
    (4.75 standard deviations of room) and its set sizes allow the threshold.
 5. Candidates are confirmed on the full sets: first each node's nearest
    neighbours, then those of the rest whose ends are still in different
    components. Components come from alternating star rounds.
+6. The window alone would be a cap on a text's partners. So the members of every
+   region (nodes with one prefix of ``MIN_DEPTH`` in one tree) that is longer than
+   the window, and not yet all in one component, are compared with each other,
+   in cells of two blocks of ``REGION_BLOCK`` members: by 256 more min-hashes (4.75
+   standard deviations of room again) if their components differ. First each
+   member's likest partner of a cell is confirmed, then all pairs whose components
+   still differ. This grows with the square of such a region, cut into cells.
 
 Two sets of similarity s meet in a tree of depth d with chance s^d. At 0.75
 and depth 2 all 24 trees miss with chance 2e-9, at depth 4 with 1e-4.
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .components import connected_components
-from .textblocks import NON_SPACE, blocks, bounded_batches, fresh, grams, mix, text_buffer, words
+from .textblocks import NON_SPACE, blocks, bounded_batches, find, fresh, grams, mix, text_buffer, words
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
@@ -52,6 +57,8 @@ MIN_DEPTH = 2
 WINDOW = 8
 SKETCH_BITS = 128
 NEAREST = 1
+REGION_BLOCK = 1000
+REGION_HASHES = 256  # one byte of each travels
 MAX_BROADCAST_NODES = 500_000
 _NULL_IDS = 1 << 62  # nodes without a doc_id are numbered from here
 
@@ -178,16 +185,38 @@ def _neighbours(rows: np.ndarray, new: int, percent: int, part: np.ndarray | Non
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-_SCAN = "a long, b long, gap long, part int, pos long, last boolean, row array<long>"
+_SCAN = "a long, b long, gap long, part int, pos long, last boolean, row array<long>, key long, nid long"
+
+
+class _Runs:
+    """key, nid of a sorted partition's rows in runs of one key that are longer than the window or reach the partition's edge."""
+
+    def __init__(self):
+        self.held, self.key, self.sent = np.zeros((0, 2), np.int64), None, True
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        x = np.concatenate([self.held, rows])
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(x[:, 0])) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(x)]]))
+        go = sizes > WINDOW + 1
+        go[0] |= self.sent and (self.key is None or x[0, 0] == self.key)
+        self.key, self.sent = x[-1, 0], bool(go[-1])
+        self.held = x[len(x) if self.sent else starts[-1] :]
+        return x[np.repeat(go, sizes)]
 
 
 def _scan(percent: int):
-    """Pairs within a sorted partition, and its first and last WINDOW rows for the seams."""
+    """Pairs within a sorted partition, its first and last WINDOW rows for the seams, and the members of its runs that the window does not hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tail = np.zeros((0, len(_ROW)), np.int64)
-        first, seen = tail, 0
+        first, seen, runs = tail, 0, _Runs()
+
+        def members(x: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*none, pa.array(x[:, 0]), pa.array(x[:, 1])], names=names)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -195,23 +224,28 @@ def _scan(percent: int):
             if len(first) < WINDOW:
                 first = np.concatenate([first, rows[: WINDOW - len(first)]])
             seen += len(rows)
+            if len(x := runs.add(rows[:, [0, 3]])):
+                yield members(x)
             rows = np.concatenate([tail, rows])
             pairs = _neighbours(rows, len(tail), percent)
             tail = rows[-WINDOW:]
             if len(pairs):
                 m = len(pairs)
-                none = [pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in range(3)] + none, names=["a", "b", "gap", "part", "pos", "last", "row"])
+                none = [pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in range(3)] + none, names=names)
+        if len(runs.held):
+            yield members(runs.held)
         small = seen <= 2 * WINDOW  # all its rows are in `first` and `tail`
         edge = [(k, False, r) for k, r in enumerate(first)] + [(seen - len(tail) + k, True, r) for k, r in enumerate(tail)]
         if edge:
             m = len(edge)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.nulls(m, pa.int64())] * 3, pa.array([part] * m, pa.int32()), pa.array([e[0] for e in edge], pa.int64()),
-                 pa.array([None if small else e[1] for e in edge], pa.bool_()), pa.array([e[2].tolist() for e in edge], pa.list_(pa.int64()))],
-                names=["a", "b", "gap", "part", "pos", "last", "row"],
+                 pa.array([None if small else e[1] for e in edge], pa.bool_()), pa.array([e[2].tolist() for e in edge], pa.list_(pa.int64())), *[pa.nulls(m, pa.int64())] * 2],
+                names=names,
             )
 
+    names = [c.split()[0] for c in _SCAN.split(", ")]
     return run
 
 
@@ -231,15 +265,17 @@ def _seams(edge: DataFrame, percent: int) -> DataFrame:
     return rows.select("seam", "part", "pos", "row").groupBy("seam").applyInPandas(pair, "a long, b long, gap long")
 
 
-def candidates(nodes: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """a, b, gap (distance in the nearest order) of all candidate pairs of the forest."""
+def candidates(nodes: DataFrame, percent: int = THRESHOLD_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """a, b, gap (distance in the nearest order) of the window's candidate pairs; key, nid, m of the members of each region of m > WINDOW + 1 nodes."""
     rows = nodes.select("nid", "n", "labels", "s1", "s2").mapInArrow(
         _forest_rows, "key long, r1 long, r2 long, nid long, n long, s1 long, s2 long"
     )
     order = ["key", "r1", "r2", "nid"]
     found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(percent), _SCAN).checkpoint()
     pairs = found.where("a IS NOT NULL").select("a", "b", "gap").unionByName(_seams(found.where("part IS NOT NULL"), percent))
-    return pairs.groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    members = found.where("nid IS NOT NULL").select("key", "nid")
+    dense = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > WINDOW + 1)
+    return pairs.groupBy("a", "b").agg(F.min("gap").alias("gap")), members.join(dense, "key")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -290,6 +326,113 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
+def _confirm_cell(percent: int):
+    """Those of a cell's pairs whose sets (rows nid, items of the same cell) have the similarity."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not pairs.num_rows or not sets.num_rows:
+            return none
+        nid, items = sets.column("nid").to_numpy(), sets.column("items").combine_chunks()
+        flat, sizes = items.flatten().to_numpy().view(np.uint64), items.value_lengths().to_numpy().astype(np.int64)
+        offs, order = np.concatenate([[0], np.cumsum(sizes)]), np.argsort(nid)
+        at = lambda c: order[np.searchsorted(nid[order], pairs.column(c).to_numpy())]
+        a, b = at("a"), at("b")
+        by_a = np.argsort(a, kind="stable")
+        a, b = a[by_a], b[by_a]
+        good = np.zeros(len(a), bool)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
+        for i0, i1 in zip(starts[:-1], starts[1:], strict=True):
+            x, lengths = flat[offs[a[i0]] : offs[a[i0] + 1]], sizes[b[i0:i1]]
+            _, hit = find(x, np.concatenate([flat[offs[j] : offs[j + 1]] for j in b[i0:i1]]))
+            both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+            good[i0:i1] = 100 * both >= percent * (len(x) + lengths - both)
+        return pa.table({"a": nid[a[good]], "b": nid[b[good]]})
+
+    return run
+
+
+def _confirmed_in_cells(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As _confirmed, for many pairs of few sets: a set travels once to each cell (two blocks of sets) that has a pair of it, not once a pair."""
+    pairs = pairs.checkpoint()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().count()
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-nodes // REGION_BLOCK))))
+    pairs = pairs.select(block("a").alias("i"), block("b").alias("k"), "a", "b")
+    needed = pairs.select("i", "k", F.explode(F.array("a", "b")).alias("nid")).distinct().join(sets, "nid").select(F.col("i").alias("si"), F.col("k").alias("sk"), "nid", "items")
+    return pairs.groupBy("i", "k").cogroup(needed.groupBy("si", "sk")).applyInArrow(_confirm_cell(percent), "a long, b long")
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """nid, n, print (a byte of each of REGION_HASHES min-hashes) of sets."""
+    mult = _functions(TREES * DEPTH + REGION_HASHES)[TREES * DEPTH :]
+    for batch in batches:
+        flat, offs = batch.column("items").flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(batch.column("items").value_lengths().to_numpy())])
+        for i0, i1 in blocks(offs, 1 << 20):
+            sets = [flat[offs[i] : offs[i + 1]] for i in range(i0, i1)]
+            sig = (mix(_signatures(sets, mult)) >> np.uint64(56)).astype(np.uint8)
+            arrays = [batch.column("nid").slice(i0, i1 - i0), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["nid", "n", "print"])
+
+
+def _cell(percent: int, likest: bool):
+    """Pairs of a cell's two blocks (or within one) with different roots that the prints and sizes allow; ``likest``: of each member the likest one only."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    least = int(REGION_HASHES * p - 4.75 * (REGION_HASHES * p * (1 - p)) ** 0.5)
+
+    def run(cell: pa.Table) -> pa.Table:
+        nid, root, n, block, i = (cell.column(c).to_numpy() for c in ("nid", "root", "n", "block", "i"))
+        sig = np.frombuffer(b"".join(cell.column("print").to_pylist()), np.uint8).reshape(len(nid), REGION_HASHES)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block != i)
+        within = cell.column("k")[0].as_py() == i[0]
+        right = left if within else right
+        cols, out = np.ascontiguousarray(sig[right].T), [np.zeros((2, 0), np.int64)]
+        top, of = np.zeros(len(right), np.uint16), np.zeros(len(right), np.int64)
+        for at in range(0, len(left) if len(right) else 0, 128):
+            x = left[at : at + 128]
+            alike = np.zeros((len(x), len(right)), np.uint16)
+            for c in range(REGION_HASHES):
+                alike += sig[x, c][:, None] == cols[c]
+            ok = (alike >= least) & (root[x][:, None] != root[right])
+            ok &= 100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])
+            if not likest:
+                a, b = np.nonzero(ok & (nid[x][:, None] < nid[right]) if within else ok)
+                out.append(np.stack([x[a], right[b]]))
+                continue
+            alike *= ok
+            best = alike.argmax(axis=1)
+            some = np.flatnonzero(alike[np.arange(len(x)), best])
+            out.append(np.stack([x[some], right[best[some]]]))
+            best = alike.argmax(axis=0)
+            value = alike[best, np.arange(len(right))]
+            of[value > top], top = x[best[value > top]], np.maximum(top, value)
+        out.append(np.stack([of[top > 0], right[top > 0]]))
+        a, b = nid[np.concatenate(out, axis=1)]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _region_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those within the dense regions (``members``: key, nid, m) that they do not imply."""
+    prints = None
+    for likest in (True, False):
+        comp = connected_components(links).withColumnRenamed("node", "nid")
+        rows = members.join(comp, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        rows = rows.join(apart, "key").checkpoint()
+        if not rows.take(1):
+            break
+        if prints is None:
+            prints = sets.join(rows.select("nid").distinct(), "nid", "left_semi").mapInArrow(_prints, "nid long, n long, print binary").checkpoint()
+        count = F.ceil(F.col("m") / REGION_BLOCK).cast("long")
+        rows = rows.select("key", "nid", "root", count.alias("count"), F.pmod(F.xxhash64("nid", "key"), count).alias("block")).join(prints, "nid")
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+        cells = rows.select("key", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("k"), "nid", "root", "n", "block", "print")
+        pairs = cells.groupBy("key", "i", "k").applyInArrow(_cell(percent, likest), "a long, b long").distinct()
+        links = links.unionByName(_confirmed_in_cells(pairs, sets, percent)).checkpoint()
+    return links
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     spark = docs.sparkSession
@@ -304,8 +447,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
         .withColumn("nid", F.coalesce(F.col("doc").cast("long"), null_id))
         .checkpoint()
     )
-    pairs = candidates(nodes, percent).checkpoint()
-    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    pairs, members = candidates(nodes, percent)
+    pairs, members = pairs.checkpoint(), members.checkpoint()
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).unionByName(members.select("nid")).distinct()
     sets = _sets(docs, nodes, ends, shingle).checkpoint()
     links = _confirmed(pairs.where(F.col("gap") <= NEAREST), sets, percent).checkpoint()
     comp = connected_components(links)
@@ -313,6 +457,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     rest = pairs.where(F.col("gap") > NEAREST).join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = links.unionByName(_confirmed(rest, sets, percent).checkpoint())  # read several times
+    links = _region_links(members, sets, links, percent)
     comp = connected_components(links)
     named = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select(
         F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("n").alias("kn"), F.coalesce("root", "nid").alias("root")

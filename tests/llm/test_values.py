@@ -134,6 +134,23 @@ def test_near_copies_at_the_threshold(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (n, c), i
 
 
+def test_star_whose_links_go_to_the_template(spark):
+    """More copies than the windows have places, each like the template and unlike every other copy."""
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(200)]
+    texts = [(0, " ".join(base))]
+    for k in range(1, 1201):
+        w = list(base)
+        for p in rng.choice(200, 5, replace=False):
+            w[p] = f"x{k}y{p}"
+        texts.append((k, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in texts}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(0, i) >= 0.75 for i in range(1, 1201))
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == 1201 and {r["component_id"] for r in got} == {0}
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300 + i, 300 + (i + 1) % 40) for i in range(40)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
