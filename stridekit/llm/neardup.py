@@ -60,7 +60,6 @@ NEAREST = 1
 REGION_BLOCK = 1000
 REGION_HASHES = 256  # one byte of each travels
 MAX_BROADCAST_NODES = 500_000
-_NULL_IDS = 1 << 62  # nodes without a doc_id are numbered from here
 
 
 def _functions(n: int) -> np.ndarray:
@@ -433,18 +432,17 @@ def _region_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures; g1, g2, n, doc (smallest doc_id) of every node, its class's smallest doc_id, and whether it is the class's node with that."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     base = signatures(docs, shingle).checkpoint()
-    null_id = F.xxhash64("g1", "g2").bitwiseAND(F.lit(_NULL_IDS - 1)) + F.lit(_NULL_IDS)
     nodes = (
         base.where("n > 0").groupBy("g1", "g2", "n")
         .agg(F.min("doc_id").alias("doc"), F.first("labels").alias("labels"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-        .withColumn("nid", F.coalesce(F.col("doc").cast("long"), null_id))
+        .withColumn("nid", F.xxhash64("g1", "g2", "n"))
         .checkpoint()
     )
     pairs, members = candidates(nodes, percent)
@@ -459,10 +457,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     links = links.unionByName(_confirmed(rest, sets, percent).checkpoint())  # read several times
     links = _region_links(members, sets, links, percent)
     comp = connected_components(links)
-    named = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select(
-        F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("n").alias("kn"), F.coalesce("root", "nid").alias("root")
-    )
-    named = named.withColumn("root", F.when(F.col("root") < _NULL_IDS, F.col("root")).cast(docs.schema["doc_id"].dataType))
+    linked = nodes.select("nid", "g1", "g2", "n", "doc").join(comp.withColumnRenamed("node", "nid"), "nid")
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "nid")).alias("low"))
+    linked = linked.join(least, "root").select("nid", F.col("low.doc").alias("low"), (F.col("low.nid") == F.col("nid")).alias("first"), F.lit(True).alias("linked"))
+    named = nodes.select("nid", "g1", "g2", "n", "doc").join(linked, "nid", "left")
+    low = F.when(F.col("linked"), F.col("low")).otherwise(F.col("doc"))
+    return base, named.select("g1", "g2", "n", "doc", low.alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    base, classes = _classes(docs, shingle, percent)
+    named = classes.select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("n").alias("kn"), F.col("component_id").alias("root"))
     out = base.select("doc_id", "n", "g1", "g2").join(named, (F.col("g1") == F.col("k1")) & (F.col("g2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(

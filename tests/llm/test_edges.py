@@ -57,6 +57,13 @@ def test_neardup(spark, rows):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_two_texts_under_one_id(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(5, one), (5, two), (2, one + " now"), (3, two + " now")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(2, 2, True), (3, 3, True), (5, 2, False), (5, 3, False)]
+
+
 def test_quality(spark, rows, labels):
     model = quality.train(rows, labels)
     got = quality.score(rows, model).collect()
