@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from .components import connected_components
@@ -477,14 +478,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """One row of each near-duplicate class: the row of its smallest doc_id (of repeated rows of that id, one).
+    """One row of each near-duplicate class, and all rows with an empty set: the row of the class's smallest doc_id (one without a doc_id only if the class has no other).
 
-    Rows without a doc_id cannot be told apart: of classes that have no other rows, one row stays in all.
+    Rows are told apart by doc_id and set digest; of rows that are alike in both, one stays.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    named, nth = docs.where("doc_id IS NOT NULL"), fresh(docs, "_nth")
-    one = Window.partitionBy("doc_id").orderBy("doc_id")  # the join has dealt and sorted the rows by doc_id
-    rows = named.join(kept, named["doc_id"] == kept["_id"], "left_semi")
-    rows = rows.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
-    nameless = kept.where("_id IS NULL").select(F.lit(1).alias("_any"))  # one row or none
-    return rows.unionByName(docs.where("doc_id IS NULL").join(nameless, F.col("_any") == F.lit(1), "left_semi").limit(1))
+    _, classes = _classes(docs, shingle, percent)
+    g1, g2, n, none, name, hit = key = [fresh(docs, f"_{c}") for c in ("g1", "g2", "n", "none", "name", "hit")]
+    columns = docs.columns
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for sets in shingle_sets(batch.column("text"), shingle):
+                part = batch.slice(at, len(sets))
+                digests = [pa.array(g.view(np.int64)) for g in _digest(sets)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *digests, pa.array([len(x) for x in sets], pa.int64())], names=[*columns, g1, g2, n])
+                at += len(sets)
+
+    fields = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (g1, g2, n))])
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    rows = docs.mapInArrow(scan, fields).withColumns({none: F.col("doc_id").isNull(), name: F.coalesce("doc_id", zero)})
+    # a row with an empty set is alike to no other
+    rows = rows.withColumn(g2, F.when(F.col(n) == 0, F.monotonically_increasing_id()).otherwise(F.col(g2))).dropDuplicates(key[:5])
+    kept = classes.where("first").select(
+        F.col("g1").alias(g1), F.col("g2").alias(g2), F.col("n").alias(n), F.col("doc").isNull().alias(none), F.coalesce("doc", zero).alias(name), F.lit(True).alias(hit)
+    )
+    return rows.join(kept, key[:5], "left").where((F.col(n) == 0) | F.col(hit)).select(*columns)

@@ -64,6 +64,19 @@ def test_two_texts_under_one_id(spark):
     assert got == [(2, 2, True), (3, 3, True), (5, 2, False), (5, 3, False)]
 
 
+def test_dropping_decides_on_rows(spark):
+    """Rows without an id, two texts under one id, empty texts: one row of each class stays, and every empty one."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    docs = spark.createDataFrame(
+        [(None, a), (None, a), (None, b), (None, b + " now"), (None, c), (7, c + " now"), (7, d), (7, d), (8, d + " now"), (9, e), (None, ""), (None, None), (4, " "), (4, " ")],
+        "doc_id long, text string",
+    ).repartition(3)
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or "").removesuffix(" now").strip()) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e), (None, ""), (None, ""), (4, ""), (4, "")], key=str)
+
+
 def test_quality(spark, rows, labels):
     model = quality.train(rows, labels)
     got = quality.score(rows, model).collect()
