@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, licenses, lm, neardup, pieces, quality, sharding, simhash, urls
+from . import decontam, langid, licenses, lm, neardup, negatives, pieces, quality, sharding, simhash, urls
 from .textblocks import with_crc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -106,3 +107,26 @@ def op7(spark, sf):
 @query("op9_sentencepiece")
 def op9(spark, sf):
     return pieces.encode(read_table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.r AS ar, c.vec_id AS id, a.label = c.label AS own,
+        CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score
+    FROM e a JOIN e c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, ar, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id NULLS LAST) AS k
+    FROM s WHERE own QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.ar, k ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+    FROM p JOIN s ON p.ar = s.ar AND NOT s.own AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score QUALIFY rank <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    moved = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
