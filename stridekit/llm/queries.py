@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, licenses, lm, neardup, negatives, pieces, quality, sharding, simhash, urls
+from . import decontam, langid, licenses, lm, mixing, neardup, negatives, pieces, quality, sharding, simhash, turntrie, urls
 from .textblocks import with_crc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -109,6 +109,36 @@ def op9(spark, sf):
     return pieces.encode(read_table(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+
+OP11_SQL = rf"""
+WITH t AS (SELECT conv_id, md5(len(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^ 	-]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS p
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list(k ORDER BY p) AS s, list(w ORDER BY p) AS w, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.s, [])[1:o.h], o.s[o.h + 1:]) AS s, list_concat(coalesce(b.w, [])[1:o.h], o.w[o.h + 1:]) AS w
+    FROM own o LEFT JOIN own b ON b.conv_id = o.base),
+x AS (SELECT conv_id, s, w, unnest(range(0, len(s) + 1)) AS depth FROM r),
+node AS MATERIALIZED (SELECT depth, s[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(w[depth]), 0) AS words,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth), '')) AS ends_sha256 FROM x GROUP BY ALL),
+kids AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+told AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids USING (depth, path)),
+above AS (SELECT path, (n_convs - 1) * words AS saved, CAST(n_children = 0 AS BIGINT) AS leaf, unnest(range(0, depth + 1)) AS d FROM told),
+sums AS (SELECT d AS depth, path[1:d] AS path, sum(saved) AS saved, sum(leaf) AS leaves FROM above GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM told n JOIN sums USING (depth, path) LEFT JOIN node p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]"""
+
+
+@query("op11_conversation_trie", OP11_SQL)
+def op11(spark, sf):
+    return turntrie.prefix_trie(read_table(spark, sf, "conversations"))
+
+
+@query("op12_source_mixing")
+def op12(spark, sf):
+    return mixing.mix_documents(read_table(spark, sf, "documents"))
+
+
 OP13_SQL = """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
