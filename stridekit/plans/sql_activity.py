@@ -340,3 +340,59 @@ def gamer_sql() -> str:
            CAST(earned + floor(earned * combo) + speed + ot AS INTEGER) AS gamer_final_xp,
            CAST(greatest(0, {K.GAMER_OVERTIME_LIMIT} - ot_before - ot) AS INTEGER) AS overtime_pool_remaining
     FROM g4"""
+
+
+def late_ledger_sql(every: int, days: int, batch_days: int) -> str:
+    """Every user's events in order of arrival (micro-batch, then time), one step an event; late ones leave the streak alone."""
+    late = f"(CASE WHEN event_id % {every} = 3 THEN 1 + event_id % {days} ELSE 0 END)"
+    return f"""
+    WITH RECURSIVE {_dims()},
+    a AS (
+      SELECT al.*, CAST(al.duration_minutes AS DOUBLE) * im.mult
+               * (CASE WHEN coalesce(rel.score, 0.5) >= {K.PRIMARY_THRESHOLD} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END) AS base,
+             (date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), al.day) + {late}) // {batch_days} AS batch
+      FROM al LEFT JOIN rel ON rel.activity_type = al.activity_type AND rel.build = al.build LEFT JOIN im ON im.intensity = al.intensity
+    ),
+    e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch, ts, event_id) AS n FROM a),
+    f AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DATE) AS day, '' AS build, CAST(NULL AS DATE) AS last, 0 AS streak, 0 AS longest,
+             CAST(NULL AS DATE) AS mon, 0 AS used, CAST(0 AS BIGINT) AS total, MAP {{CAST('1900-01-01' AS DATE): CAST(0 AS BIGINT)}} AS pools,
+             CAST(0 AS BIGINT) AS rr, CAST(0 AS BIGINT) AS d_before, 600 AS cap, CAST(0 AS BIGINT) AS earned, false AS shield, false AS broken
+      FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT user_id, n, event_id, day, build, last2, streak2, greatest(longest, streak2), mon2, used2, total + earned, map_concat(pools, MAP {{day: d_before + earned}}),
+             rr, d_before, cap, earned, shield, broken
+      FROM (
+        SELECT *, least(rr, greatest(0, cap - d_before)) AS earned
+        FROM (
+          SELECT *, CAST(round_even(base * {streak_mult_sql('streak2')}, 0) AS BIGINT) AS rr, coalesce(pools[day], 0) AS d_before, {cap_sql(level_sql('total'))} AS cap
+          FROM (
+            SELECT *, CASE WHEN late OR g = 0 THEN streak WHEN g IS NULL OR broken THEN 1 ELSE streak + 1 END AS streak2,
+                   CASE WHEN late THEN used ELSE u + CAST(shield AS INTEGER) END AS used2,
+                   CASE WHEN late THEN mon ELSE date_trunc('month', day) END AS mon2, CASE WHEN late THEN last ELSE day END AS last2
+            FROM (
+              SELECT *, coalesce(g >= 2, false) AND NOT shield AS broken
+              FROM (
+                SELECT *, coalesce(g < 0, false) AS late, coalesce(g = 2, false) AND u < {K.SHIELDS_PER_MONTH} AS shield
+                FROM (
+                  SELECT f.user_id, e.n, e.event_id, e.day, e.build, e.base, f.last, f.streak, f.longest, f.mon, f.used, f.total, f.pools,
+                         date_diff('day', f.last, e.day) AS g, CASE WHEN f.mon = date_trunc('month', e.day) THEN f.used ELSE 0 END AS u
+                  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1
+                )
+              )
+            )
+          )
+        )
+      )
+    ),
+    j AS (
+      SELECT *, total - earned AS t_before, {milestone_sql('streak')} AS milestone,
+             CASE WHEN {badge_index_sql('total')} > {badge_index_sql('(total - earned)')} THEN {badge_name_sql('build', badge_index_sql('total'))} END AS badge_earned
+      FROM f WHERE n > 0
+    )
+    SELECT user_id, event_id, day, CAST(earned AS INTEGER) AS final_xp, rr > greatest(0, cap - d_before) AS was_capped, CAST(d_before AS INTEGER) AS daily_xp_before,
+           CAST(d_before + earned AS INTEGER) AS daily_xp_after, CAST(cap AS INTEGER) AS daily_cap, CAST(streak AS INTEGER) AS current_streak,
+           CAST(longest AS INTEGER) AS longest_streak, shield AS shield_used, broken AS streak_broken, CAST({K.SHIELDS_PER_MONTH} - used AS INTEGER) AS shields_remaining,
+           t_before AS total_xp_before, total AS total_xp_after, CAST({level_sql('total')} AS INTEGER) AS level_after, badge_earned,
+           CASE WHEN broken THEN 'support_mode' WHEN badge_earned IS NOT NULL OR milestone IS NOT NULL THEN 'hype_mode' END AS chatbot_hint
+    FROM j"""

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as AN
+from ..sources.tables import events_to_activity_log, read_table
+from ..streaming import late_events as LE
+from ..streaming import state_table as ST
 from ..streaming import user_state as US
 from . import params as P
 from . import sql_activity as SA
@@ -19,10 +22,32 @@ _STREAM_COLS = US.OUTPUT_COLUMNS
     WITH led AS ({SA.ledger_sql()})
     SELECT {", ".join(_STREAM_COLS)} FROM led""")
 def q_stream_user_state(spark, sf):
-    """The live user-state stream over ``events``; on in-order delivery it
-    equals the batch ledger (the oracle is the ledger SQL)."""
+    """The live user state over ``events``, folded batch by batch into a versioned state
+    table; on in-order delivery it equals the batch ledger (the oracle is the ledger SQL)."""
     stream = US.stream_events(spark, f"{sf.rstrip('/')}/events.parquet", max_files_per_trigger=1000)
-    return US.run_to_table(US.live_user_state(stream), "user_state")
+    root = US._scratch(spark, "user_state")
+    US.finish(ST.start(stream, root))
+    return ST.results(spark, root)
+
+
+@register("stream_late_events", SA.late_ledger_sql(P.LATE_EVERY, P.LATE_DAYS, P.BATCH_DAYS))
+def q_stream_late_events(spark, sf):
+    """``events`` replayed in micro-batches by the day of arrival, a part of them days late; the oracle
+    steps through each user's events in order of arrival."""
+    events = read_table(spark, sf, "events")
+    late = F.when(F.pmod("event_id", F.lit(P.LATE_EVERY)) == 3, 1 + F.pmod("event_id", F.lit(P.LATE_DAYS))).otherwise(0)
+    first = events.agg(F.min(F.to_date("ts")).alias("first")).first()["first"]
+    arrived = events.withColumn("batch", F.floor((F.datediff(F.to_date("ts"), F.lit(first)) + late) / P.BATCH_DAYS).cast("int"))
+    root = US._scratch(spark, "late")
+    arrived.write.partitionBy("batch").parquet(f"{root}/arrived")
+    batches = sorted(r["batch"] for r in arrived.select("batch").distinct().collect())  # one number a micro-batch
+    for n in batches:
+        # what has arrived by now; each run takes what is new
+        spark.read.parquet(f"{root}/arrived/batch={n}").write.mode("append").parquet(f"{root}/events")
+        stream = events_to_activity_log(spark.readStream.schema(events.schema).parquet(f"{root}/events"))
+        US.finish(LE.late_user_state(stream, f"{P.LATE_DAYS + 1} days").writeStream.format("parquet").outputMode("append")
+                  .option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/data").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{root}/data")
 
 
 @register("stream_anomaly_scores", None)

@@ -18,7 +18,8 @@ are state; an older event earns nothing, so no delivery order can pass a cap.
 With a watermark, Spark drops rows behind it before they get here.
 
 A group holds one user's events of one micro-batch: bound it at the source
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``), or use ``state_table``, which splits a
+user's events over tasks. ``late_events`` keeps the pools in event time.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ OUTPUT_COLUMNS = [
     "longest_streak", "shield_used", "streak_broken", "shields_remaining", "total_xp_before", "total_xp_after", "level_after",
     "badge_earned", "chatbot_hint",
 ]
-_FOLDED = (
+FOLDED = (
     "user_id long, event_id long, day date, build string, rr long, final_xp int, daily_xp_before int, daily_xp_after int, daily_cap int, "
     "current_streak int, longest_streak int, shield_used boolean, streak_broken boolean, shields_remaining int, total_xp_before long, total_xp_after long"
 )
@@ -103,8 +104,10 @@ def _credits(prefix: np.ndarray, pool: int, total: int) -> tuple[np.ndarray, np.
     return credit, cap
 
 
-def fold_events(new: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """One user's events of a micro-batch on top of the state: their result rows and the new state."""
+def fold_events(new: pd.DataFrame, state: tuple | None, keep: int | None = KEEP_DAYS) -> tuple[pd.DataFrame, tuple]:
+    """One user's events of a micro-batch on top of the state: their result rows and the new state.
+
+    Days ``keep`` or more days back earn nothing and leave the state (None: all given days count)."""
     total, streak, longest, last, month, used, pool_days, pools = state or (0, 0, 0, -1, -1, 0, [], [])
     pool = dict(zip(pool_days, pools, strict=True))
     ev = new.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
@@ -116,34 +119,33 @@ def fold_events(new: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, t
     table = pd.concat([left, own], ignore_index=True).set_index("day")
     ev = ev.join(table[["streak", "longest", "shield", "broken", "used"]], on="n")
     mult = _STEP_MULT[np.searchsorted(_STEP_AT, ev["streak"], side="right")]
-    ev["rr"] = np.rint(ev["base"].to_numpy(float) * mult).astype(np.int64)
+    rr = np.rint(ev["base"].to_numpy(float) * mult).astype(np.int64)
     newest = max(last, int(days[-1]))
-    for d, rows in ev.groupby("n", sort=True).indices.items():
-        rr = ev["rr"].to_numpy()[rows]
-        known = d > newest - KEEP_DAYS
-        before = pool.get(d, 0)
-        credit, cap = _credits(np.cumsum(rr), before, total) if known else (np.zeros(len(rr), np.int64), np.full(len(rr), 0))
-        prior = np.concatenate([[0], credit[:-1]])
-        first = np.arange(len(rows)) == 0
-        ev.loc[rows, "daily_xp_before"], ev.loc[rows, "daily_xp_after"] = before + prior, before + credit
-        ev.loc[rows, "total_xp_before"], ev.loc[rows, "total_xp_after"] = total + prior, total + credit
-        ev.loc[rows, "final_xp"], ev.loc[rows, "daily_cap"] = credit - prior, cap
-        ev.loc[rows, "shield_used"] = first & bool(table.at[d, "shield"])
-        ev.loc[rows, "streak_broken"] = first & bool(table.at[d, "broken"])
+    of = ev["n"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # rows stand by time, so by day
+    before, after, t_before, t_after, caps = (np.zeros(len(ev), np.int64) for _ in range(5))
+    for lo, hi in zip(starts, np.r_[starts[1:], len(ev)]):
+        d, day = int(of[lo]), slice(lo, hi)
+        known = keep is None or d > newest - keep
+        had = pool.get(d, 0)
+        credit, caps[day] = _credits(np.cumsum(rr[day]), had, total) if known else (np.zeros(hi - lo, np.int64), 0)
+        prior = np.r_[0, credit[:-1]]
+        before[day], after[day], t_before[day], t_after[day] = had + prior, had + credit, total + prior, total + credit
         total += int(credit[-1])
         if known:
-            pool[d] = before + int(credit[-1])
+            pool[d] = had + int(credit[-1])
+    first = np.zeros(len(ev), bool)
+    first[starts] = True
     if len(own):
         end = own.iloc[-1]
         streak, longest, last, month, used = int(end["streak"]), int(end["longest"]), int(end["day"]), int(end["month"]), int(end["used"])
-    kept = sorted(d for d in pool if d > last - KEEP_DAYS)
+    kept = sorted(d for d in pool if keep is None or d > last - keep)
     out = pd.DataFrame({
-        "user_id": ev["user_id"], "event_id": ev["event_id"], "day": ev["day"], "build": ev["build"], "rr": ev["rr"],
-        **{c: ev[c].astype("int32") for c in ("final_xp", "daily_xp_before", "daily_xp_after", "daily_cap")},
-        "current_streak": ev["streak"].astype("int32"), "longest_streak": ev["longest"].astype("int32"),
-        "shield_used": ev["shield_used"].astype(bool), "streak_broken": ev["streak_broken"].astype(bool),
-        "shields_remaining": (K.SHIELDS_PER_MONTH - ev["used"]).astype("int32"),
-        "total_xp_before": ev["total_xp_before"].astype("int64"), "total_xp_after": ev["total_xp_after"].astype("int64"),
+        "user_id": ev["user_id"], "event_id": ev["event_id"], "day": ev["day"], "build": ev["build"], "rr": rr,
+        "final_xp": (after - before).astype(np.int32), "daily_xp_before": before.astype(np.int32), "daily_xp_after": after.astype(np.int32),
+        "daily_cap": caps.astype(np.int32), "current_streak": ev["streak"].astype("int32"), "longest_streak": ev["longest"].astype("int32"),
+        "shield_used": ev["shield"].to_numpy(bool) & first, "streak_broken": ev["broken"].to_numpy(bool) & first,
+        "shields_remaining": (K.SHIELDS_PER_MONTH - ev["used"]).astype("int32"), "total_xp_before": t_before, "total_xp_after": t_after,
     })
     return out, (int(total), streak, longest, last, month, used, [int(d) for d in kept], [int(pool[d]) for d in kept])
 
@@ -161,7 +163,12 @@ def live_user_state(activity: DataFrame, watermark: str | None = None) -> DataFr
     a = activity.withWatermark("ts", watermark) if watermark else activity
     base = F.col("duration_minutes").cast("double") * F.col("intensity_mult") * F.col("relevance_mult")
     rows = with_relevance(a).select("user_id", "event_id", "ts", "day", "build", base.alias("base"))
-    out = rows.groupBy("user_id").applyInPandasWithState(_step, _FOLDED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    out = rows.groupBy("user_id").applyInPandasWithState(_step, FOLDED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return with_announcements(out)
+
+
+def with_announcements(out: DataFrame) -> DataFrame:
+    """What follows from single folded rows: capped or not, level, badge and hint."""
     before, after = X.badge_index("total_xp_before"), X.badge_index("total_xp_after")
     badge = F.when(after > before, X.badge_name(F.col("build"), after))
     room = F.greatest(F.lit(0), F.col("daily_cap") - F.col("daily_xp_before"))
@@ -192,12 +199,17 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(q)
     return spark.read.parquet(os.path.join(root, "data"))
 
 
+def finish(query) -> None:
+    """Wait for a query that ends by itself; its error, if there is one, is raised."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Stream of the event files of ``path`` (a table folder or one file), oldest first, ``max_files_per_trigger`` a micro-batch."""
     table = spark.read.parquet(path)

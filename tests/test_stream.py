@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stridekit.functions import constants as K
 from stridekit.operators import activity as A
 from stridekit.sources.tables import events_to_activity_log, read_table
+from stridekit.streaming import late_events as LE
+from stridekit.streaming import state_table as ST
 from stridekit.streaming import user_state as US
 
 from .conftest import SF001
@@ -97,3 +99,92 @@ def test_shields_and_months_across_batches():
     assert whole["current_streak"].tolist() == [1, 2, 3, 4, 5, 1, 1, 2]
     assert whole["shield_used"].tolist() == [False, True, True, True, True, False, False, True]
     assert whole["shields_remaining"].tolist() == [4, 3, 2, 1, 0, 0, 4, 3]
+
+
+# ------------------------------------------------------- state table and event time
+
+def activity_rows(spark, rows):
+    return spark.createDataFrame(
+        [(u, e, dt.datetime.combine(dt.date(2024, 1, 1) + dt.timedelta(days=d), dt.time(m // 60, m % 60)), minutes, "competitive_gaming" if e % 3 else "reading", K.INTENSITY[e % 3][0], K.BUILDS[u % 7]) for u, e, d, m, minutes in rows],
+        "user_id long, event_id long, ts timestamp, duration_minutes int, activity_type string, intensity string, build string",
+    ).withColumn("day", F.to_date("ts"))
+
+
+def random_batches(seed, hot=400):
+    """Three micro-batches of days 0-9, 8-17, 16-40 with late rows, several boundary days, and one user with most events."""
+    import random
+
+    rng = random.Random(seed)
+    batches, e = [], 0
+    for lo, hi in ((0, 10), (8, 18), (16, 40)):
+        rows = []
+        for u in [1] * hot + [2, 3, 4, 5] * 15:
+            d = rng.randrange(lo, hi) if u != 4 else rng.randrange(lo, hi, 2)
+            if rng.random() < 0.05:
+                d = rng.randrange(0, hi)
+            rows.append((u, e, d, rng.randrange(24 * 60), rng.choice([1, 5, 30, 200, 480])))
+            e += 1
+        batches.append(rows)
+    batches.append([(6, e, 200, 5, 480), (1, e + 1, 3, 1, 480), (1, e + 2, 150, 1, 480), (2, e + 3, 39, 1, 480)])
+    return batches
+
+
+def folded(spark, batches):
+    """The same batches through the plain fold of one user after the other."""
+    out, states = {}, {}
+    for rows in batches:
+        scored = A.with_relevance(activity_rows(spark, rows))
+        base = F.col("duration_minutes").cast("double") * F.col("intensity_mult") * F.col("relevance_mult")
+        df = scored.select("user_id", "event_id", "ts", "day", "build", base.alias("base")).toPandas()
+        for u, part in df.groupby("user_id"):
+            got, states[u] = US.fold_events(part, states.get(u))
+            for r in got.to_dict("records"):
+                out[r["event_id"]] = tuple(r[c] for c in ("final_xp", "daily_xp_before", "daily_xp_after", "daily_cap", "current_streak", "longest_streak", "shield_used", "streak_broken", "shields_remaining", "total_xp_before", "total_xp_after"))
+    return out
+
+
+def test_state_table_equals_the_plain_fold_and_replays(spark, tmp_path):
+    batches = random_batches(1)
+    want = folded(spark, batches)
+    for n, rows in enumerate(batches):
+        ST.run_batch(activity_rows(spark, rows), n, str(tmp_path))
+
+    def read():
+        return {r["event_id"]: tuple(r[c] for c in ("final_xp", "daily_xp_before", "daily_xp_after", "daily_cap", "current_streak", "longest_streak", "shield_used", "streak_broken", "shields_remaining", "total_xp_before", "total_xp_after"))
+                for r in ST.results(spark, str(tmp_path)).collect()}
+
+    got = read()
+    assert got == want and {v[3] for v in got.values()} >= {0, 600, 800, 1000}
+    state = sorted(map(str, spark.read.parquet(f"{tmp_path}/state/version=3").collect()))
+    for n in (1, 2, 3):  # batches that are run again write the same rows and states
+        ST.run_batch(activity_rows(spark, batches[n]), n, str(tmp_path))
+    assert read() == want and sorted(map(str, spark.read.parquet(f"{tmp_path}/state/version=3").collect())) == state
+
+
+def test_state_table_as_a_stream(spark):
+    ev = read_table(spark, SF001, "events")
+    days = sorted(r.d for r in ev.select(F.to_date("ts").alias("d")).distinct().collect())[:6]
+    stream = US.stream_events(spark, folder_of([ev.where(F.to_date("ts") == F.lit(d)) for d in days]), max_files_per_trigger=3)
+    root = US._scratch(spark, "test")
+    US.finish(ST.start(stream, root))
+    assert len(os.listdir(f"{root.removeprefix('file:')}/state")) == 2  # two micro-batches, a version each
+    got, batch = ST.results(spark, root), A.xp_ledger(events_to_activity_log(ev.where(F.to_date("ts").isin(days)))).select(*COLS)
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+
+
+def test_late_events_in_event_time(spark):
+    """Late rows draw on their day's pool, rows behind the watermark do not come through, and pools of closed days leave the state."""
+    batches = [[(1, 1, 0, 600, 480), (1, 2, 1, 600, 480)], [(1, 3, 2, 600, 480), (1, 4, 1, 700, 480)], [(1, 5, 20, 600, 30)], [(1, 6, 21, 600, 30)], [(1, 7, 2, 900, 480), (1, 8, 22, 600, 30)]]
+    root = US._scratch(spark, "test-late")
+    for rows in batches:
+        activity_rows(spark, rows).coalesce(1).write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(activity_rows(spark, []).schema).parquet(f"{root}/src")
+        US.finish(LE.late_user_state(stream, "5 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").trigger(availableNow=True).start())
+    got = {r["event_id"]: r for r in spark.read.parquet(f"{root}/out").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 8}  # the last batch's late row is behind the watermark
+    assert got[4]["daily_xp_before"] == got[2]["daily_xp_after"] and got[4]["current_streak"] == got[2]["current_streak"] and not got[4]["streak_broken"]
+    assert got[3]["current_streak"] == 3 and got[5]["streak_broken"]
+    pools = spark.read.format("statestore").option("stateVarName", "pools").load(f"{root}/cp")
+    kept = {r["day"] for r in pools.select("user_map_key.day").collect()}
+    first = (dt.date(2024, 1, 1) - dt.date(1970, 1, 1)).days
+    assert kept and min(kept) >= first + 16
