@@ -86,11 +86,16 @@ def count_present(lower_text: Column, keywords: list[str], mode: str = "substrin
         return F.lit(0)
     total = F.lit(0)
     for k in keywords:
-        hit = lower_text.rlike(r"\b" + re.escape(k) + r"\b") if mode == "word" else F.contains(lower_text, F.lit(k))
+        hit = lower_text.rlike(word_pattern(k)) if mode == "word" else F.contains(lower_text, F.lit(k))
         total = total + F.when(hit, 1).otherwise(0)
     return total
 
 
+def word_pattern(word: str) -> str:
+    """The word between Python's word boundaries, spelled out: engines differ in what ``\\b`` takes for a letter."""
+    return r"(^|[^\p{L}\p{N}_])" + re.escape(word) + r"([^\p{L}\p{N}_]|$)"
+
+
 def any_present(lower_text: Column, keywords: list[str]) -> Column:
     """Any keyword is a substring."""
     out = None

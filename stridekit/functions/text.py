@@ -7,8 +7,12 @@ same class is used by the SQL oracle.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---------------------------------------------------------------- FIXED VALUES
 # Unicode whitespace as in Python's str.isspace().
@@ -23,13 +27,6 @@ ELLIPSIS = ("…", "...")
 # Values that mean "no text" in raw posts.
 EMPTY_SENTINELS = ["[deleted]", "[removed]", "null", "None"]
 
-# HTML entities decoded (a named subset plus the common numeric quotes);
-# "&amp;" is decoded last so "&amp;lt;" becomes "&lt;", as a one-pass decoder does.
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&#34;", '"'), ("&nbsp;", " "), ("&amp;", "&"),
-]
-
 # Chat markup tokens.
 INST_CLOSE = "[/INST]"
 SYS_CLOSE = "<</SYS>>"
@@ -44,6 +41,7 @@ MATH_PREFIX = "Math problem: "
 STUDENT_PREFIX = "\n\nStudent: "
 SOLVE_Q = "Can you help me solve this math problem? "
 SOLVE_A = "Sure! Let me walk you through this step by step.\n\n"
+BIO_LEAD = "Speak in the style of this character: "
 CUSTOMER_MARK = "Customer:"
 AGENT_MARK = "Salesman:"
 # ------------------------------------------------------------ END FIXED VALUES
@@ -70,18 +68,26 @@ def clean_text(x) -> Column:
     return py_strip(F.regexp_replace(t, f"{WS}+", " "))
 
 
-def html_unescape_subset(x) -> Column:
+def html_unescape(x) -> Column:
+    """HTML entities, named with or without ``;`` by the longest known name, and numeric ones, as HTML 5 has them.
+
+    Texts without an ampersand do not leave the JVM's column: only the others go to Python, in Arrow batches.
+    """
     t = _c(x)
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    has = F.contains(t, F.lit("&"))
+    return F.coalesce(_decoded(F.when(has, t)), t)
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def clean_post(x) -> Column:
     """Sentinel -> ''; entities; URLs out; *emphasis* unwrapped; lines that
     start with ``>`` (quotes) out; 3+ newlines -> 2; stripped."""
     raw = nz(x)
-    t = html_unescape_subset(raw)
+    t = html_unescape(raw)
     t = F.regexp_replace(t, f"http{NON_WS}+", "")
     t = F.regexp_replace(t, r"\*{1,3}(.*?)\*{1,3}", "$1")
     t = F.regexp_replace(t, r"(?m)^>[^\n]*\n?", "")

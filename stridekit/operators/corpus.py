@@ -20,6 +20,7 @@ from ..functions import keywords as KW
 from ..functions import text as T
 from ..session import ensure_checkpoint_dir
 from ..functions.scan import first_rows, row_numbers, running_aggregates
+from .selection import mark_first
 
 
 def shuffle_key(seed: int | str, key) -> Column:
@@ -351,45 +352,24 @@ def class_cap(df: DataFrame, class_col: str, key: str, cap: int, seed: int = 42)
 
 # --------------------------------------------------------------------- splits
 
-def _with_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        return df.join(counts, keys)
-    counts = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(counts), "_one").drop("_one")
-
-
-def _shuffled(df: DataFrame, keys: list[str], key: str, seed: int) -> DataFrame:
-    """``key``, its rank in md5 order within the group and the group's size; only ids travel, not the rows."""
-    ids = df.select(*dict.fromkeys([*keys, key])).withColumn("_h", shuffle_key(seed, key))
-    return _with_counts(row_numbers(ids, keys, ["_h", key], "_rn"), keys)
-
-
-def _marked(df: DataFrame, ranked: DataFrame, key: str, split: Column) -> DataFrame:
-    """``df`` with ``split`` joined on its unique ``key``."""
-    return df.join(ranked.select(key, split.alias("split")), key).select(*df.columns, "split")
-
-
 def split_per_class(df: DataFrame, class_col: str, key: str, frac: float = 0.9, min_one: bool = True, seed: int = 42) -> DataFrame:
     """Per class, shuffled; the first ``max(1, int(frac*n))`` rows (or
     ``int(frac*n)``) are train, the rest val. Adds ``split``; ``key`` is unique."""
-    k = F.floor(F.col("_n") * F.lit(frac))
+    k = F.floor(F.col("n") * F.lit(frac))
     if min_one:
         k = F.greatest(F.lit(1), k)
-    return _marked(df, _shuffled(df, [class_col], key, seed), key, F.when(F.col("_rn") <= k, "train").otherwise("val"))
+    return mark_first(df, [class_col], shuffle_key(seed, key), k, "train", "val")
 
 
 def global_split(df: DataFrame, key: str, frac: float = 0.9, seed: int = 42) -> DataFrame:
     """Exact-size shuffled split over all rows: the first ``int(frac*N)``
     in md5 order of the unique ``key`` are train."""
-    k = F.floor(F.col("_n") * F.lit(frac))
-    return _marked(df, _shuffled(df, [], key, seed), key, F.when(F.col("_rn") <= k, "train").otherwise("val"))
+    return mark_first(df, [], shuffle_key(seed, key), F.floor(F.col("n") * F.lit(frac)), "train", "val")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Per label ``ceil(test*n)`` rows (md5 order of the unique ``key``) go to test."""
-    k = F.ceil(F.col("_n") * F.lit(test))
-    return _marked(df, _shuffled(df, [label], key, seed), key, F.when(F.col("_rn") <= k, "test").otherwise("train"))
+    return mark_first(df, [label], shuffle_key(seed, key), F.ceil(F.col("n") * F.lit(test)), "test", "train")
 
 
 def downsample(df: DataFrame, label: str, key: str, cap: int, labels: list[str], seed: int = 42) -> DataFrame:
@@ -473,10 +453,11 @@ def hash_class(key, classes: list[str] = KW.CLASS_ORDER, seed: int = 42) -> Colu
     return F.element_at(F.array(*[F.lit(c) for c in classes]), (F.pmod(h, F.lit(len(classes))) + 1).cast("int"))
 
 
-def append_bio(system, bio, sep: str = "\n\n") -> Column:
-    """The optional biography appended to the system text."""
-    s, b = T.py_strip(T.nz(system)), T.py_strip(T.nz(bio))
-    return F.when(b != "", F.concat(s, F.lit(sep), b)).otherwise(s)
+def append_bio(system, bio) -> Column:
+    """The system text, a space, and the optional biography behind its lead; stripped."""
+    b = T.py_strip(T.nz(bio))
+    lead = F.when(b != "", F.concat(F.lit(T.BIO_LEAD), b)).otherwise(F.lit(""))
+    return T.py_strip(F.concat(T.nz(system), F.lit(" "), lead))
 
 
 def training_rows(df: DataFrame, class_col: str, classes: list[str] | None, max_samples: int | None, order: list[str]) -> DataFrame:

@@ -4,10 +4,13 @@ each next to its independent DuckDB oracle."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import keywords as KW
 from ..functions import text as T
+from ..operators import automaton as AU
 from ..operators import corpus as C
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 from . import params as P
 from . import sql_text as S
@@ -60,7 +63,7 @@ def q_clean_text(spark, sf):
 _POST_SQL = """CASE doc_id % 5 WHEN 0 THEN ' [deleted] '
       WHEN 1 THEN '&gt; ' || text || chr(10) || 'reply'
       WHEN 2 THEN '**' || source || '** &amp; see http://x.y/' || CAST(doc_id AS STRING) || ' ' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'end'
-      WHEN 3 THEN '&lt;b&gt; &quot;' || text || '&quot; it&#39;s *so*' ELSE text END"""
+      WHEN 3 THEN '&lt;b&gt; &quot;' || text || '&quot; it&#39;s *so* &Eacute;t&nbsp;&notit; &#x1F600;' ELSE text END"""
 
 
 @register("corpus_clean_post", f"SELECT doc_id, {S.clean_post('x')} AS clean FROM (SELECT doc_id, {_POST_SQL} AS x FROM documents)")
@@ -96,6 +99,45 @@ def q_keyword_classes(spark, sf):
     return d.select("doc_id", *[f"score_{c}" for c in CLASSES], "best_class")
 
 
+# A table by rule: the words that stand in most documents, dealt over the classes; the first half weighs 3.
+_TABLE_SIZE = 308
+_TABLE_SQL = f"""
+    w AS (SELECT word, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{3,}}'))) AS word FROM documents) GROUP BY word),
+    r AS (SELECT word AS keyword, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM w QUALIFY r < {_TABLE_SIZE}),
+    kw AS (SELECT keyword, ([{", ".join(S.q(c) for c in CLASSES)}])[CAST(r % {len(CLASSES)} AS INTEGER) + 1] AS class, CASE WHEN r < {_TABLE_SIZE // 2} THEN 3 ELSE 1 END AS weight FROM r)"""
+
+
+def keyword_rows(spark, sf):
+    words = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})")))).alias("keyword"))
+    top = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "keyword").limit(_TABLE_SIZE)
+    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "keyword")) - 1)  # over the table's rows
+    return ranked.select(
+        F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("r") % len(CLASSES) + 1).alias("class"),
+        F.when(F.col("r") < _TABLE_SIZE // 2, 3).otherwise(1).alias("weight"), "keyword",
+    )
+
+
+@register("corpus_keyword_table", f"""
+    WITH {_TABLE_SQL},
+    s AS (SELECT d.doc_id, {", ".join(f"CAST(coalesce(sum(weight) FILTER (WHERE class = '{c}'), 0) AS INTEGER) AS score_{c}" for c in CLASSES)}
+          FROM documents d LEFT JOIN kw ON contains(lower(coalesce(d.text, '')), kw.keyword) GROUP BY d.doc_id)
+    SELECT *, {S.best_class({c: f"score_{c}" for c in CLASSES})} AS best_class FROM s""")
+def q_keyword_table(spark, sf):
+    """D1/D2 with a table of 308 keywords, found in one pass of each text."""
+    table = AU.keyword_table(keyword_rows(spark, sf))
+    return AU.classify(docs(spark, sf), F.col("text"), table).select("doc_id", *[f"score_{c}" for c in CLASSES], "best_class")
+
+
+@register("corpus_keyword_table_filter", f"""
+    WITH {_TABLE_SQL},
+    t AS (SELECT doc_id, source, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM documents)
+    SELECT DISTINCT doc_id, source FROM t JOIN kw ON kw.keyword = t.word WHERE weight = 1""")
+def q_keyword_table_filter(spark, sf):
+    """B19 by whole words: documents with any of the table's lighter keywords."""
+    words = [k for _, w, k in AU.keyword_table(keyword_rows(spark, sf)) if w == 1]
+    return docs(spark, sf).where(AU.any_present(F.col("text"), words, "word")).select("doc_id", "source")
+
+
 @register(
     "corpus_keyword_filter",
     f"SELECT doc_id, source FROM documents WHERE {S.any_present('lower(coalesce(text, \'\'))', P.FILTER_KEYWORDS)}",
@@ -248,7 +290,9 @@ def q_cascade(spark, sf):
       SELECT doc_id, class, row_number() OVER (PARTITION BY class ORDER BY {S.shuffle_key(P.SEED, 'doc_id')}, doc_id) AS rn,
              count(*) OVER (PARTITION BY class) AS n FROM cd)""")
 def q_split_per_class(spark, sf):
-    return C.split_per_class(classified(spark, sf), "class", "doc_id", 0.9, True, P.SEED).select("doc_id", "class", "split")
+    ensure_checkpoint_dir(spark)
+    rows = classified(spark, sf).select("doc_id", "class").checkpoint()  # classified once, texts left behind
+    return C.split_per_class(rows, "class", "doc_id", 0.9, True, P.SEED)
 
 
 @register("corpus_global_split", f"""

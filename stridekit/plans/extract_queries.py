@@ -124,7 +124,7 @@ def q_last_exchange(spark, sf):
 
 
 @register("extract_bio", f"""
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR {_TEXT} = '' THEN '{P.SYSTEM_TEXT}' ELSE '{P.SYSTEM_TEXT}' || chr(10) || chr(10) || {_TEXT} END AS system
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR {_TEXT} = '' THEN '{P.SYSTEM_TEXT}' ELSE '{P.SYSTEM_TEXT} Speak in the style of this character: ' || {_TEXT} END AS system
     FROM documents""")
 def q_bio(spark, sf):
     """Every third row has no biography."""

@@ -6,6 +6,10 @@ from ..functions import keywords as KW
 from ..functions import text as T
 
 
+#: The entities of the queries' texts; "&amp;" last, as one pass would have it.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&Eacute;t", "\u00c9t"), ("&notit;", "\u00acit;"), ("&#x1F600;", "\U0001f600"), ("&amp;", "&")]
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -26,7 +30,7 @@ def clean_text(x: str) -> str:
 def clean_post(x: str) -> str:
     raw = nz(x)
     t = raw
-    for ent, ch in T.HTML_ENTITIES:
+    for ent, ch in ENTITIES:
         t = f"replace({t}, {q(ent)}, {q(ch)})"
     t = f"regexp_replace({t}, 'http{T.NON_WS}+', '', 'g')"
     t = rf"regexp_replace({t}, '\*{{1,3}}(.*?)\*{{1,3}}', '\1', 'g')"
@@ -52,9 +56,7 @@ def count_present(lower: str, kws: list[str], mode: str = "substring") -> str:
     if not kws:
         return "0"
     if mode == "word":
-        import re
-
-        parts = [f"(CASE WHEN regexp_matches({lower}, {q(chr(92) + 'b' + re.escape(k) + chr(92) + 'b')}) THEN 1 ELSE 0 END)" for k in kws]
+        parts = [f"(CASE WHEN regexp_matches({lower}, {q(KW.word_pattern(k))}) THEN 1 ELSE 0 END)" for k in kws]
     else:
         parts = [f"(CASE WHEN contains({lower}, {q(k)}) THEN 1 ELSE 0 END)" for k in kws]
     return "(" + " + ".join(parts) + ")"
