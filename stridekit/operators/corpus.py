@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import constants as K
 from ..functions import keywords as KW
 from ..functions import text as T
 from ..session import ensure_checkpoint_dir
@@ -446,6 +447,21 @@ def validate_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
 
 
+def request_checks() -> dict[str, Column]:
+    """The rules of profile and log requests; a missing value fails its rule, but notes are optional."""
+    return {
+        "user_id_length": F.length("user_id").between(3, 32), "username_length": F.length("username").between(1, 50), "unknown_build": F.lower("build").isin(*K.BUILDS),
+        "duration_range": F.col("duration_minutes").between(*K.DURATION_MINUTES), "unknown_intensity": F.lower("intensity").isin(*[n for n, _ in K.INTENSITY]),
+        "notes_length": F.coalesce(F.length("notes"), F.lit(0)) <= 200,
+    }
+
+
+def feature_checks() -> dict[str, Column]:
+    """User-day features are not negative, and rates are between 0 and 1."""
+    counts = ("activities_per_day", "daily_xp_total", "streak_gap_days", "avg_session_duration", "max_session_duration", "xp_per_minute")
+    return {c: F.col(c) >= 0 for c in counts} | {c: F.col(c).between(0.0, 1.0) for c in ("intensity_switch_rate", "sessions_at_cap_ratio")}
+
+
 def hash_class(key, classes: list[str] = KW.CLASS_ORDER, seed: int = 42) -> Column:
     """A deterministic stand-in for a random class: md5(seed:key) -> one
     of ``classes`` (first 8 hex digits mod the number of classes)."""

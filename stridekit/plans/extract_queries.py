@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
 from ..functions import keywords as KW
 from ..functions import text as X
+from ..operators import anomaly as AN
 from ..operators import corpus as C
 from ..sources import files as FL
-from ..sources.tables import read_table
+from ..sources import states as ST
+from ..sources.tables import activity_log, read_table
 from ..streaming.user_state import _scratch
 from . import params as P
 from . import sql_text as S
+from .anomaly_queries import _features_sql
 from .registry import register
 
 
@@ -195,25 +199,106 @@ def q_tree(spark, sf):
     return FL.read_json_tree(spark, path, schema)
 
 
-@register("source_user_states", """
-    SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN user_id % 2 = 0 THEN 'user ' || user_id ELSE CAST(user_id AS VARCHAR) END AS username,
-           'strength' AS build, count(*) AS total_xp, CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE count(*) % 30 END AS INTEGER) AS current_streak,
-           CAST(CASE WHEN user_id % 5 = 0 THEN 4 ELSE user_id % 4 END AS INTEGER) AS shields_remaining, CAST(max(ts) AS DATE) AS last_activity_date
-    FROM events GROUP BY user_id""")
-def q_states(spark, sf):
-    """One saved state file a user, with keys missing in some, loaded with the defaults."""
+_STATES_SQL = """
+    s AS (SELECT user_id AS u, count(*) AS n, CAST(max(ts) AS DATE) AS last FROM events GROUP BY user_id)"""
+
+
+def _saved_states(spark, sf):
+    """A user state for each user of ``events``, keys missing in some, saved many to a file: lists of states and single ones in one folder."""
     u = F.col("user_id")
-    state = read_table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts")).select(
-        "user_id",
-        F.to_json(F.struct(
-            u.cast("string").alias("user_id"), F.when(u % 2 == 0, F.concat(F.lit("user "), u.cast("string"))).alias("username"),
-            F.struct(F.lit("strength").alias("build"), F.col("n").alias("total_xp")).alias("primary_build"),
-            F.when(u % 3 != 0, F.col("n") % 30).alias("current_streak"), F.when(u % 5 != 0, u % 4).alias("shields_remaining"),
-            F.date_format("ts", "yyyy-MM-dd").alias("last_activity_date"),
-        )).alias("value"),
+    log = F.struct(
+        F.col("event_type").alias("activity"), (F.col("event_id") % 480).cast("int").alias("duration"), F.when(F.col("event_id") % 4 > 0, F.lit("light")).alias("intensity"),
+        (F.col("event_id") % 900).cast("int").alias("xp"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("logged_at"),
+    )
+    logs = F.sort_array(F.collect_list(F.when(F.col("event_id") % 10 == 0, F.struct("event_id", log.alias("log")))))
+    users = read_table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"), logs.alias("logs"))
+    build = lambda name, xp: F.struct(F.lit(name).alias("build"), xp.alias("total_xp"))
+    state = F.struct(
+        u.cast("string").alias("user_id"), F.when(u % 2 == 0, F.concat(F.lit("user "), u.cast("string"))).alias("username"),
+        build("strength", F.col("n")).alias("primary_build"), F.when(u % 4 == 1, build("gamer", F.col("n") * 2)).alias("secondary_build"),
+        F.when(u % 6 == 2, F.array(build("wellness", u), build("creative", u + 1))).alias("legacy_builds"),
+        F.when(u % 3 != 0, F.col("n") % 30).alias("current_streak"), F.when(u % 5 != 0, u % 4).alias("shields_remaining"),
+        F.date_format("ts", "yyyy-MM-dd").alias("last_activity_date"), F.when(u % 7 != 0, F.transform("logs", lambda x: x["log"])).alias("activity_history"),
     )
     path = _scratch(spark, "states")
-    state.withColumnRenamed("user_id", "owner").repartition("owner").write.partitionBy("owner").text(path)
-    return FL.load_user_state(spark, path).select(
+    single = users.where(u % 3 == 0).select(F.to_json(state).alias("value"))
+    listed = users.where(u % 3 != 0).groupBy(F.floor(u / 12)).agg(F.to_json(F.collect_list(state)).alias("value")).select("value")
+    single.unionByName(listed).write.text(path)
+    return ST.load_user_states(spark, path, lines=True)
+
+
+@register("source_user_states", f"""
+    WITH {_STATES_SQL}
+    SELECT CAST(u AS VARCHAR) AS user_id, CASE WHEN u % 2 = 0 THEN 'user ' || u ELSE CAST(u AS VARCHAR) END AS username,
+           'strength' AS build, n AS total_xp, CAST(CASE WHEN u % 3 = 0 THEN 0 ELSE n % 30 END AS INTEGER) AS current_streak,
+           CAST(CASE WHEN u % 5 = 0 THEN 4 ELSE u % 4 END AS INTEGER) AS shields_remaining, last AS last_activity_date
+    FROM s""")
+def q_states(spark, sf):
+    """Saved states, list and object roots in one folder, loaded with the defaults."""
+    return _saved_states(spark, sf).select(
         "user_id", "username", "primary_build.build", "primary_build.total_xp", "current_streak", "shields_remaining", "last_activity_date"
     )
+
+
+@register("source_user_builds", f"""
+    WITH {_STATES_SQL}
+    SELECT CAST(u AS VARCHAR) AS user_id, kind, build, CAST(xp AS BIGINT) AS total_xp, kind = 'legacy' AS is_legacy FROM (
+      SELECT u, 'primary' AS kind, 'strength' AS build, n AS xp FROM s
+      UNION ALL SELECT u, 'secondary', 'gamer', n * 2 FROM s WHERE u % 4 = 1
+      UNION ALL SELECT u, 'legacy', 'wellness', u FROM s WHERE u % 6 = 2 UNION ALL SELECT u, 'legacy', 'creative', u + 1 FROM s WHERE u % 6 = 2)""")
+def q_state_builds(spark, sf):
+    """Primary, secondary and legacy builds as rows."""
+    return ST.builds(_saved_states(spark, sf))
+
+
+@register("source_activity_history", """
+    SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos, event_type AS activity,
+           CAST(event_id % 480 AS INTEGER) AS duration, CASE WHEN event_id % 4 > 0 THEN 'light' END AS intensity, CAST(event_id % 900 AS INTEGER) AS xp,
+           CAST(NULL AS VARCHAR) AS notes, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS logged_at
+    FROM events WHERE event_id % 10 = 0 AND user_id % 7 <> 0""")
+def q_activity_history(spark, sf):
+    """The logged activities of the saved states as rows."""
+    return ST.activity_history(_saved_states(spark, sf))
+
+
+_REQUESTS = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'ab' WHEN 1 THEN repeat('x', 33) WHEN 2 THEN NULL ELSE 'user_' || user_id END AS user_id,
+      CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN repeat('y', 51) ELSE 'User ' || user_id END AS username,
+      CASE event_id % 5 WHEN 0 THEN 'wizard' WHEN 1 THEN 'Strength' ELSE 'gamer' END AS build,
+      CAST(floor(value) + 1 AS INT) AS duration_minutes, CASE event_id % 4 WHEN 0 THEN 'Intense' WHEN 1 THEN 'extreme' ELSE 'light' END AS intensity,
+      CASE event_id % 11 WHEN 0 THEN repeat('n', 201) WHEN 1 THEN NULL ELSE 'note' END AS notes FROM events"""
+_REQUEST_CHECKS = {
+    "user_id_length": "length(user_id) BETWEEN 3 AND 32", "username_length": "length(username) BETWEEN 1 AND 50", "unknown_build": f"lower(build) IN ({', '.join(S.q(b) for b in K.BUILDS)})",
+    "duration_range": f"duration_minutes BETWEEN {K.DURATION_MINUTES[0]} AND {K.DURATION_MINUTES[1]}",
+    "unknown_intensity": f"lower(intensity) IN ({', '.join(S.q(n) for n, _ in K.INTENSITY)})", "notes_length": "coalesce(length(notes), 0) <= 200",
+}
+
+
+def _reasons_sql(checks: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({v}, false) THEN '{k}' END" for k, v in checks.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@register("activity_validate_requests", f"""
+    SELECT event_id, array_to_string({_reasons_sql(_REQUEST_CHECKS)}, ',') AS reasons, len({_reasons_sql(_REQUEST_CHECKS)}) = 0 AS is_valid FROM ({_REQUESTS})""")
+def q_validate_requests(spark, sf):
+    """Profile and log requests made of ``events``, every failed rule in one pass."""
+    read_table(spark, sf, "events").createOrReplaceTempView("_request_events")
+    requests = spark.sql(_REQUESTS.replace("FROM events", "FROM _request_events"))
+    rows = C.validate_rows(requests, C.request_checks())
+    return rows.select("event_id", F.array_join("reasons", ",").alias("reasons"), "is_valid")
+
+
+_FEATURE_CHECKS = {**{c: f"{c} >= 0" for c in ("activities_per_day", "daily_xp_total", "streak_gap_days", "avg_session_duration", "max_session_duration", "xp_per_minute")},
+                   **{c: f"{c} BETWEEN 0.0 AND 1.0" for c in ("intensity_switch_rate", "sessions_at_cap_ratio")}}
+# user-days with some values out of range
+_SPOILED = {"activities_per_day": "CASE WHEN user_id % 9 = 0 THEN -1 ELSE activities_per_day END", "intensity_switch_rate": "CASE WHEN user_id % 8 = 0 THEN intensity_switch_rate + 0.7 ELSE intensity_switch_rate END",
+            "xp_per_minute": "CASE WHEN user_id % 10 = 0 THEN NULL ELSE xp_per_minute END"}
+
+
+@register("anomaly_validate_features", f"""
+    WITH {_features_sql()}, x AS (SELECT * REPLACE ({", ".join(f"{v} AS {k}" for k, v in _SPOILED.items())}) FROM feat)
+    SELECT user_id, day, array_to_string({_reasons_sql(_FEATURE_CHECKS)}, ',') AS reasons, len({_reasons_sql(_FEATURE_CHECKS)}) = 0 AS is_valid FROM x""")
+def q_validate_features(spark, sf):
+    """Feature rows checked for their ranges before they are scored."""
+    f = AN.user_day_features(activity_log(spark, sf)).withColumns({k: F.expr(v) for k, v in _SPOILED.items()})
+    rows = C.validate_rows(f, C.feature_checks())
+    return rows.select("user_id", "day", F.array_join("reasons", ",").alias("reasons"), "is_valid")

@@ -40,6 +40,9 @@ SEED = 42
 # Replay of late events: of every 10 events one arrives 1 to 3 days late; micro-batches of 8 days of arrival.
 LATE_EVERY, LATE_DAYS, BATCH_DAYS = 10, 3, 8
 
+# Event time that the feature stream waits for late rows.
+FEATURE_DELAY_DAYS = 2
+
 # How long the registered model queries fit: all features and the rule's trees and folds, but fewer
 # rounds and iterations than the rule's 400, 1,000, 2,000 and 500 (figures of both are in the README).
 EFFORT = {"rounds": 10, "lr_iterations": 100, "svm_iterations": 25, "meta_iterations": 500}

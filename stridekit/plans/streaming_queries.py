@@ -6,14 +6,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as AN
+from ..operators import sentiment as SE
 from ..sources.tables import events_to_activity_log, read_table
 from ..streaming import late_events as LE
+from ..streaming import scoring as SC
 from ..streaming import state_table as ST
 from ..streaming import user_state as US
 from . import params as P
 from . import sql_activity as SA
-from .anomaly_queries import _split
+from . import sql_text as S
+from .anomaly_queries import _features_sql, _split
+from .corpus_queries import labelled
 from .registry import register
+from .sentiment_queries import blend_sql
 
 _STREAM_COLS = US.OUTPUT_COLUMNS
 
@@ -50,16 +55,40 @@ def q_stream_late_events(spark, sf):
     return spark.read.parquet(f"{root}/data")
 
 
+@register("stream_user_day_features", f"""
+    WITH {_features_sql()} SELECT user_id, day, {", ".join(AN.FEATURES)} FROM feat
+    WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY < (SELECT max(ts) FROM al) - INTERVAL {P.FEATURE_DELAY_DAYS} DAY""")
+def q_stream_user_day_features(spark, sf):
+    """G1 out of the event stream: the user-days that the watermark has closed."""
+    stream = US.stream_events(spark, f"{sf.rstrip('/')}/events.parquet", max_files_per_trigger=1000)
+    return US.run_to_table(SC.user_day_features(stream, f"{P.FEATURE_DELAY_DAYS} days"), "features")
+
+
 @register("stream_anomaly_scores", None)
 def q_stream_anomaly_scores(spark, sf):
-    """A logistic-regression pipeline fitted on the batch train split,
-    applied to a stream of user-day feature rows."""
+    """A logistic-regression pipeline fitted on the batch train split, applied to the user-days as they come out of the event stream."""
     sp = _split(spark, sf)
-    stats = AN.fit_scaler(sp.where(F.col("split") == "train"))
-    z = AN.apply_scaler(sp, stats)
-    model = AN.fit_models(z.where(F.col("split") == "train"), P.SEED, which=("logistic_regression",))
-    folder = US._scratch(spark, "features")
-    z.write.mode("overwrite").parquet(folder)
-    feats = spark.readStream.schema(z.schema).parquet(folder)
-    scored = AN.score(model, feats).select("user_id", "day", "split", "is_anomaly", "score_logistic_regression", "predicted_anomaly", "predicted_type")
-    return US.run_to_table(scored, "anomaly_scores")
+    train = sp.where(F.col("split") == "train")
+    stats = AN.fit_scaler(train).checkpoint()
+    model = AN.fit_models(AN.apply_scaler(train, stats), P.SEED, which=("logistic_regression",))
+    stream = US.stream_events(spark, f"{sf.rstrip('/')}/events.parquet", max_files_per_trigger=1000)
+    scored = SC.score_days(SC.user_day_features(stream, f"{P.FEATURE_DELAY_DAYS} days"), stats, model)
+    return US.run_to_table(scored.select("user_id", "day", "is_anomaly", "score_logistic_regression", "predicted_anomaly", "predicted_type"), "anomaly_scores")
+
+
+_SAID = f"([{', '.join(S.q(x) for x in P.SAID)}])"
+
+
+@register("stream_message_signals", blend_sql(f"""
+    pri AS (SELECT {", ".join(f"count(*) FILTER (WHERE label = '{l}') / count(*) AS m_{l}" for l in SE.LABELS)} FROM lab),
+    sd AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || {_SAID}[CAST((conv_id + turn) % {len(P.SAID)} AS INTEGER) + 1] AS text FROM conversations WHERE role = 'user')""",
+    ["conv_id", "turn"]))
+def q_stream_message_signals(spark, sf):
+    """D11-D14 on a stream of user messages, joined with a static table of class shares."""
+    shares = labelled(spark, sf).agg(*[(F.count(F.when(F.col("label") == l, 1)) / F.count(F.lit(1))).alias(f"m_{l}") for l in SE.LABELS])
+    said = F.element_at(F.array(*[F.lit(x) for x in P.SAID]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(P.SAID))) + 1).cast("int"))
+    raw = US.stream_files(spark, f"{sf.rstrip('/')}/conversations.parquet", max_files_per_trigger=1000).where("role = 'user'")
+    messages = raw.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said).alias("text"))
+    signals = SC.message_signals(messages, shares.checkpoint())
+    cols = ["conv_id", "turn", "s_hits", "m_hits", *[f"p_{l}" for l in SE.LABELS], "pred_label", "confidence", "flag"]
+    return US.run_to_table(signals.select(*cols), "messages")

@@ -77,41 +77,6 @@ def read_json_tree(spark: SparkSession, folder: str, schema: T.StructType | None
     return r.json(folder)
 
 
-BUILD_PROFILE = T.StructType([
-    T.StructField("build", T.StringType()), T.StructField("total_xp", T.LongType()), T.StructField("is_legacy", T.BooleanType()),
-])
-USER_STATE_SCHEMA = T.StructType([
-    T.StructField("user_id", T.StringType()), T.StructField("username", T.StringType()),
-    T.StructField("primary_build", BUILD_PROFILE), T.StructField("secondary_build", BUILD_PROFILE),
-    T.StructField("legacy_builds", T.ArrayType(BUILD_PROFILE)),
-    T.StructField("current_streak", T.IntegerType()), T.StructField("longest_streak", T.IntegerType()),
-    T.StructField("last_activity_date", T.StringType()), T.StructField("daily_xp_today", T.IntegerType()),
-    T.StructField("last_reset_date", T.StringType()), T.StructField("shields_remaining", T.IntegerType()),
-    T.StructField("shields_reset_month", T.IntegerType()), T.StructField("sessions_today", T.IntegerType()),
-    T.StructField("overtime_xp_today", T.IntegerType()),
-])
-
-
-def load_user_state(spark: SparkSession, path: str) -> DataFrame:
-    """Saved user states with defaults for missing keys; legacy builds
-    marked legacy. Dates stay ISO strings in the file and become DATEs."""
-    d = spark.read.schema(USER_STATE_SCHEMA).option("multiLine", True).json(path)
-    legacy = F.transform(F.coalesce(F.col("legacy_builds"), F.array().cast(T.ArrayType(BUILD_PROFILE))),
-                         lambda b: F.struct(b["build"].alias("build"), F.coalesce(b["total_xp"], F.lit(0)).alias("total_xp"),
-                                            F.lit(True).alias("is_legacy")))
-    return d.select(
-        "user_id", F.coalesce("username", "user_id").alias("username"),
-        F.struct(F.col("primary_build.build").alias("build"), F.coalesce(F.col("primary_build.total_xp"), F.lit(0)).alias("total_xp"),
-                 F.lit(False).alias("is_legacy")).alias("primary_build"),
-        "secondary_build", legacy.alias("legacy_builds"),
-        *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in [
-            ("current_streak", 0), ("longest_streak", 0), ("daily_xp_today", 0), ("shields_remaining", 4),
-            ("sessions_today", 0), ("overtime_xp_today", 0)]],
-        F.to_date("last_activity_date").alias("last_activity_date"), F.to_date("last_reset_date").alias("last_reset_date"),
-        "shields_reset_month",
-    )
-
-
 def source_registry(builders: dict[str, Callable[[], DataFrame]], names: list[str] | str) -> DataFrame:
     """Build the chosen sources ('all' = every one, in registry order);
     unknown names are logged and skipped; the parts are unioned by name with a

@@ -210,17 +210,20 @@ def finish(query) -> None:
         raise RuntimeError(str(query.exception()))
 
 
-def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream of the event files of ``path`` (a table folder or one file), oldest first, ``max_files_per_trigger`` a micro-batch."""
+def stream_files(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Stream of the files of ``path`` (a table folder or one file), oldest first, ``max_files_per_trigger`` a micro-batch."""
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files_per_trigger)
     folder, _, name = path.rstrip("/").rpartition("/")
     files = table.inputFiles()
     if len(files) == 1 and files[0].endswith(f"/{name}"):  # a file: a stream reads folders, so its folder under its name
-        raw = reader.option("pathGlobFilter", name).parquet(folder)
-    else:
-        raw = reader.parquet(path)
-    return events_to_activity_log(raw)
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
+
+
+def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Stream of the activity log of event files."""
+    return events_to_activity_log(stream_files(spark, path, max_files_per_trigger))
 
 
 def score_stream(model, features_stream: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from stridekit.functions import constants as K
 from stridekit.operators import activity as A
 from stridekit.sources.tables import events_to_activity_log, read_table
+from stridekit.operators import anomaly as AN
 from stridekit.streaming import late_events as LE
+from stridekit.streaming import scoring as SC
 from stridekit.streaming import state_table as ST
 from stridekit.streaming import user_state as US
 
@@ -188,3 +190,21 @@ def test_late_events_in_event_time(spark):
     kept = {r["day"] for r in pools.select("user_map_key.day").collect()}
     first = (dt.date(2024, 1, 1) - dt.date(1970, 1, 1)).days
     assert kept and min(kept) >= first + 16
+
+
+def test_features_out_of_the_stream_equal_the_batch_job(spark):
+    """Two micro-batches out of order; the days that the watermark has closed equal the batch features."""
+    rows = [r for part in random_batches(2, hot=60)[:3] for r in part]
+    log = activity_rows(spark, [r for r in rows if r[2] < 30])
+    root = US._scratch(spark, "test-features")
+    late = F.pmod("event_id", F.lit(5)) == 0
+    for part in (log.where("day < '2024-01-20'").where(~late), log.where("day >= '2024-01-20' OR event_id % 5 = 0")):
+        part.write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/src")
+        US.finish(SC.user_day_features(stream, "40 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").trigger(availableNow=True).start())
+    assert spark.read.parquet(f"{root}/out").count() == 0  # nothing is closed yet
+    end = activity_rows(spark, [(9, 10**6, 100, 0, 5)])
+    end.write.mode("append").parquet(f"{root}/src")
+    US.finish(SC.user_day_features(spark.readStream.schema(log.schema).parquet(f"{root}/src"), "40 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").trigger(availableNow=True).start())
+    got, want = spark.read.parquet(f"{root}/out"), AN.user_day_features(log)
+    assert got.count() == want.count() > 50 and got.exceptAll(want.select(*got.columns)).count() == 0
