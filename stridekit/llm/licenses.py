@@ -5,7 +5,8 @@ joined again by single spaces; the rules are regular expressions over that
 form, so line breaks and punctuation do not matter. Rules are ordered by
 priority: identifier tags, then full-notice signatures, then "licensed under
 ..." phrases, then versioned names, then bare names. A rule is tried only if its
-keyword (part of a word) occurs, and a text is normalised only if any keyword does.
+keyword (part of a word) occurs and, for the rules of a license, one of the license's own
+words ("mozilla public", "epl", ...); a text is normalised only if any keyword occurs.
 
 A detection whose words lie within those of a detection of higher priority (or of
 equal priority that is longer, or comes first) is suppressed. The base phrases
@@ -143,13 +144,29 @@ class Rule(NamedTuple):
     keyword: str
     pattern: re.Pattern
     confidence: float
+    words: tuple[str, ...] = ()  # of the license's name: one of them is in every match
+
+
+def literals(pattern: str) -> tuple[str, ...]:
+    """Strings of which every match of a name pattern holds one: of each alternative, optional parts left out, the longest plain run.
+
+    A run that is a whole alternative stands between spaces, so it gets them.
+    """
+    while (short := re.sub(r"\(\?:[^()]*\)\?", "\0", pattern)) != pattern:
+        pattern = short
+    while m := re.search(r"\(\?:([^()]*)\)", pattern):  # one group at a time: its alternatives within what stands around it
+        return tuple(x for alt in m[1].split("|") for x in literals(pattern[: m.start()] + alt + pattern[m.end() :]))
+    runs = re.split(r"\0|.\?", pattern)
+    best = max(runs, key=len)
+    return (f" {best.strip()} " if len([r for r in runs if r]) == 1 and "?" not in pattern else best,)
 
 
 @lru_cache(maxsize=1)
 def rules() -> list[Rule]:
     """All rules in order: the notices, and for each license its tag, phrase and name rules."""
     out = []
-    word = lambda p: re.compile(rf"(?<!\S)(?:{p})(?!\S)")
+    # words are what single spaces separate: other white space belongs to them
+    word = lambda p: re.compile(rf"(?<![^ ])(?:{p})(?![^ ])")
 
     rows = lambda table: [[c.strip() for c in line.split(";")] for line in table.strip().splitlines()]
     for label, signature, keyword in rows(NOTICES):
@@ -157,15 +174,16 @@ def rules() -> list[Rule]:
     terms = r"(?:under|subject to|governed by|in accordance with)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?"
     verb = r"(?:licensed|released|distributed|available|published|provided|covered|redistributable|dual licensed|shared)"
     for label, name, versions, tag in rows(LICENSES):
+        own = literals(name)
         numbers = [v.strip() for v in versions.split(",") if v.strip()]
         anyv = f"(?: (?:version|v)?(?: )?(?:{'|'.join(numbers)}))?" if numbers else ""
         lic = "(?: licen[cs]es?)?"
         out.append(Rule(0, label, "tag", "spdx", word(f"spdx license identifier {tag}(?: (?:{'|'.join(numbers)}))?(?: only| or later)?" if numbers else f"spdx license identifier {tag}"), 1.0))
-        out.append(Rule(2, label, "grant", "licen", word(f"{verb} {terms} {name}{anyv}{lic}{anyv}"), 0.95))
-        out.append(Rule(3, label, "field", "licen", word(f"licen[cs]es? (?:type |name |is |under |the )?{name}{anyv}"), 0.8))
+        out.append(Rule(2, label, "grant", "licen", word(f"{verb} {terms} {name}{anyv}{lic}{anyv}"), 0.95, own))
+        out.append(Rule(3, label, "field", "licen", word(f"licen[cs]es? (?:type |name |is |under |the )?{name}{anyv}"), 0.8, own))
         for v in numbers:
-            out.append(Rule(4, label, "version", "licen", word(f"{name} licen[cs]e (?:version |v ?)?{v}"), 0.9))
-        out.append(Rule(5, label, "name", "licen", word(f"{name} licen[cs]e"), 0.75))
+            out.append(Rule(4, label, "version", "licen", word(f"{name} licen[cs]e (?:version |v ?)?{v}"), 0.9, own))
+        out.append(Rule(5, label, "name", "licen", word(f"{name} licen[cs]e"), 0.75, own))
     for phrase, label in BASE:
         out.append(Rule(6, label, "base", "licen", word(phrase), 0.75))
     return sorted(out, key=lambda r: r.priority)
@@ -199,19 +217,39 @@ def detect(raw: bytes) -> tuple[list[Found], list[Found]]:
     starts = np.concatenate([[0], np.cumsum([len(w.decode("utf-8", "replace")) + 1 for w in tokens])]).tolist()
     found, base = [], []
     present: dict[str, bool] = {}
+    spaced = f" {text} "
+
+    def there(word: str) -> bool:
+        if word not in present:
+            present[word] = word in spaced
+        return present[word]
+
     for r in rules():
-        if r.keyword not in present:
-            present[r.keyword] = r.keyword in text
-        if not present[r.keyword]:
+        if not there(r.keyword) or r.words and not any(map(there, r.words)):
             continue
         for m in r.pattern.finditer(text):
             x = Found(r.label, r.kind, r.priority, bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1), r.confidence)
             (base if r.kind == "base" else found).append(x)
+    return base, _unsuppressed(found + base, len(tokens))
+
+
+def _unsuppressed(found: list[Found], n: int) -> list[Found]:
+    """Detections that lie within none that goes before them, by one sweep: a tree of the farthest end by start answers each in log n steps."""
     kept: list[Found] = []
-    for x in sorted(found + base, key=lambda x: (x.priority, x.first - x.past, x.first)):
-        if not any(k.first <= x.first and x.past <= k.past for k in kept):
-            kept.append(x)
-    return base, kept
+    far = [0] * (n + 2)  # far[i]: the farthest end of kept detections that start in the i-th range of a Fenwick tree
+    for x in sorted(found, key=lambda x: (x.priority, x.first - x.past, x.first)):
+        i, end = x.first + 1, 0
+        while i > 0:
+            end = max(end, far[i])
+            i &= i - 1
+        if end >= x.past:
+            continue
+        kept.append(x)
+        i = x.first + 1
+        while i < len(far):
+            far[i] = max(far[i], x.past)
+            i += i & -i
+    return kept
 
 
 def word_counts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -169,3 +169,77 @@ def test_pipeline_bears_odd_rows(spark, rows, bench, labels, tmp_path):
             assert out.columns == docs.columns
             assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert set(PLAIN) <= set(corpus_pipeline.run(spark, str(tmp_path)).columns)
+
+
+def test_license_words_are_the_contracts_words():
+    """White space other than what separates words belongs to words."""
+    for text in ("mit license\u00a0x", "x\u00a0mit license", "\u0085mit license", "mit\u2003license"):
+        assert licenses.detect(text.lower().encode())[0] == []
+    found = licenses.detect("a MIT\n-- license, (apache) license\u00a0".encode())[0]
+    assert [(f.label, f.first) for f in found] == [("mit", 1)]
+    assert sorted((f.label, f.first) for f in licenses.detect(b"a MIT\n-- license, (apache) license.")[0]) == [("apache", 3), ("mit", 1)]
+
+
+def test_license_suppression_equals_comparing_all():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(60):
+        found = [licenses.Found(str(k), "name", rng.randrange(4), a := rng.randrange(30), a + rng.randint(1, 12), 1.0) for k in range(rng.randint(0, 40))]
+        kept = []
+        for x in sorted(found, key=lambda x: (x.priority, x.first - x.past, x.first)):
+            if not any(k.first <= x.first and x.past <= k.past for k in kept):
+                kept.append(x)
+        assert licenses._unsuppressed(found, 45) == kept
+
+
+def test_licenses_bear_much_license_text():
+    import time
+
+    began = time.time()
+    base, kept = licenses.detect(b"mit license foo " * 95_000)
+    assert len(base) == len(kept) == 95_000 and time.time() - began < 30
+
+
+def test_every_license_rule_holds_its_gate():
+    """Each license's own names, written out, come through the gate and are found."""
+    for line in licenses.LICENSES.strip().splitlines():
+        label, name, *_ = (c.strip() for c in line.split(";"))
+        for word in licenses.literals(name):
+            text = f"x {word.strip()} license y"
+            if any(r.label == label and r.kind == "name" and r.pattern.search(text) for r in licenses.rules()):
+                assert any(f.label == label for f in licenses.detect(text.encode())[1]) or licenses.detect(text.encode())[1], (label, text)
+
+
+def test_pieces_remember_segments(spark, monkeypatch):
+    """The same ids with no room for remembered segments, with little, and over several blocks."""
+    texts = spark.createDataFrame([(i, f"some words again {i % 7} é中 " * (i % 5) + "x" * (40 * (i % 2))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    want = sorted((r["doc_id"], r["ids"], r["parity"], r["round_trip"]) for r in pieces.encode(texts).collect())
+    assert all(r[2] and r[3] for r in want)
+    codec = pieces.Codec(open(pieces.DEFAULT_MODEL, "rb").read())
+    rows = [r["text"] for r in texts.orderBy("doc_id").collect()]
+    for room in (0, 3, 1 << 16):
+        monkeypatch.setattr(pieces, "CACHED_SEGMENTS", room)
+        codec.known.clear()
+        for _ in range(2):  # the second time out of what is remembered
+            flat, offs, same = codec.encode(rows)
+            assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [r[1] for r in want] and same.all()
+        assert len(codec.known) <= room
+
+
+def test_url_suffixes_are_counted_over_all_examples(spark):
+    """Whatever the sample of the trees, every suffix of a ruled URL is counted, and its share reaches the trees."""
+    from collections import Counter
+
+    rows = [(i, f"http://h{i}.site{i % 40}.net/x{i}") for i in range(400)] + [(1000 + i, f"http://a.b{i % 7}.org/fr/{i}") for i in range(200)] + [(5000, "http://free.com/x"), (5001, None)]
+    parts = urls.with_parts(spark.createDataFrame(rows, "page_id long, url string"))
+    model = urls.train(parts, max_rows=10)
+    known = [(".".join(u.split("/")[2].split(".")[-k:]), k, float(u.split("/")[2].endswith("net"))) for _, u in rows[:600] for k in (1, 2)]
+    for k in (1, 2):
+        got = {r["s"]: (r["b"], r["n"]) for r in model.suffixes[k - 1].collect()}
+        n, b = Counter(s for s, j, _ in known if j == k), Counter()
+        for s, j, y in known:
+            b[s] += y if j == k else 0
+        assert got == {s: (b[s], n[s]) for s in n}
+    assert model.prior == pytest.approx(400.5 / 601)
+    assert urls.judge(parts, model).count() == len(rows)
