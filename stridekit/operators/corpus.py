@@ -21,6 +21,7 @@ from ..functions import keywords as KW
 from ..functions import text as T
 from ..session import ensure_checkpoint_dir
 from ..functions.scan import first_rows, row_numbers, running_aggregates
+from . import bloom
 from .selection import mark_first
 
 
@@ -288,9 +289,10 @@ def dedup_first_wins(df: DataFrame, group: list[str], key: Column, order: list[s
 
 
 def incremental_dedup(new: DataFrame, existing: DataFrame, key_new: Column, key_old: Column) -> DataFrame:
-    """Drop new rows whose key an existing row already has (anti join)."""
+    """Drop new rows whose key an existing row already has; rows that a Bloom filter of the
+    existing keys turns away are kept without a shuffle, the others meet an exact anti-join."""
     old_keys = existing.select(key_old.alias("_key")).distinct()
-    return new.withColumn("_key", key_new).join(old_keys, "_key", "left_anti").drop("_key")
+    return bloom.anti_join(new.withColumn("_key", key_new), old_keys, "_key").select(*new.columns)
 
 
 def ordered_union(df: DataFrame, source_order: str, key: Column, order: list[str]) -> DataFrame:
