@@ -15,8 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
+from .textblocks import fresh, without
 
 _UNIT = float(1 << 52)
 
@@ -44,23 +46,16 @@ def with_slots(df: DataFrame, shard: str = "shard", slot: str = "slot") -> DataF
     are numbered inside (shard, partition) and shifted by the count of the shard's
     earlier partitions. The largest sort is one shard's rows of one partition.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).checkpoint()
-    from pyspark.sql import Window
-
-    counts = kept.groupBy(shard, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(shard, "_part").orderBy("_row")
-    numbered = kept.withColumn("_i", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(offsets, (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
-        .withColumn(slot, F.col("_before") + F.col("_i"))
-        .drop("_part", "_row", "_i", "_s", "_p", "_before")
-    )
+    ensure_checkpoint_dir(df.sparkSession)
+    df = without(df, slot)
+    part, row, at, of, before = (fresh(df, f"_{c}") for c in ("part", "row", "at", "of", "before"))
+    kept = df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}).checkpoint()
+    counts = kept.groupBy(F.col(shard).alias(of), F.col(part).alias(at)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(of, at, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy(shard, part).orderBy(row)
+    numbered = kept.withColumn(slot, F.row_number().over(inside) - 1).join(offsets, F.col(shard).eqNullSafe(F.col(of)) & (F.col(part) == F.col(at)))
+    return numbered.withColumn(slot, F.col(slot) + F.col(before)).drop(part, row, at, of, before)
 
 
 def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float | None = None) -> DataFrame:

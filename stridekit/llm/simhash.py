@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .textblocks import NON_SPACE, blocks, bounded_batches, grams, mix, text_buffer, words
+from .textblocks import NON_SPACE, blocks, bounded_batches, fresh, grams, mix, text_buffer, without, words
 
 BITS = 256
 WEIGHTS = (0.3, 1.0)  # of single words and of pairs
@@ -66,9 +66,9 @@ def fingerprints(col: pa.Array, bits: int = BITS) -> np.ndarray:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", bits: int = BITS, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the lower-case hex fingerprint of column ``text`` added, and without ``drop``."""
+    """``df`` with the lower-case hex fingerprint of column ``text`` added (it replaces one of its name), and without ``drop``."""
     bounded_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in drop]
+    names = [c for c in df.columns if c not in drop and c.lower() != name.lower()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +163,10 @@ def fingerprint_digest(docs: DataFrame, bits: int = BITS, bucket_rows: int = BUC
 def with_near_counts(rows: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """``rows`` with ``n_near``: the other rows whose fingerprint lies within the radius (copies included)."""
     ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.checkpoint()
+    rows = without(rows, "n_near").checkpoint()
     near = within_radius(rows, radius, bits)
     ends = near.select(F.col("a").alias("f"), F.col("rows_b").alias("m")).unionByName(near.select(F.col("b").alias("f"), F.col("rows_a").alias("m")))
     own = rows.groupBy(F.col("fingerprint").alias("f")).agg((F.count("*") - 1).alias("m"))
-    total = own.unionByName(ends).groupBy("f").agg(F.sum("m").alias("n_near"))
-    return rows.join(total, rows["fingerprint"] == total["f"]).drop("f")
+    f = fresh(rows, "_f")
+    total = own.unionByName(ends).groupBy(F.col("f").alias(f)).agg(F.sum("m").alias("n_near"))
+    return rows.join(total, F.col("fingerprint") == F.col(f)).drop(f)

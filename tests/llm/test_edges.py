@@ -243,3 +243,38 @@ def test_url_suffixes_are_counted_over_all_examples(spark):
         assert got == {s: (b[s], n[s]) for s in n}
     assert model.prior == pytest.approx(400.5 / 601)
     assert urls.judge(parts, model).count() == len(rows)
+
+
+def test_columns_of_the_operators_names_are_kept_or_replaced(spark):
+    """A user's columns with names that the operators use inside stay; those that they add are replaced."""
+    names = ["_known", "_base", "_score", "_rare", "_row", "_log", "_seen", "f", "_f", "_part", "_at", "_of", "_before", "n_near", "fingerprint", "slot", "n_tokens", "score", "n_known"]
+    docs = spark.createDataFrame([(i, f"some words {i % 2} again", *[f"mine{i}"] * len(names)) for i in range(6)], ", ".join(["doc_id long", "text string", *[f"{c} string" for c in names]]))
+
+    def kept(df, replaced):
+        rows = df.collect()
+        assert len(rows) == 6 and len(df.columns) == len(set(df.columns))
+        for r in rows:
+            assert all(r[c] == f"mine{r['doc_id']}" for c in names if c not in replaced)
+            assert all(not str(r[c]).startswith("mine") for c in replaced)
+        return rows
+
+    kept(lm.score(docs, *lm.train(docs)), {"n_tokens", "score", "n_known"})
+    near = kept(simhash.with_near_counts(simhash.with_fingerprint(docs)), {"fingerprint", "n_near"})
+    assert {r["n_near"] for r in near} == {2}
+    slots = kept(sharding.with_slots(docs.withColumn("shard", F.when(F.col("doc_id") > 1, F.col("doc_id") % 2))), {"slot"})
+    of = {}
+    for r in slots:
+        of.setdefault(r["shard"], []).append(r["slot"])
+    assert {k: sorted(v) for k, v in of.items()} == {None: [0, 1], 0: [0, 1], 1: [0, 1]}
+
+
+def test_the_shard_with_the_largest_weight_wins(spark):
+    """The winner of every key, recomputed from the hashes of (key, shard) that Spark gives."""
+    weights = [1.0, 2.5, 0.5, 4.0]
+    keys = spark.range(300).select(F.col("id"), sharding.shard_of(F.col("id"), weights).alias("s"), F.xxhash64(F.col("id").cast("string")).alias("d"))
+    rows = keys.select("id", "s", *[F.xxhash64("d", F.lit(i)).alias(f"h{i}") for i in range(len(weights))]).collect()
+    for r in rows:
+        scores = [w / -math.log((((r[f"h{i}"] % 2**64) >> 12) + 0.5) / 2**52) for i, w in enumerate(weights)]
+        assert r["s"] == scores.index(max(scores))
+    share = [sum(r["s"] == i for r in rows) / len(rows) for i in range(len(weights))]
+    assert all(abs(x - w / sum(weights)) < 0.1 for x, w in zip(share, weights))
