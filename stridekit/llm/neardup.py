@@ -18,10 +18,11 @@
 6. The window alone would be a cap on a text's partners. So the members of every
    region (nodes with one prefix of ``MIN_DEPTH`` in one tree) that is longer than
    the window, and not yet all in one component, are compared with each other,
-   in cells of two blocks of ``REGION_BLOCK`` members: by 256 more min-hashes (4.75
-   standard deviations of room again) if their components differ. First each
-   member's likest partner of a cell is confirmed, then all pairs whose components
-   still differ. This grows with the square of such a region, cut into cells.
+   in cells of two blocks of at most ``REGION_BLOCK`` members and about ``REGION_BYTES``
+   of sets. A cell holds its members' sets: pairs of different components that 256 more
+   min-hashes allow (4.75 standard deviations of room again) are confirmed there, each in the
+   first tree that has them together, and components that a link joins are one from then on.
+   So a cell returns fewer links than it has members; pairs are never rows.
 
 Two sets of similarity s meet in a tree of depth d with chance s^d. At 0.75
 and depth 2 all 24 trees miss with chance 2e-9, at depth 4 with 1e-4.
@@ -47,8 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .components import connected_components
-from .textblocks import NON_SPACE, blocks, bounded_batches, find, fresh, grams, mix, text_buffer, words
+from .components import connected_components, fewer
+from .textblocks import NON_SPACE, blocks, bounded_batches, find, fresh, grams, mix, settled, text_buffer, words
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
@@ -58,7 +59,8 @@ MIN_DEPTH = 2
 WINDOW = 8
 SKETCH_BITS = 128
 NEAREST = 1
-REGION_BLOCK = 1000
+REGION_BLOCK = 2000
+REGION_BYTES = 8 << 20
 REGION_HASHES = 256  # one byte of each travels
 MAX_BROADCAST_NODES = 500_000
 
@@ -132,7 +134,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 at += len(sets)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, g1 long, g2 long, labels binary, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(settled(scan), f"doc_id {kind}, n long, g1 long, g2 long, labels binary, s1 long, s2 long")
 
 
 def _forest_keys(sig: np.ndarray) -> np.ndarray:
@@ -185,14 +187,14 @@ def _neighbours(rows: np.ndarray, new: int, percent: int, part: np.ndarray | Non
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-_SCAN = "a long, b long, gap long, part int, pos long, last boolean, row array<long>, key long, nid long"
+_SCAN = "a long, b long, gap long, part int, pos long, last boolean, row array<long>, key long, nid long, n long"
 
 
 class _Runs:
-    """key, nid of a sorted partition's rows in runs of one key that are longer than the window or reach the partition's edge."""
+    """key, nid, n of a sorted partition's rows in runs of one key that are longer than the window or reach the partition's edge."""
 
     def __init__(self):
-        self.held, self.key, self.sent = np.zeros((0, 2), np.int64), None, True
+        self.held, self.key, self.sent = np.zeros((0, 3), np.int64), None, True
 
     def add(self, rows: np.ndarray) -> np.ndarray:
         x = np.concatenate([self.held, rows])
@@ -215,7 +217,7 @@ def _scan(percent: int):
 
         def members(x: np.ndarray) -> pa.RecordBatch:
             none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*none, pa.array(x[:, 0]), pa.array(x[:, 1])], names=names)
+            return pa.RecordBatch.from_arrays([*none, *(pa.array(x[:, c]) for c in range(3))], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -224,14 +226,14 @@ def _scan(percent: int):
             if len(first) < WINDOW:
                 first = np.concatenate([first, rows[: WINDOW - len(first)]])
             seen += len(rows)
-            if len(x := runs.add(rows[:, [0, 3]])):
+            if len(x := runs.add(rows[:, [0, 3, 4]])):
                 yield members(x)
             rows = np.concatenate([tail, rows])
             pairs = _neighbours(rows, len(tail), percent)
             tail = rows[-WINDOW:]
             if len(pairs):
                 m = len(pairs)
-                none = [pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64())]
+                none = [pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in range(3)] + none, names=names)
         if len(runs.held):
             yield members(runs.held)
@@ -241,7 +243,7 @@ def _scan(percent: int):
             m = len(edge)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.nulls(m, pa.int64())] * 3, pa.array([part] * m, pa.int32()), pa.array([e[0] for e in edge], pa.int64()),
-                 pa.array([None if small else e[1] for e in edge], pa.bool_()), pa.array([e[2].tolist() for e in edge], pa.list_(pa.int64())), *[pa.nulls(m, pa.int64())] * 2],
+                 pa.array([None if small else e[1] for e in edge], pa.bool_()), pa.array([e[2].tolist() for e in edge], pa.list_(pa.int64())), *[pa.nulls(m, pa.int64())] * 3],
                 names=names,
             )
 
@@ -266,16 +268,16 @@ def _seams(edge: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, percent: int = THRESHOLD_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """a, b, gap (distance in the nearest order) of the window's candidate pairs; key, nid, m of the members of each region of m > WINDOW + 1 nodes."""
+    """a, b, gap (distance in the nearest order) of the window's candidate pairs; key, nid, m, size (of all its sets) of the members of each region of m > WINDOW + 1 nodes."""
     rows = nodes.select("nid", "n", "labels", "s1", "s2").mapInArrow(
-        _forest_rows, "key long, r1 long, r2 long, nid long, n long, s1 long, s2 long"
+        settled(_forest_rows), "key long, r1 long, r2 long, nid long, n long, s1 long, s2 long"
     )
     order = ["key", "r1", "r2", "nid"]
-    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(percent), _SCAN).checkpoint()
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(settled(_scan(percent)), _SCAN).checkpoint()
     pairs = found.where("a IS NOT NULL").select("a", "b", "gap").unionByName(_seams(found.where("part IS NOT NULL"), percent))
-    members = found.where("nid IS NOT NULL").select("key", "nid")
-    dense = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > WINDOW + 1)
-    return pairs.groupBy("a", "b").agg(F.min("gap").alias("gap")), members.join(dense, "key")
+    members = found.where("nid IS NOT NULL").select("key", "nid", "n")
+    dense = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where(F.col("m") > WINDOW + 1)
+    return pairs.groupBy("a", "b").agg(F.min("gap").alias("gap")), members.drop("n").join(dense, "key")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -311,9 +313,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), items], names=["g1", "g2", "items"])
 
     texts = docs.join(named, "doc_id").select("nid", "g1", "g2", "text")
-    found = texts.mapInArrow(scan, "nid long, items array<long>")
+    found = texts.mapInArrow(settled(scan), "nid long, items array<long>")
     # rows without an id are found by their set's digest
-    others = docs.where("doc_id IS NULL").select("text").mapInArrow(all_sets, "g1 long, g2 long, items array<long>")
+    others = docs.where("doc_id IS NULL").select("text").mapInArrow(settled(all_sets), "g1 long, g2 long, items array<long>")
     others = others.join(wanted.where("doc_id IS NULL").select("nid", "g1", "g2"), ["g1", "g2"]).select("nid", "items")
     return found.unionByName(others).dropDuplicates(["nid"])
 
@@ -326,111 +328,81 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
-def _confirm_cell(percent: int):
-    """Those of a cell's pairs whose sets (rows nid, items of the same cell) have the similarity."""
-
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not pairs.num_rows or not sets.num_rows:
-            return none
-        nid, items = sets.column("nid").to_numpy(), sets.column("items").combine_chunks()
-        flat, sizes = items.flatten().to_numpy().view(np.uint64), items.value_lengths().to_numpy().astype(np.int64)
-        offs, order = np.concatenate([[0], np.cumsum(sizes)]), np.argsort(nid)
-        at = lambda c: order[np.searchsorted(nid[order], pairs.column(c).to_numpy())]
-        a, b = at("a"), at("b")
-        by_a = np.argsort(a, kind="stable")
-        a, b = a[by_a], b[by_a]
-        good = np.zeros(len(a), bool)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
-        for i0, i1 in zip(starts[:-1], starts[1:], strict=True):
-            x, lengths = flat[offs[a[i0]] : offs[a[i0] + 1]], sizes[b[i0:i1]]
-            _, hit = find(x, np.concatenate([flat[offs[j] : offs[j + 1]] for j in b[i0:i1]]))
-            both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-            good[i0:i1] = 100 * both >= percent * (len(x) + lengths - both)
-        return pa.table({"a": nid[a[good]], "b": nid[b[good]]})
-
-    return run
-
-
-def _confirmed_in_cells(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """As _confirmed, for many pairs of few sets: a set travels once to each cell (two blocks of sets) that has a pair of it, not once a pair."""
-    pairs = pairs.checkpoint()
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().count()
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-nodes // REGION_BLOCK))))
-    pairs = pairs.select(block("a").alias("i"), block("b").alias("k"), "a", "b")
-    needed = pairs.select("i", "k", F.explode(F.array("a", "b")).alias("nid")).distinct().join(sets, "nid").select(F.col("i").alias("si"), F.col("k").alias("sk"), "nid", "items")
-    return pairs.groupBy("i", "k").cogroup(needed.groupBy("si", "sk")).applyInArrow(_confirm_cell(percent), "a long, b long")
-
-
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """nid, n, print (a byte of each of REGION_HASHES min-hashes) of sets."""
+    """nid, items, print (a byte of each of REGION_HASHES min-hashes), keys (the node's region in each tree) of sets with their forest labels."""
     mult = _functions(TREES * DEPTH + REGION_HASHES)[TREES * DEPTH :]
     for batch in batches:
         flat, offs = batch.column("items").flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(batch.column("items").value_lengths().to_numpy())])
         for i0, i1 in blocks(offs, 1 << 20):
             sets = [flat[offs[i] : offs[i + 1]] for i in range(i0, i1)]
             sig = (mix(_signatures(sets, mult)) >> np.uint64(56)).astype(np.uint8)
-            arrays = [batch.column("nid").slice(i0, i1 - i0), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["nid", "n", "print"])
+            keys = np.frombuffer(b"".join(batch.column("labels").slice(i0, i1 - i0).to_pylist()), np.int64).reshape(i1 - i0, TREES, 3)[:, :, 0].astype(np.int32)  # the low half: they only tell which tree comes first
+            some = [batch.column(c).slice(i0, i1 - i0) for c in ("nid", "items")]
+            yield pa.RecordBatch.from_arrays(
+                [*some, pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())], names=["nid", "items", "print", "keys"]
+            )
 
 
-def _cell(percent: int, likest: bool):
-    """Pairs of a cell's two blocks (or within one) with different roots that the prints and sizes allow; ``likest``: of each member the likest one only."""
+def _cell(percent: int):
+    """Links that join components within a cell: pairs of its two blocks (or within one) that the prints allow, confirmed on the full sets."""
     p = percent / 100 + (1 - percent / 100) / 256
     least = int(REGION_HASHES * p - 4.75 * (REGION_HASHES * p * (1 - p)) ** 0.5)
 
     def run(cell: pa.Table) -> pa.Table:
-        nid, root, n, block, i = (cell.column(c).to_numpy() for c in ("nid", "root", "n", "block", "i"))
+        nid, part, block, i = (cell.column(c).to_numpy() for c in ("nid", "root", "block", "i"))
+        part = np.unique(part, return_inverse=True)[1]  # components, joined as links are found
         sig = np.frombuffer(b"".join(cell.column("print").to_pylist()), np.uint8).reshape(len(nid), REGION_HASHES)
+        keys = np.frombuffer(b"".join(cell.column("keys").to_pylist()), np.int32).reshape(len(nid), TREES)
+        tree = int(np.argmax(keys[0] == np.array(cell.column("key")[0].as_py()).astype(np.int32)))
+        items = cell.column("items").combine_chunks()
+        flat, n = items.flatten().to_numpy().view(np.uint64), items.value_lengths().to_numpy().astype(np.int64)
+        offs = np.concatenate([[0], np.cumsum(n)])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block != i)
         within = cell.column("k")[0].as_py() == i[0]
         right = left if within else right
-        cols, out = np.ascontiguousarray(sig[right].T), [np.zeros((2, 0), np.int64)]
-        top, of = np.zeros(len(right), np.uint16), np.zeros(len(right), np.int64)
+        cols, links = np.ascontiguousarray(sig[right].T), []
         for at in range(0, len(left) if len(right) else 0, 128):
-            x = left[at : at + 128]
-            alike = np.zeros((len(x), len(right)), np.uint16)
+            rows = left[at : at + 128]
+            alike = np.zeros((len(rows), len(right)), np.uint16)
             for c in range(REGION_HASHES):
-                alike += sig[x, c][:, None] == cols[c]
-            ok = (alike >= least) & (root[x][:, None] != root[right])
-            ok &= 100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])
-            if not likest:
-                a, b = np.nonzero(ok & (nid[x][:, None] < nid[right]) if within else ok)
-                out.append(np.stack([x[a], right[b]]))
-                continue
-            alike *= ok
-            best = alike.argmax(axis=1)
-            some = np.flatnonzero(alike[np.arange(len(x)), best])
-            out.append(np.stack([x[some], right[best[some]]]))
-            best = alike.argmax(axis=0)
-            value = alike[best, np.arange(len(right))]
-            of[value > top], top = x[best[value > top]], np.maximum(top, value)
-        out.append(np.stack([of[top > 0], right[top > 0]]))
-        a, b = nid[np.concatenate(out, axis=1)]
+                alike += sig[rows, c][:, None] == cols[c]
+            ok = (alike >= least) & (part[rows][:, None] != part[right])
+            ok &= 100 * np.minimum(n[rows][:, None], n[right]) >= percent * np.maximum(n[rows][:, None], n[right])
+            for r in np.flatnonzero(ok.any(axis=1)):
+                a, b = rows[r], right[ok[r]]
+                b = b[(part[b] != part[a]) & ((b > a) if within else True)]
+                b = b[~(keys[b, :tree] == keys[a, :tree]).any(axis=1)]  # met in an earlier tree
+                x = flat[offs[a] : offs[a + 1]]
+                for b0, b1 in blocks(np.concatenate([[0], np.cumsum(n[b])]), 1 << 20):
+                    some = b[b0:b1]
+                    _, hit = find(x, np.concatenate([flat[offs[j] : offs[j + 1]] for j in some]))
+                    both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+                    for j in some[100 * both >= percent * (len(x) + n[some] - both)]:
+                        if part[j] != part[a]:
+                            part[part == part[j]] = part[a]
+                            links.append((nid[a], nid[j]))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def _region_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """``links`` and those within the dense regions (``members``: key, nid, m) that they do not imply."""
-    prints = None
-    for likest in (True, False):
-        comp = connected_components(links).withColumnRenamed("node", "nid")
-        rows = members.join(comp, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        rows = rows.join(apart, "key").checkpoint()
-        if not rows.take(1):
-            break
-        if prints is None:
-            prints = sets.join(rows.select("nid").distinct(), "nid", "left_semi").mapInArrow(_prints, "nid long, n long, print binary").checkpoint()
-        count = F.ceil(F.col("m") / REGION_BLOCK).cast("long")
-        rows = rows.select("key", "nid", "root", count.alias("count"), F.pmod(F.xxhash64("nid", "key"), count).alias("block")).join(prints, "nid")
-        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-        cells = rows.select("key", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("k"), "nid", "root", "n", "block", "print")
-        pairs = cells.groupBy("key", "i", "k").applyInArrow(_cell(percent, likest), "a long, b long").distinct()
-        links = links.unionByName(_confirmed_in_cells(pairs, sets, percent)).checkpoint()
-    return links
+def _region_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``links`` and those within the dense regions (``members``: key, nid, m, size) that they do not imply."""
+    comp = connected_components(links).withColumnRenamed("node", "nid")
+    rows = members.join(comp, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rows = fewer(rows.join(apart, "key").checkpoint())
+    if not rows.take(1):
+        return links
+    sets = _sets(docs, nodes, rows.select("nid").distinct(), shingle)  # of these regions only
+    held = sets.join(nodes.select("nid", "labels"), "nid").mapInArrow(settled(_prints), "nid long, items array<long>, print binary, keys binary").checkpoint()
+    count = F.greatest(F.ceil(F.col("m") / REGION_BLOCK), F.ceil(8 * F.col("size") / REGION_BYTES)).cast("long")
+    rows = rows.select("key", "nid", "root", count.alias("count"), F.pmod(F.xxhash64("nid", "key"), count).alias("block"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).join(held, "nid")
+    cells = rows.select("key", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("k"), "nid", "root", "block", "items", "print", "keys")
+    found = cells.groupBy("key", "i", "k").applyInArrow(_cell(percent), "a long, b long").distinct()
+    return links.unionByName(fewer(found.checkpoint()))
 
 
 def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -447,16 +419,16 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
         .checkpoint()
     )
     pairs, members = candidates(nodes, percent)
-    pairs, members = pairs.checkpoint(), members.checkpoint()
-    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).unionByName(members.select("nid")).distinct()
+    pairs, members = fewer(pairs.checkpoint()), fewer(members.checkpoint())
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
     sets = _sets(docs, nodes, ends, shingle).checkpoint()
-    links = _confirmed(pairs.where(F.col("gap") <= NEAREST), sets, percent).checkpoint()
+    links = fewer(_confirmed(pairs.where(F.col("gap") <= NEAREST), sets, percent).checkpoint())
     comp = connected_components(links)
     root = lambda end: comp.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     rest = pairs.where(F.col("gap") > NEAREST).join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.unionByName(_confirmed(rest, sets, percent).checkpoint())  # read several times
-    links = _region_links(members, sets, links, percent)
+    links = links.unionByName(fewer(_confirmed(rest, sets, percent).checkpoint()))  # read several times
+    links = _region_links(docs, nodes, members, links, shingle, percent)
     comp = connected_components(links)
     linked = nodes.select("nid", "g1", "g2", "n", "doc").join(comp.withColumnRenamed("node", "nid"), "nid")
     least = linked.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "nid")).alias("low"))
@@ -497,7 +469,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
 
     fields = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (g1, g2, n))])
     zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
-    rows = docs.mapInArrow(scan, fields).withColumns({none: F.col("doc_id").isNull(), name: F.coalesce("doc_id", zero)})
+    rows = docs.mapInArrow(settled(scan), fields).withColumns({none: F.col("doc_id").isNull(), name: F.coalesce("doc_id", zero)})
     # a row with an empty set is alike to no other
     rows = rows.withColumn(g2, F.when(F.col(n) == 0, F.monotonically_increasing_id()).otherwise(F.col(g2))).dropDuplicates(key[:5])
     kept = classes.where("first").select(
