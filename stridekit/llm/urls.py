@@ -8,8 +8,9 @@ fitting rule decides (of equally long ones, a block).
 URLs that a rule decides are the labelled examples: trees are fitted on at most
 ``MAX_ROWS`` of them (documented bound: those with the smallest hash of their id)
 and judge the rest by length, depth, digit ratio, entropy, parameter counts and
-suffix statistics (smoothed shares of blocked examples by the host's last one
-and two labels, learned from the same sample with each row's own label left out).
+suffix statistics: smoothed shares of blocked examples by the host's last one
+and two labels. These are counted over all examples and joined to every URL (a table of
+at most ``BROADCAST_SUFFIXES`` suffixes is broadcast); a training row leaves its own label out.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no
 rule and is judged by its features; without examples every other URL is allowed
@@ -21,15 +22,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import gbt
 from .textblocks import bounded_batches, bounded_sample, table_of, text_buffer
 
 MAX_ROWS = 20_000
+BROADCAST_SUFFIXES = 200_000
+_SMOOTH = 4  # examples that the overall share counts as
 # Verdict and rule, a host and the beginning of a path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,29 +88,15 @@ def lexical(url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
     ).astype(float)
 
 
-def _suffixes(host: pd.Series) -> tuple[pd.Series, pd.Series]:
-    last = host.str.rsplit(".", n=2)
-    return last.str[-1], last.str[-2:].str.join(".")
+def _share(blocked: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    return (blocked + _SMOOTH * prior) / (n + _SMOOTH)
 
 
 class Judge:
-    """Trees and suffix statistics."""
+    """Trees over lexical features and suffix statistics, the counts of suffixes (by the host's last label and last two), and the overall share."""
 
-    def __init__(self, x: np.ndarray, hosts: pd.Series, blocked: np.ndarray):
-        self.prior = (float(blocked.sum()) + 0.5) / (len(blocked) + 1)
-        self.stats, cols = [], []
-        for s in _suffixes(hosts):
-            g = pd.DataFrame({"s": s.to_numpy(), "y": blocked}).groupby("s")["y"].agg(["sum", "count"])
-            self.stats.append(((g["sum"] + 4 * self.prior) / (g["count"] + 4)).to_dict())
-            total, n = s.map(g["sum"]).to_numpy(float), s.map(g["count"]).to_numpy(float)
-            cols.append((total - blocked + 4 * self.prior) / (n - 1 + 4))  # without the row's own label
-        full = np.column_stack([x, *cols]) if len(x) else np.zeros((0, len(FEATURES)))
-        order = np.lexsort([*full.T, blocked])
-        self.trees = gbt.fit(full[order], blocked[order])
-
-    def score(self, x: np.ndarray, hosts: pd.Series) -> np.ndarray:
-        cols = [s.map(d).fillna(self.prior).to_numpy(float) for s, d in zip(_suffixes(hosts), self.stats, strict=True)]
-        return self.trees.score(np.column_stack([x, *cols]))
+    def __init__(self, trees, prior: float, suffixes: tuple[DataFrame, DataFrame]):
+        self.trees, self.prior, self.suffixes = trees, prior, suffixes
 
 
 def with_parts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -116,29 +105,56 @@ def with_parts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
     return parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
 
 
+_COUNTS = ("_b1", "_n1", "_b2", "_n2")
+
+
+def _suffix(k: int) -> Column:
+    return F.substring_index("host", ".", -k)
+
+
+def _with_counts(rows: DataFrame, suffixes: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` with the blocked and all examples (0 if none) of their host's suffixes."""
+    for k, table in enumerate(suffixes, 1):
+        table = table.select(F.col("s").alias(f"_s{k}"), F.col("b").alias(f"_b{k}"), F.col("n").alias(f"_n{k}"))
+        table = F.broadcast(table) if table.count() <= BROADCAST_SUFFIXES else table  # else a join whose hot suffixes Spark may split
+        rows = rows.withColumn("_s", _suffix(k)).join(table, F.col("_s") == F.col(f"_s{k}"), "left").drop("_s", f"_s{k}")
+    return rows.fillna(0, list(_COUNTS))
+
+
 def train(parts: DataFrame, max_rows: int = MAX_ROWS) -> Judge:
-    """Fit on at most ``max_rows`` of the URLs that a rule decides."""
-    known = parts.where("fit IS NOT NULL").select("page_id", "url", "host", "path", (F.col("fit.verdict") == "block").alias("y"))
-    rows = bounded_sample(known, max_rows, "page_id").toPandas().sort_values(["page_id", "url"])
-    arr = [pa.array(rows[c].tolist(), pa.string()) for c in ("url", "host", "path")]
-    return Judge(lexical(*arr), rows["host"], rows["y"].to_numpy(float))
+    """Count suffixes over all URLs that a rule decides, and fit trees on at most ``max_rows`` of them."""
+    ensure_checkpoint_dir(parts.sparkSession)
+    known = parts.where("fit IS NOT NULL").select("page_id", "url", "host", "path", (F.col("fit.verdict") == "block").cast("double").alias("y"))
+    counted = [known.groupBy(_suffix(k).alias("s")).agg(F.sum("y").alias("b"), F.count(F.lit(1)).cast("double").alias("n")).checkpoint() for k in (1, 2)]
+    blocked, n = counted[0].agg(F.coalesce(F.sum("b"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    prior = (blocked + 0.5) / (n + 1)
+    sample = bounded_sample(known, max_rows, "page_id")
+    rows = _with_counts(sample, counted).toPandas().sort_values(["page_id", "url"])
+    y = rows["y"].to_numpy(float)
+    x = lexical(*(pa.array(rows[c].tolist(), pa.string()) for c in ("url", "host", "path")))
+    b1, n1, b2, n2 = (rows[c].to_numpy(float) for c in _COUNTS)
+    full = np.column_stack([x, _share(b1 - y, n1 - 1, prior), _share(b2 - y, n2 - 1, prior)]) if len(rows) else np.zeros((0, len(FEATURES)))
+    order = np.lexsort([*full.T, y])
+    return Judge(gbt.fit(full[order], y[order]), prior, tuple(counted))
 
 
 def judge(parts: DataFrame, model: Judge) -> DataFrame:
     """``parts`` (page_id, url, host, path, fit) as page_id, host, path, rule, verdict, score (likeness of a block)."""
     bounded_batches(parts.sparkSession, 10_000)
-    shared = parts.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = parts.sparkSession.sparkContext.broadcast((model.trees, model.prior))  # trees of a bounded sample
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, prior = shared.value
         for batch in batches:
             x = lexical(*(batch.column(c) for c in ("url", "host", "path")))
-            p = shared.value.score(x, batch.column("host").to_pandas().astype(object)) if len(x) else np.zeros(0)
+            b1, n1, b2, n2 = (batch.column(c).to_numpy() for c in _COUNTS)
+            p = trees.score(np.column_stack([x, _share(b1, n1, prior), _share(b2, n2, prior)])) if len(x) else np.zeros(0)
             cols = [batch.column(c) for c in ("page_id", "host", "path", "rule", "known")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64())], names=["page_id", "host", "path", "rule", "known", "score"])
 
     rows = parts.select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("known"))
     kind = parts.schema["page_id"].dataType.simpleString()
-    out = rows.mapInArrow(scan, f"page_id {kind}, host string, path string, rule string, known string, score double")
+    out = _with_counts(rows, model.suffixes).mapInArrow(scan, f"page_id {kind}, host string, path string, rule string, known string, score double")
     verdict = F.coalesce("known", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
