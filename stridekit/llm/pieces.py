@@ -31,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import blocks, bounded_batches, without
+from .textblocks import blocks, bounded_batches, settled, without
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
+#: Segments (of at most so many characters) that a worker's codec remembers with their ids and parity.
+CACHED_SEGMENTS, CACHED_LENGTH = 1 << 16, 32
 # fixed values of the file format: model types and piece kinds
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -140,6 +142,8 @@ class Codec:
         self.tok = self.model.tokenizer()
         self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.byte = [kind == BYTE for _, _, kind in self.model.pieces]
+        self.known: dict[str, tuple[tuple[int, ...], bool]] = {}
+        self.alone = [self.other.piece_to_id(MARK)]  # the library looks through all pieces for it
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -160,16 +164,18 @@ class Codec:
             return flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), same
         place: dict[str, int] = {}
         rows = [np.fromiter((place.setdefault(s, len(place)) for s in self.segments(t)), np.int64) for t in texts]
-        distinct = list(place)
-        ids = [e.ids for e in self.tok.encode_batch(distinct, add_special_tokens=False)]
-        # the library puts a marker in front of each, so each goes in without its first one
-        prefix = self.model.dummy_prefix
-        bare = [s[1:].replace(MARK, " ") if prefix and s.startswith(MARK) else s.replace(MARK, " ") for s in distinct]
-        theirs = self.other.encode(bare, num_threads=1)
-        alone = [self.other.piece_to_id(MARK)]
-        same = np.array([a == (b if s or not prefix else alone) for a, b, s in zip(ids, theirs, bare, strict=True)], bool)
+        known = self.known
+        new = [s for s in place if s not in known]
+        here = dict(zip(new, self._encode_segments(new), strict=True))
+        for s, x in here.items():
+            if len(known) >= CACHED_SEGMENTS:
+                break
+            if len(s) <= CACHED_LENGTH:
+                known[s] = x
+        both = [here[s] if s in here else known[s] for s in place]
+        ids, same = [x for x, _ in both], np.array([x for _, x in both], bool)
         size = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.int32)
+        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         of = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         n = size[of]
@@ -180,6 +186,15 @@ class Codec:
         wrong = np.concatenate([[0], np.cumsum(~same[of])])[at] if len(of) else np.zeros(len(texts) + 1)
         return out, offs.astype(np.int64), np.diff(wrong) == 0
 
+    def _encode_segments(self, segments: list[str]) -> list[tuple[tuple[int, ...], bool]]:
+        """Ids of distinct segments, and whether the other library has the same."""
+        ids = [tuple(e.ids) for e in self.tok.encode_batch(segments, add_special_tokens=False)]
+        # the library puts a marker in front of each, so each goes in without its first one
+        prefix = self.model.dummy_prefix
+        bare = [s[1:].replace(MARK, " ") if prefix and s.startswith(MARK) else s.replace(MARK, " ") for s in segments]
+        theirs = self.other.encode(bare, num_threads=1)
+        return [(a, list(a) == (b if s or not prefix else self.alone)) for a, b, s in zip(ids, theirs, bare, strict=True)]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
@@ -242,7 +257,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{fields}, n_tokens long, ids array<int>, parity boolean, round_trip boolean")
+    return docs.mapInArrow(settled(scan), f"{fields}, n_tokens long, ids array<int>, parity boolean, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
@@ -259,4 +274,4 @@ def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(scan, f"{fields}, decoded string")
+    return rows.mapInArrow(settled(scan), f"{fields}, decoded string")
