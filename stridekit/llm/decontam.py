@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .textblocks import ALNUM, LOWER, blocks, bounded_batches, find, fresh, grams, text_buffer, without, words
+from .textblocks import ALNUM, LOWER, blocks, bounded_batches, find, fresh, grams, settled, text_buffer, without, words
 
 NGRAM = 10
 MAX_BROADCAST_NGRAMS = 2_000_000
@@ -54,7 +54,7 @@ def benchmark_ngrams(bench: DataFrame, n: int = NGRAM) -> DataFrame:
                 names=["hash", "width", "words", "item_id"],
             )
 
-    rows = bench.select(F.col("item_id").cast("string"), "text").mapInArrow(scan, "hash long, width int, words string, item_id string")
+    rows = bench.select(F.col("item_id").cast("string"), "text").mapInArrow(settled(scan), "hash long, width int, words string, item_id string")
     return rows.groupBy("hash", "width", "words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textblocks import blocks, bounded_batches, find, hash_unit, mix, with_crc, without
+from .textblocks import blocks, bounded_batches, find, give_back, hash_unit, mix, settled, with_crc, without
 
 ORDER = 5
 ROWS_PER_LANG = 1500
@@ -45,7 +45,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 UND = "und"
 _BITS = 12
 _SPACE = 1
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -261,7 +261,9 @@ def fit(counts: pd.DataFrame, langs: list[str], order: int = ORDER) -> Model:
         if k > 1:
             m.hist.append(hist)
             m.logw.append(np.log(weight).astype(np.float32))
+            raw[k - 2] = (raw[k - 2][0], None)  # its counts are used up
         below = p
+        del c, total, kinds, weight, low, p  # not beside the next order's
     return m
 
 
@@ -286,9 +288,13 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDE
         .groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")).toPandas()
     )
     m = fit(counts, langs, order)
+    del counts
+    give_back()
     held = sample.where("calibrate").select("lang", "text").toPandas()
     m.calibrate(held["text"].tolist(), held["lang"].tolist())
     sample.unpersist()
+    del held
+    give_back()  # the driver goes on to other operators
     return m
 
 
@@ -307,7 +313,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{fields}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.mapInArrow(settled(scan), f"{fields}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
@@ -320,7 +326,7 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
             rejected = shared.value.judge([t or "" for t in batch.column("text").to_pylist()])[3]
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(settled(scan), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

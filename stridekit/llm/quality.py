@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .textblocks import ALNUM, LOWER, NON_SPACE, blocks, bounded_batches, bounded_sample, mix, table_of, text_buffer, with_crc, without, words
+from .textblocks import ALNUM, LOWER, NON_SPACE, blocks, bounded_batches, bounded_sample, give_back, mix, settled, table_of, text_buffer, with_crc, without, words
 
 MAX_ROWS = 20_000
 FEATURES = [
@@ -109,11 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> gbt.T
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = bounded_sample(known, max_rows, "doc_id")
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")  # at most max_rows small rows
-    rows = sample.mapInArrow(_featured, "x array<double>, quality int").toPandas()
+    rows = sample.mapInArrow(settled(_featured), "x array<double>, quality int").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     y = rows["quality"].to_numpy(float)
     order = np.lexsort([*x.T, y])  # the same trees, whatever order the rows come in
-    return gbt.fit(x[order], y[order])
+    trees = gbt.fit(x[order], y[order])
+    del rows, x
+    give_back()  # the driver goes on to other operators
+    return trees
 
 
 def score(docs: DataFrame, model: gbt.Trees) -> DataFrame:
@@ -129,7 +132,7 @@ def score(docs: DataFrame, model: gbt.Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(settled(scan), f"{fields}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: gbt.Trees, least: float = 0.5) -> DataFrame:
@@ -140,7 +143,7 @@ def keep_good(docs: DataFrame, model: gbt.Trees, least: float = 0.5) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= least))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(settled(scan), docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ one block (or one word, if a single word is longer than a block).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +32,28 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Give the memory that this process has freed, but its allocators keep, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such C library: nothing to give back
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def settled(scan):
+    """``scan`` (an iterator of batches to an iterator of batches) that gives back its memory when a task ends.
+
+    A worker lives on and runs other operators' tasks; what its allocators keep adds up over them.
+    """
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def without(df: DataFrame, *added: str) -> DataFrame:
     """``df`` without the columns whose names (in any case) an operator is about to add: the operator's replace them."""
     names = {a.lower() for a in added}
