@@ -127,7 +127,8 @@ def scored_events(log: DataFrame, streaks: DataFrame | None = None) -> DataFrame
 
 
 def _first_at_least(pvals: Column, p_over: Column, h: Column) -> Column:
-    return F.coalesce(F.element_at(F.filter(pvals, lambda x: x >= h), 1), p_over)
+    # ``get`` is null where no prefix sum at or below the top cap reaches h; ``element_at`` fails there
+    return F.coalesce(F.get(F.filter(pvals, lambda x: x >= h), F.lit(0)), p_over)
 
 
 def day_ledger(day_sums: DataFrame) -> DataFrame:

@@ -104,3 +104,19 @@ def test_daily_credit_never_exceeds_cap(spark):
     led = A.xp_ledger(df)
     assert led.where("daily_xp_after > daily_cap").count() == 0
     assert led.where("final_xp < 0").count() == 0
+
+
+def test_boundary_reached_only_beyond_the_top_cap(spark):
+    """The event that crosses the first cap boundary carries the day's raw XP from below the rest of the cap past the top cap."""
+    base = dt.datetime(2024, 1, 1, 6)
+    rows, eid = [], 0
+    for d in range(40):
+        for k in range(4):
+            ts = base + dt.timedelta(days=d, minutes=600 * k // 2)
+            rows.append((1, eid, ts, ts.date(), "gym_session", 200 if k == 0 else 480, "light" if k == 0 else "intense", "strength"))
+            eid += 1
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, day date, activity_type string, "
+                                     "duration_minutes int, intensity string, build string")
+    got = {r.event_id: (r.final_xp, r.daily_cap, r.total_xp_after, r.current_streak)
+           for r in A.xp_ledger(df).select("event_id", "final_xp", "daily_cap", "total_xp_after", "current_streak").collect()}
+    assert got == sequential(rows)
