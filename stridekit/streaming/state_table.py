@@ -80,7 +80,7 @@ def _credit_fold(days: Column, newest: Column) -> Column:
         plain = F.least(x["day_p"], room.cast("long"))
         crossed = F.coalesce(known & (s["total"] + plain >= bound), F.lit(False))
         need = bound - s["total"]
-        at = F.when(crossed, F.coalesce(F.element_at(F.filter(x["pvals"], lambda p: p >= need), 1), x["p_over"]))
+        at = F.when(crossed, F.coalesce(F.get(F.filter(x["pvals"], lambda p: p >= need), F.lit(0)), x["p_over"]))
         at_credit = F.least(at, room.cast("long"))
         room_after = F.greatest(after - pool - at_credit, F.lit(0)).cast("int")
         credit = F.when(~known, F.lit(0)).when(crossed, at_credit + F.least(x["day_p"] - at, room_after.cast("long"))).otherwise(plain).cast("long")

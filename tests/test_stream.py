@@ -163,6 +163,15 @@ def test_state_table_equals_the_plain_fold_and_replays(spark, tmp_path):
     assert read() == want and sorted(map(str, spark.read.parquet(f"{tmp_path}/state/version=3").collect())) == state
 
 
+def test_state_table_where_a_boundary_is_reached_only_beyond_the_top_cap(spark, tmp_path):
+    kind = next(i for i, (n, _) in enumerate(K.INTENSITY) if n == "intense")
+    rows = [(u, 3 * (40 * u + d) + kind, d, 60, 480) for u in range(7) for d in range(40)]  # one large event a day
+    ST.run_batch(activity_rows(spark, rows), 0, str(tmp_path))
+    want = folded(spark, [rows])
+    got = {r["event_id"]: (r["final_xp"], r["daily_cap"], r["total_xp_after"]) for r in ST.results(spark, str(tmp_path)).collect()}
+    assert got == {e: (v[0], v[3], v[10]) for e, v in want.items()} and {v[1] for v in got.values()} >= {600, 800, 1000}
+
+
 def test_state_table_as_a_stream(spark):
     ev = read_table(spark, SF001, "events")
     days = sorted(r.d for r in ev.select(F.to_date("ts").alias("d")).distinct().collect())[:6]
