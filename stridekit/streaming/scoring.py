@@ -1,9 +1,9 @@
 """User-day features and message signals from streams.
 
-``user_day_features`` makes the batch job's features out of the event stream, in event time: a
-user's open days are map state, and a day's row comes out when the watermark passes its end, in
-order of days, so the gap to the last active day is known. Rows may arrive in any order within the
-watermark's delay. What depends on single rows (rounding, types, models) are the batch job's
+``user_day_features`` makes the batch job's features out of the event stream, in event time: open
+user-days are the state of a windowed aggregate, and a day's row comes out when the watermark passes
+its end; a second, small state keeps each user's last closed day, so the gap to it is known. Rows may
+arrive in any order within the watermark's delay. What depends on single rows (rounding, types, models) are the batch job's
 column expressions. ``message_signals`` joins a message stream with a static table of class
 probabilities and applies the lexicon rules.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,46 +23,23 @@ from ..operators import sentiment as SE
 from ..operators.activity import intensity_multiplier
 from .late_events import use_rocksdb
 
-_DAY_MS = 86_400_000
-_OUT = "user_id long, day date, n int, xp double, switches int, minutes long, longest int, gap int"
+_DAYS = "user_id long, day date, n long, xp double, switches long, minutes long, longest long, gap long"
 
 
-class OpenDays(StatefulProcessor):
-    """Events of days that the watermark has not closed, and each user's last closed day."""
+class LastDay(StatefulProcessor):
+    """Each user's last closed day (days since 1970)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.last = handle.getValueState("last", "day int")
-        self.days = handle.getMapState("days", "day int", "at array<long>, id array<long>, kind array<string>, xp array<double>, minutes array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        new["n"] = pd.to_datetime(new["day"]).to_numpy().astype("datetime64[D]").astype(int)
-        new["at"] = new["ts"].astype("int64")
-        for day, part in new.groupby("n"):
-            day = int(day)
-            had = self.days.getValue((day,)) if self.days.containsKey((day,)) else None
-            if had is None:
-                self.handle.registerTimer((day + 1) * _DAY_MS)
-            more = [part[c].tolist() for c in ("at", "event_id", "intensity", "xp", "duration_minutes")]
-            self.days.updateValue((day,), tuple(list(a or []) + b for a, b in zip(had or [[]] * 5, more)))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS - 1
-        if not self.days.containsKey((day,)):
-            return
-        at, ids, kind, xp, minutes = self.days.getValue((day,))
-        order = sorted(range(len(at)), key=lambda i: (at[i], ids[i]))
-        kinds = [kind[i] for i in order]
-        switches = sum(a is not None and b is not None and a != b for a, b in zip(kinds, kinds[1:]))
-        gap = day - int(self.last.get()[0]) if self.last.exists() else 0
-        self.last.update((day,))
-        self.days.removeKey((day,))
-        yield pd.DataFrame({
-            "user_id": [key[0]], "day": [pd.Timestamp(day, unit="D").date()], "n": [len(at)], "xp": [float(sum(x for x in xp if x is not None and x == x))],
-            "switches": [switches], "minutes": [int(sum(minutes))], "longest": [int(max(minutes))], "gap": [gap],
-        })
+        """A user's newly closed days, in order, each with the gap to the closed day before it (0 on the first)."""
+        days = pd.concat(list(rows), ignore_index=True).sort_values("day", kind="stable", ignore_index=True)
+        at = days["day"].to_numpy().astype("datetime64[D]").astype("int64")
+        before = self.last.get()
+        days["gap"] = np.diff(at, prepend=int(before[0]) if before is not None else at[0])
+        self.last.update((int(at[-1]),))
+        yield days
 
     def close(self) -> None:
         pass
@@ -73,8 +51,19 @@ def user_day_features(activity: DataFrame, delay: str) -> DataFrame:
     timed = activity.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     xp = F.col("duration_minutes").cast("double") * intensity_multiplier("intensity")
     rows = timed.select("user_id", "event_id", "ts", "day", "intensity", F.col("duration_minutes").cast("long").alias("duration_minutes"), xp.alias("xp"))
-    closed = rows.groupBy("user_id").transformWithStateInPandas(OpenDays(), _OUT, "Append", "EventTime")
-    return closed.select("user_id", "day", *AN.feature_columns("n", "xp", "switches", "minutes", "longest", "gap"))
+    open_days = rows.groupBy("user_id", "day", F.window("ts", "1 day")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("xp"), F.lit(0.0)).alias("xp"),
+        F.sort_array(F.collect_list(F.struct("ts", "event_id", "intensity"))).alias("sessions"),
+        F.sum("duration_minutes").alias("minutes"), F.max("duration_minutes").alias("longest"),
+    )
+    kinds = F.col("sessions.intensity")
+    # the last one meets null, which is no switch
+    pairs = F.zip_with(kinds, F.slice(kinds, F.lit(2), F.size(kinds)), lambda a, b: F.coalesce(a != b, F.lit(False)))
+    switches = F.size(F.filter(pairs, lambda x: x)).cast("long")
+    closed = open_days.select("user_id", "day", "n", "xp", switches.alias("switches"), "minutes", "longest")
+    # one small row a user-day; the events stay in the aggregate's state
+    out = closed.groupBy("user_id").transformWithStateInPandas(LastDay(), _DAYS, "Append", "None")
+    return out.select("user_id", "day", *AN.feature_columns("n", "xp", "switches", "minutes", "longest", "gap"))
 
 
 def score_days(features: DataFrame, stats: DataFrame, model) -> DataFrame:

@@ -217,3 +217,14 @@ def test_features_out_of_the_stream_equal_the_batch_job(spark):
     US.finish(SC.user_day_features(spark.readStream.schema(log.schema).parquet(f"{root}/src"), "40 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").trigger(availableNow=True).start())
     got, want = spark.read.parquet(f"{root}/out"), AN.user_day_features(log)
     assert got.count() == want.count() > 50 and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_only_summed_days_reach_the_features_python_state(spark):
+    """The events of a day are added up by Spark's aggregate; the Python state gets a row a user-day."""
+    root = US._scratch(spark, "test-summed")
+    activity_rows(spark, [(1, e, e // 50, e % 50, 5) for e in range(500)] + [(2, 10**6, 60, 0, 5)]).write.parquet(f"{root}/src")
+    stream = spark.readStream.schema(activity_rows(spark, []).schema).parquet(f"{root}/src")
+    q = SC.user_day_features(stream, "2 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").trigger(availableNow=True).start()
+    US.finish(q)
+    assert "stateStoreSave" in {o["operatorName"] for p in q.recentProgress for o in p["stateOperators"]}
+    assert spark.read.parquet(f"{root}/out").select("activities_per_day").collect() == [(50,)] * 10
