@@ -3,9 +3,9 @@
 A user's state is a value (total, streak, longest, last active day, month, shields used)
 and a map from day to the XP that the day's pool has given. An event of an earlier day than the
 last active one leaves the streak and the last day alone and draws on its own day's
-pool, under the cap of the user's present level. A day's entry has an event-time timer at the
-day's end: when the watermark passes it, Spark drops every further row of that day before it gets
-here, so the entry goes. State stays bounded by the watermark's delay, and no delivery order can
+pool, under the cap of the user's present level. The newest day of a user's rows has an event-time
+timer at its end: when the watermark passes it, Spark drops every further row of that day and those
+before it before they get here, so their entries go. State stays bounded by the watermark's delay, and no delivery order can
 give a day more than its cap.
 
 Within a micro-batch a user's rows are taken by (ts, event_id). A user's rows of one micro-batch are
@@ -39,21 +39,29 @@ class UserDays(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
-        days = sorted({int(d) for d in pd.to_datetime(new["day"]).to_numpy().astype("datetime64[D]").astype(int)})
-        held = {d: int(self.pools.getValue((d,))[0]) for d in days if self.pools.containsKey((d,))}
-        before = tuple(int(x) for x in self.user.get()) if self.user.exists() else None
-        out, after = fold_events(new, (*before, list(held), list(held.values())) if before else None, keep=None)
+        held = {int(day): int(xp) for (day,), (xp,) in self.pools.iterator()}
+        user = self.user.get()
+        before = (*(int(x) for x in user), list(held), list(held.values())) if user is not None else None
+        out, after = fold_events(new, before, keep=None)
         self.user.update(after[:6])
-        for day, xp in zip(*after[6:]):
-            if day not in held:
-                self.handle.registerTimer((day + 1) * _DAY_MS)
-            self.pools.updateValue((day,), (xp,))
+        pools = dict(zip(*after[6:]))
+        for day, xp in pools.items():
+            if held.get(day) != xp:
+                self.pools.updateValue((day,), (xp,))
+        newest = max(pools)
+        if not held or newest > max(held):  # its timer takes the days before it too
+            self.handle.registerTimer((newest + 1) * _DAY_MS)
         yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS - 1
-        if self.pools.containsKey((day,)):
-            self.pools.removeKey((day,))
+        closed = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS - 1
+        days = [int(day) for (day,) in self.pools.keys()]
+        if all(day <= closed for day in days):
+            self.pools.clear()
+        else:
+            for day in days:
+                if day <= closed:
+                    self.pools.removeKey((day,))
         return iter(())
 
     def close(self) -> None:

@@ -58,24 +58,22 @@ _STEP_AT = np.array([d for d, _ in _STEPS])
 _STEP_MULT = np.array([1.0, *[m for _, m in _STEPS]])
 
 
-def _streaks(days: np.ndarray, last: int, streak: int, month: int, used: int) -> pd.DataFrame:
+def _streaks(days: np.ndarray, last: int, streak: int, longest: int, month: int, used: int) -> dict[str, list]:
     """Streak columns of ascending new days, continuing from the state (``last`` < 0: none)."""
-    n = len(days)
-    gap = np.diff(days, prepend=last if last >= 0 else days[0])
-    of = pd.to_datetime(days, unit="D")
-    months = (of.year * 12 + of.month).to_numpy()
-    # the k-th two-day gap of a month takes the month's k-th shield
-    two = pd.Series((gap == 2).astype(int)).groupby(months).cumsum().to_numpy() + np.where(months == month, used, 0)
-    shielded = (gap == 2) & (two <= K.SHIELDS_PER_MONTH)
-    broken = (gap >= 2) & ~shielded
-    begins = broken.copy()
-    if n and last < 0:
-        begins[0] = True
-    at = np.arange(n)
-    run = np.maximum.accumulate(np.where(begins, at, -1))
-    same = int(n and gap[0] == 0 and last >= 0)  # the batch goes on in the last active day
-    length = np.where(run >= 0, at - run + 1, streak + at + 1 - same)
-    return pd.DataFrame({"day": days, "streak": length, "shield": shielded, "broken": broken, "month": months, "used": np.minimum(two, K.SHIELDS_PER_MONTH)})
+    out: dict[str, list] = {c: [] for c in ("streak", "longest", "shield", "broken", "month", "used")}
+    months = days.astype("datetime64[D]").astype("datetime64[M]").astype(int) + 1970 * 12 + 1
+    for day, of in zip(days.tolist(), months.tolist()):
+        gap = day - last if last >= 0 else None
+        # the k-th two-day gap of a month takes the month's k-th shield
+        used = (used if of == month else 0) + (gap == 2)
+        shield = gap == 2 and used <= K.SHIELDS_PER_MONTH
+        broken = gap is not None and gap >= 2 and not shield
+        if gap != 0:  # 0: the batch goes on in the last active day
+            streak = 1 if gap is None or broken else streak + 1
+        last, month, longest = day, of, max(longest, streak)
+        for c, v in zip(out, (streak, longest, shield, broken, month, min(used, K.SHIELDS_PER_MONTH))):
+            out[c].append(v)
+    return out
 
 
 def _credits(prefix: np.ndarray, pool: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,21 +108,18 @@ def fold_events(new: pd.DataFrame, state: tuple | None, keep: int | None = KEEP_
     Days ``keep`` or more days back earn nothing and leave the state (None: all given days count)."""
     total, streak, longest, last, month, used, pool_days, pools = state or (0, 0, 0, -1, -1, 0, [], [])
     pool = dict(zip(pool_days, pools, strict=True))
-    ev = new.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-    ev["n"] = pd.to_datetime(ev["day"]).to_numpy().astype("datetime64[D]").astype(int)
-    days = np.unique(ev["n"])
-    own = _streaks(days[days >= last], last, streak, month, used)
-    own["longest"] = np.maximum(longest, own["streak"].cummax())
-    left = pd.DataFrame({"day": days[days < last], "streak": streak, "shield": False, "broken": False, "month": month, "used": used, "longest": longest})
-    table = pd.concat([left, own], ignore_index=True).set_index("day")
-    ev = ev.join(table[["streak", "longest", "shield", "broken", "used"]], on="n")
-    mult = _STEP_MULT[np.searchsorted(_STEP_AT, ev["streak"], side="right")]
-    rr = np.rint(ev["base"].to_numpy(float) * mult).astype(np.int64)
+    order = np.lexsort((new["event_id"].to_numpy(), new["ts"].to_numpy()))
+    of = new["day"].to_numpy()[order].astype("datetime64[D]").astype(int)
+    days, place = np.unique(of, return_inverse=True)
+    late = int(np.searchsorted(days, last))  # the days before the last active one come first
+    own = _streaks(days[late:], last, streak, longest, month, used)
+    table = {c: np.array([v] * late + own[c])[place] for c, v in (("streak", streak), ("longest", longest), ("shield", False), ("broken", False), ("used", used))}
+    mult = _STEP_MULT[np.searchsorted(_STEP_AT, table["streak"], side="right")]
+    rr = np.rint(new["base"].to_numpy(float)[order] * mult).astype(np.int64)
     newest = max(last, int(days[-1]))
-    of = ev["n"].to_numpy()
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # rows stand by time, so by day
-    before, after, t_before, t_after, caps = (np.zeros(len(ev), np.int64) for _ in range(5))
-    for lo, hi in zip(starts, np.r_[starts[1:], len(ev)]):
+    before, after, t_before, t_after, caps = (np.zeros(len(of), np.int64) for _ in range(5))
+    for lo, hi in zip(starts, np.r_[starts[1:], len(of)]):
         d, day = int(of[lo]), slice(lo, hi)
         known = keep is None or d > newest - keep
         had = pool.get(d, 0)
@@ -134,18 +129,18 @@ def fold_events(new: pd.DataFrame, state: tuple | None, keep: int | None = KEEP_
         total += int(credit[-1])
         if known:
             pool[d] = had + int(credit[-1])
-    first = np.zeros(len(ev), bool)
+    first = np.zeros(len(of), bool)
     first[starts] = True
-    if len(own):
-        end = own.iloc[-1]
-        streak, longest, last, month, used = int(end["streak"]), int(end["longest"]), int(end["day"]), int(end["month"]), int(end["used"])
+    if late < len(days):
+        streak, longest, month, used = (own[c][-1] for c in ("streak", "longest", "month", "used"))
+        last = int(days[-1])
     kept = sorted(d for d in pool if keep is None or d > last - keep)
     out = pd.DataFrame({
-        "user_id": ev["user_id"], "event_id": ev["event_id"], "day": ev["day"], "build": ev["build"], "rr": rr,
+        **{c: new[c].to_numpy()[order] for c in ("user_id", "event_id", "day", "build")}, "rr": rr,
         "final_xp": (after - before).astype(np.int32), "daily_xp_before": before.astype(np.int32), "daily_xp_after": after.astype(np.int32),
-        "daily_cap": caps.astype(np.int32), "current_streak": ev["streak"].astype("int32"), "longest_streak": ev["longest"].astype("int32"),
-        "shield_used": ev["shield"].to_numpy(bool) & first, "streak_broken": ev["broken"].to_numpy(bool) & first,
-        "shields_remaining": (K.SHIELDS_PER_MONTH - ev["used"]).astype("int32"), "total_xp_before": t_before, "total_xp_after": t_after,
+        "daily_cap": caps.astype(np.int32), "current_streak": table["streak"].astype(np.int32), "longest_streak": table["longest"].astype(np.int32),
+        "shield_used": table["shield"] & first, "streak_broken": table["broken"] & first,
+        "shields_remaining": (K.SHIELDS_PER_MONTH - table["used"]).astype(np.int32), "total_xp_before": t_before, "total_xp_after": t_after,
     })
     return out, (int(total), streak, longest, last, month, used, [int(d) for d in kept], [int(pool[d]) for d in kept])
 

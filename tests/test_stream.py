@@ -228,3 +228,44 @@ def test_only_summed_days_reach_the_features_python_state(spark):
     US.finish(q)
     assert "stateStoreSave" in {o["operatorName"] for p in q.recentProgress for o in p["stateOperators"]}
     assert spark.read.parquet(f"{root}/out").select("activities_per_day").collect() == [(50,)] * 10
+
+
+def test_a_users_late_pools_share_one_timer():
+    """One timer a micro-batch, at the end of the newest day, serves all days before it."""
+    class Handle:
+        timers = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Held(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def containsKey(self, key):
+            return key in self
+
+        getValue = dict.get
+
+    class Kept:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    p = LE.UserDays()
+    p.handle, p.user, p.pools = Handle(), Kept(), Held()
+    days = [f"2024-01-{d:02d}" for d in range(1, 9)]
+    (out,) = p.handleInputRows((1,), iter([events(days, minutes=10)]), None)
+    assert len(out) == 8 and len(p.pools) == 8 and len(p.handle.timers) == 1
+    (out,) = p.handleInputRows((1,), iter([events(days[2:3], minutes=10, first=50)]), None)
+    assert out["daily_xp_before"].tolist() == [10] and len(p.handle.timers) == 1
