@@ -123,3 +123,13 @@ def test_sequential_dedup_quota_matches_row_by_row(spark):
                 want.append(row_no)
         seen |= {k for row_no, src, k, cls in rows if row_no in want}
     assert got == sorted(want)
+
+
+def test_strip_takes_all_whitespace_at_the_ends_without_a_regex(spark):
+    from stridekit.functions import text as T
+
+    rows = [("",), (None,), (" ",), ("a b",), ("\u3000\u2003\x1f a\u00a0b\n\x85",), ("\u200b x \u180e",), ("\t\r\n",), ("\U0001f600 ",)]
+    rows += [(f"{c}x{c}y{c}",) for c in map(chr, range(1, 0x3100))]
+    df = spark.createDataFrame(rows, "x string").select("x", T.py_strip("x").alias("got"))
+    assert all(r["got"] == (r["x"] if r["x"] is None else r["x"].strip()) for r in df.collect())
+    assert "regexp" not in df._jdf.queryExecution().executedPlan().toString()
