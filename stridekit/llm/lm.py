@@ -1,25 +1,24 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one
-end. Every count covers all training documents; a 64-bit hash stands for a word.
-
-Model: words have the add-one estimate ``(c+1) / (N+V+1)``. A bigram or trigram is
-kept if it makes up at least ``GRAM_SHARE`` of the tokens (so there are at most
-1/GRAM_SHARE of each, at every corpus size); a kept n-gram has
-``(c-D)/c(history) + backoff(history) * P(lower order)``, and what its history
-has left is the history's backoff weight, so all probabilities of a history sum
-to one. An n-gram can only reach the share if its parts do, so only those are counted.
-
-Automaton: states are the empty history, the frequent words (and the start of a
-text) and the kept bigrams; arcs are the kept n-grams, in one sorted key array;
-every state has a failure arc to the next shorter history that carries its
-backoff weight. A state depends on the two tokens before it alone, so one pass
-over a block of texts takes all positions through their arcs together:
-positions without an arc add the failure weight and try the shorter history.
-
-Words of at least ``WORD_SHARE`` of the tokens (at most 1/WORD_SHARE) travel
-with the automaton; the counts of all others, whose number grows with the
-corpus, stay distributed: the few rare tokens of each text are joined to them.
+end. Every count covers all training documents; a 64-bit hash stands for a word or an n-gram.
+
+Model: words have the add-one estimate ``(c+1) / (N+V+1)``. Every bigram and trigram of the
+training texts is kept (a caller may ask for those of at least ``gram_share`` of the tokens);
+a kept n-gram has ``(c-D)/c(history) + backoff(history) * P(lower order)``, and what its history
+has left is the history's backoff weight, so all probabilities of a history sum to one.
+
+Automaton: states are the empty history, the words (and the start of a text) and the kept
+bigrams; arcs are the kept n-grams; every state has a failure arc to the next shorter history
+that carries its backoff weight.
+
+Its counts are nowhere whole. Texts are coded once, in blocks of some ``_BLOCK`` tokens; each block
+sends its different n-grams to buckets by hash, which add up all blocks' counts and answer
+every block for its own n-grams (``tally``). Trigrams go first, then bigrams with what is left
+of them as histories, then words. The first block that has an n-gram speaks for it, so
+each counts once for its history. With the answers a block has the states and arcs that its texts can
+reach, and takes all positions through them together. Blocks and buckets are bounded; their number
+grows with the texts.
 
 Edge cases: a null text counts as empty and has one token, the end; without
 training rows N and V are 0 and every token has probability 1; repeated rows are
@@ -33,19 +32,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .textblocks import NON_SPACE, blocks, bounded_batches, find, fresh, text_buffer, with_crc, without, words
+from .textblocks import NON_SPACE, blocks, bounded_batches, fresh, mix, settled, text_buffer, with_crc, without, words
 
-WORD_SHARE = 2e-7
-GRAM_SHARE = 2e-6
+WORD_SHARE = 0.0
+GRAM_SHARE = 0.0
 DISCOUNT = 0.75
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x5851F42D4C957F2D)
-_FLUSH = 2_000_000
-_BLOCK = 1 << 21
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
+_TRIPLE = np.uint64(0xA0761D6478BD642F)
+_BYTES = 1 << 21  # of texts that are cut into tokens together
+_BLOCK = 1 << 21  # tokens of a block
+_BUCKET = 1 << 20  # tokens a bucket
+_BLOCKS = "block long, learn binary, sizes binary, words binary, codes binary"
+_ASKED = "level int, bucket long, block long, keys binary, k binary, kinds binary, mass binary"
+_ANSWERS = "level int, bucket long, block long, count binary, kinds binary, mass binary, different long"
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,212 +71,278 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _token_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf, offs = text_buffer(batch.column("text"))
-    for i0, i1 in blocks(offs, _BLOCK):
+    for i0, i1 in blocks(offs, _BYTES):
         yield i0, i1, *_tokens(buf[offs[i0] : offs[i1]], offs[i0 : i1 + 1] - offs[i0])
 
 
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes: all lowest bytes, then all next ones, as far as any number has them."""
+    x = np.ascontiguousarray(x).astype(np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    raw = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(x).to_bytes(8, "little") + bytes([width]) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), b[8]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        raw = pa.decompress(b[9:], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, as the first and the differences."""
+    return int(keys[0]).to_bytes(8, "little") + _pack(np.diff(keys))
 
 
-def _counter(keys_of):
-    """Counts keys within the task; ``keys_of(tokens)`` gives a block's keys."""
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(b[:8], np.uint64), _unpack(b[8:])]), dtype=np.uint64)
+
+
+def coded(docs: DataFrame, learn, names: list[str] | None) -> DataFrame:
+    """Blocks of whole texts as word codes; ``learn``: column, whether a text counts; ``names``: columns that come along (None: not to be scored)."""
+    fields = [] if names is None else [docs.schema[c] for c in names]
+    kind = ", ".join(["_: boolean", *(f"_{i}: {f.dataType.simpleString()}" for i, f in enumerate(fields))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list = []
+        part, n = TaskContext.get().partitionId(), 0
+        held: list = []
 
         def flush():
-            keys, c = _summed(parts)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], names=["h", "c"])
+            tokens = np.concatenate([h[0] for h in held])
+            sizes = np.concatenate([h[1] for h in held])
+            learned = pa.concat_arrays([h[2] for h in held])
+            known, code = np.unique(tokens, return_inverse=True)
+            block = (part << 32) + n
+            row = [
+                pa.array([block if names is not None else -1 - block]), *(pa.array([x], pa.binary()) for x in (
+                    _pack(learned.to_numpy(zero_copy_only=False)), _pack(sizes), _pack_keys(known), _pack(code))),
+            ]
+            columns = ["block", "learn", "sizes", "words", "codes"]
+            if names is not None:
+                struct = pa.StructArray.from_arrays([learned, *(pa.concat_arrays([h[3][i] for h in held]) for i in range(len(names)))], ["_", *(f"_{i}" for i in range(len(names)))])
+                row.append(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), struct))
+                columns.append("rows")
+            held.clear()
+            return pa.RecordBatch.from_arrays(row, names=columns)
 
         for batch in batches:
-            for _, _, tokens, _ in _token_blocks(batch):
-                parts.append(np.unique(keys_of(tokens), return_counts=True))
-                if len(parts) > 1 and sum(len(p[0]) for p in parts) > _FLUSH:
-                    parts[:] = [_summed(parts)]
-                    if len(parts[0][0]) > _FLUSH:
-                        yield flush()
-        if parts:
+            for i0, i1, tokens, begin in _token_blocks(batch):
+                held.append((tokens, np.diff(begin), batch.column(1).slice(i0, i1 - i0), [batch.column(2 + i).slice(i0, i1 - i0) for i in range(len(fields))]))
+                if sum(len(h[0]) for h in held) >= _BLOCK:
+                    yield flush()
+                    n += 1
+        if held:
             yield flush()
 
-    return scan
-
-
-def count_keys(docs: DataFrame, keys_of) -> DataFrame:
-    return docs.select("text").mapInArrow(_counter(keys_of), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("text", learn.alias(fresh(docs, "_learn")), *(names or []))
+    return rows.mapInArrow(settled(scan), _BLOCKS + ("" if names is None else f", rows array<struct<{kind}>>")).checkpoint()
+
+
+class Block:
+    """A block's words, bigrams and trigrams (ascending hashes), and for every position which one ends there (-1: none)."""
+
+    def __init__(self, learn: bytes, sizes: bytes, known: bytes, codes: bytes):
+        self.sizes = _unpack(sizes).astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        words_, code = _unpack_keys(known), _unpack(codes).astype(np.int64)
+        t = words_[code]
+        self.real = t != _START
+        self.keys, self.at = {1: words_}, {1: code}
+        self.learn = np.repeat(_unpack(learn) > 0, self.sizes)
+        pair = np.flatnonzero(self.real)  # every text has a start, so a pair ends at each other token
+        self.keys[2], self.at[2] = self._kinds(pair, mix(t[pair - 1] * _PAIR + t[pair]))
+        triple = pair[self.real[pair - 1]]
+        self.keys[3], self.at[3] = self._kinds(triple, mix(self.keys[2][self.at[2][triple - 1]] * _TRIPLE + t[triple]))
+
+    def _kinds(self, places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds, back = np.unique(keys, return_inverse=True)
+        at = np.full(len(self.real), -1, np.int32)
+        at[places] = back
+        return kinds, at
+
+    def counts(self, level: int) -> np.ndarray:
+        at = self.at[level]
+        return np.bincount(at[self.learn & (at >= 0)], minlength=len(self.keys[level]))
+
+    def history(self, level: int) -> np.ndarray:
+        """For each n-gram of ``level`` the n-gram before its last word."""
+        at, out = self.at[level], np.zeros(len(self.keys[level]), np.int64)
+        places = np.flatnonzero(at >= 0)
+        out[at[places]] = self.at[level - 1][places - 1]
+        return out
+
+    def asked(self, level: int, block: int, buckets: int, kinds: np.ndarray, mass: np.ndarray) -> pa.Table:
+        keys, k = self.keys[level], self.counts(level)
+        width = (1 << 64) // buckets + 1
+        cuts = np.searchsorted(keys, np.array([b * width for b in range(1, buckets)], np.uint64))
+        cuts = np.concatenate([[0], cuts, [len(keys)]])
+        some = np.flatnonzero(np.diff(cuts))
+        cut = lambda x, f: pa.array([f(x[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())
+        return pa.table({
+            "level": pa.array([level] * len(some), pa.int32()), "bucket": pa.array(some, pa.int64()), "block": pa.array([block] * len(some), pa.int64()),
+            "keys": cut(keys, _pack_keys), "k": cut(k, _pack), "kinds": cut(kinds, _pack), "mass": cut(mass, _pack),
+        })
+
+
+def _block(rows: pa.Table) -> tuple[int, Block]:
+    (row,) = rows.select(["block", "learn", "sizes", "words", "codes"]).to_pylist()
+    return row["block"], Block(row["learn"], row["sizes"], row["words"], row["codes"])
+
+
+def _answered(answers: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Count, whether this block speaks for it, different followers and their counts of each of a block's n-grams."""
+    rows = sorted((r for r in answers.to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
+    count, kinds, mass = (np.concatenate([np.zeros(0, np.uint64), *(_unpack(r[c]) for r in rows)]).astype(np.int64) for c in ("count", "kinds", "mass"))
+    return count >> 1, (count & 1).astype(bool), kinds, mass
+
+
+def tally(asked: DataFrame) -> DataFrame:
+    """Per bucket the sums over all blocks, and for each block those of its own n-grams."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        lists = rows.to_pylist()
+        keys = [_unpack_keys(r["keys"]) for r in lists]
+        ends = np.cumsum([len(x) for x in keys])
+        kinds_, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = lambda c: np.bincount(back, weights=np.concatenate([_unpack(r[c]) for r in lists]), minlength=len(kinds_)).astype(np.int64)
+        k = total("k")
+        count = 2 * k[back]
+        count[first] += 1
+        cut = lambda x: pa.array([_pack(x[b - len(y) : b]) for b, y in zip(ends, keys, strict=True)], pa.binary())
+        return pa.table({
+            "level": rows["level"], "bucket": rows["bucket"], "block": rows["block"],
+            "count": cut(count), "kinds": cut(total("kinds")[back]), "mass": cut(total("mass")[back]),
+            "different": pa.array([int((k > 0).sum())] + [0] * (len(lists) - 1), pa.int64()),
+        })
+
+    return asked.groupBy("bucket").applyInArrow(add, _ANSWERS).checkpoint()
 
 
 @dataclass
 class Automaton:
-    share: float  # words of at least this share of the tokens travel along
+    """The states and arcs that a block's texts can reach, by the block's numbers of its words, bigrams and trigrams."""
+
     n: int  # training tokens
     v: int  # distinct training tokens
-    words: np.ndarray  # sorted hashes of the words that travel along
-    counts: np.ndarray
-    number: np.ndarray  # a word's number among the frequent ones, or -1
-    start: int  # the number of the start of a text
-    arcs: np.ndarray  # sorted keys: state << 32 | word number
-    weight: np.ndarray  # log10 probability of an arc
-    target: np.ndarray  # the state behind an arc
-    failure: np.ndarray  # per state: the state of the next shorter history
-    backoff: np.ndarray  # per state: log10 weight of the failure arc
-
-    def numbers(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place among ``words`` (or -1) and number (or -1) of each token."""
-        at, hit = find(self.words, tokens)
-        place = np.where(hit, at, -1)
-        num = np.where(hit, self.number[at], -1) if len(self.words) else np.full(len(tokens), -1)
-        return place, np.where(tokens == _START, self.start, num)
+    least: float  # count of a kept n-gram
+    discount: float
 
     def word_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.n + self.v + 1.0))
 
-    def walk(self, num: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every token but the starts: the log weights on its way, and whether the empty history was reached."""
-        prev = np.concatenate([[-1], num[:-1]])
-        state = np.where(prev >= 0, prev + 1, 0)  # the one-word history; 0 is the empty one
-        after = np.where(num >= 0, num + 1, 0)
-        at, hit = find(self.arcs, (state.astype(np.uint64) << np.uint64(32)) | num.astype(np.uint64))
-        hit &= (state > 0) & (num >= 0) & (num != self.start)
-        after = np.where(hit, self.target[at] if len(self.target) else 0, after)
-        state = np.concatenate([[0], after[:-1]])  # the longest known history of each token
-        total, left = np.zeros(len(num)), np.flatnonzero(num != self.start)
-        root = np.zeros(len(num), bool)
-        while len(left):
-            s = state[left]
-            empty = s == 0
-            root[left[empty]] = True
-            left, s = left[~empty], s[~empty]
-            at, hit = find(self.arcs, (s.astype(np.uint64) << np.uint64(32)) | num[left].astype(np.uint64))
-            hit &= num[left] >= 0
-            total[left[hit]] += self.weight[at[hit]]
-            left, s = left[~hit], s[~hit]
-            total[left] += self.backoff[s]
-            state[left] = self.failure[s]
-        return total, root
-
-
-def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT) -> tuple[Automaton, DataFrame]:
-    """The automaton of the texts of ``docs``, and the counts of all words (h, c); all words of kept n-grams travel along."""
-    word_share = min(word_share, gram_share)
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    bounded_batches(spark)
-    counts = count_keys(docs, lambda t: t[t != _START]).checkpoint()
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.where(F.col("c") >= word_share * n).toPandas()  # at most 1 / word_share rows
-    h = head["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    h, c = h[order], head["c"].to_numpy(np.int64)[order]
-    frequent = np.flatnonzero(c >= max(gram_share * n, 1))
-    number = np.full(len(h), -1)
-    number[frequent] = np.arange(len(frequent))
-    start = len(frequent)
-    texts = int(c[find(h, np.array([_END]))[0][0]]) if len(h) and (h == _END).any() else 0
-    of_word = np.concatenate([c[frequent], [texts]]).astype(float)
-    none = np.zeros(0, np.uint64)
-    model = Automaton(word_share, n, v, h, c, number, start, none, np.zeros(0), np.zeros(0, int), np.zeros(start + 2, int), np.zeros(start + 2))
-
-    def kept(keys_of):
-        shared = spark.sparkContext.broadcast(model)
-        rows = count_keys(docs, lambda t: keys_of(shared.value, shared.value.numbers(t)[1])).where(F.col("c") >= max(gram_share * n, 1)).toPandas()
-        k = rows["h"].to_numpy(np.int64).view(np.uint64)
-        by_key = np.argsort(k)
-        return k[by_key], rows["c"].to_numpy(float)[by_key]
-
-    def pairs(m: Automaton, num: np.ndarray) -> np.ndarray:
-        a, b = num[:-1], num[1:]
-        ok = (a >= 0) & (b >= 0) & (b != m.start)
-        return ((a[ok] + 1).astype(np.uint64) << np.uint64(32)) | b[ok].astype(np.uint64)
-
-    def triples(m: Automaton, num: np.ndarray) -> np.ndarray:
-        # both bigrams of a kept trigram are kept: the first is the state, the second must have an arc
-        a, b = num[:-1], num[1:]
-        at, hit = find(m.arcs, ((a + 1).astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-        hit &= (a >= 0) & (b >= 0) & (b != m.start)
-        state = np.where(hit, m.target[at], 0) if len(m.target) else np.zeros(len(a), int)
-        ok = hit[1:] & hit[:-1]
-        return (state[:-1][ok].astype(np.uint64) << np.uint64(32)) | b[1:][ok].astype(np.uint64)
-
-    two, c2 = kept(pairs)
-    u, w = (two >> np.uint64(32)).astype(int) - 1, (two & np.uint64(0xFFFFFFFF)).astype(int)
-    share2 = (c2 - discount) / of_word[u] if len(u) else c2
-    left = 1.0 - np.bincount(u, weights=share2, minlength=start + 1)
-    unigram = 10 ** model.word_log(c[frequent]) if len(frequent) else np.zeros(0)
-    p2 = share2 + left[u] * unigram[w] if len(u) else c2
-    model.arcs, model.weight, model.target = two, np.log10(p2), start + 2 + np.arange(len(two))
-    states = start + 2 + len(two)
-    model.failure = np.concatenate([np.zeros(start + 2, int), w + 1])
-    back = np.concatenate([[1.0], left, np.ones(len(two))])
-    model.backoff = np.log10(back)
-    if len(two):
-        three, c3 = kept(triples)
-        s, x = (three >> np.uint64(32)).astype(int), (three & np.uint64(0xFFFFFFFF)).astype(int)
-        share3 = (c3 - discount) / c2[s - start - 2]
-        left3 = 1.0 - np.bincount(s, weights=share3, minlength=states)
-        lower, _ = find(two, ((model.failure[s].astype(np.uint64)) << np.uint64(32)) | x.astype(np.uint64))
-        p3 = share3 + left3[s] * p2[lower]
-        back[start + 2 :] = left3[start + 2 :]
-        model.backoff = np.log10(np.maximum(back, 1e-12))
-        model.arcs = np.concatenate([two, three])  # three's states are numbered behind two's
-        model.weight = np.concatenate([model.weight, np.log10(p3)])
-        model.target = np.concatenate([model.target, model.target[lower]])
-    return model, counts
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
+    def left(self, count: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """What the kept followers leave of a kept history: the weight of its failure arc."""
+        rest = 1.0 - (mass - self.discount * kinds) / np.maximum(count, 1)
+        return np.where(count >= self.least, np.maximum(rest, 1e-12), 1.0)
+
+    def walk(self, b: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token: whether it is known, its word's log10 probability, and the log10 weights on its way."""
+        c1, _, kinds1, mass1 = _answered(answers, 1)
+        c2, _, kinds2, mass2 = _answered(answers, 2)
+        c3, _, _, _ = _answered(answers, 3)
+        total, places = np.zeros(len(b.real)), np.flatnonzero(b.real)
+        w, p = b.at[1], b.at[2]
+        word = np.where(b.real, self.word_log(c1[w]), 0.0)
+        left1, left2 = self.left(c1, kinds1, mass1), self.left(c2, kinds2, mass2)
+        h = w[places - 1]
+        arc = c2[p[places]]
+        low = left1[h] * 10 ** word[places]
+        prob = np.where(arc >= self.least, (arc - self.discount) / np.maximum(c1[h], 1) + low, low)
+        long = np.flatnonzero(b.real[places - 1])  # those with a bigram as their history
+        arc, h = c3[b.at[3][places[long]]], p[places[long] - 1]
+        low = left2[h] * prob[long]
+        prob[long] = np.where(arc >= self.least, (arc - self.discount) / np.maximum(c2[h], 1) + low, low)
+        total[places] = np.log10(prob)
+        return b.real & (c1[w] > 0), word, total
+
+
+@dataclass
+class Settings:
+    gram_share: float
+    discount: float
+
+
+def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT) -> tuple[Settings, DataFrame]:
+    """What ``score`` needs of the texts of ``docs``: the settings, and the texts in blocks.
+
+    ``word_share`` is of no effect any more: no words are sent along, all are looked up.
+    """
+    return Settings(gram_share, discount), coded(docs, F.lit(True), None)
+
+
+def score(docs: DataFrame, model: Settings, learned: DataFrame) -> DataFrame:
     """``docs`` without text, with n_tokens, n_known, train_tokens, base_score and score (columns of those names are replaced)."""
-    spark = docs.sparkSession
     docs = without(docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    known_, base_, score_, rare_, row_, log_, seen_ = (fresh(docs, f"_{c}") for c in ("known", "base", "score", "rare", "row", "log", "seen"))
-    ensure_checkpoint_dir(spark)
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most 1 / WORD_SHARE words and 2 / GRAM_SHARE arcs
     names = [c for c in docs.columns if c != "text"]
+    texts = coded(docs, F.lit(False), names)
+    return _scored(texts.unionByName(learned, allowMissingColumns=True), [docs.schema[c] for c in names], model)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+
+def _scored(texts: DataFrame, fields: list, model: Settings) -> DataFrame:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i0, i1, tokens, begin in _token_blocks(batch):
-                place, num = m.numbers(tokens)
-                total, root = m.walk(num)
-                real = tokens != _START
-                known = real & (place >= 0)
-                base = np.zeros(len(tokens))
-                base[known] = m.word_log(m.counts[place[known]])
-                add = lambda x: np.add.reduceat(x, begin[:-1]) if i1 > i0 else x[:0]  # noqa: E731, B023
-                rare = np.flatnonzero(real & (place < 0))
-                row = np.searchsorted(begin, rare, side="right") - 1
-                rare_offs = pa.array(np.searchsorted(row, np.arange(i1 - i0 + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(i0, i1 - i0) for c in names),
-                        pa.array(np.diff(begin) - 1), pa.array(add(known.astype(np.int64))), pa.array(add(base)),
-                        pa.array(add(total + np.where(root, base, 0.0))),
-                        pa.ListArray.from_arrays(rare_offs, pa.array(tokens[rare].view(np.int64))),
-                    ],
-                    names=[*names, "n_tokens", known_, base_, score_, rare_],
-                )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    rows = docs.mapInArrow(scan, f"{fields}, n_tokens long, `{known_}` long, `{base_}` double, `{score_}` double, `{rare_}` array<long>")
-    rows = rows.withColumn(row_, F.monotonically_increasing_id()).checkpoint()
-    rare = rows.select(F.col(row_).alias("r"), F.explode(rare_).alias("h")).groupBy("r", "h").agg(F.count("*").alias("k"))
-    rare = rare.join(counts.where(F.col("c") < model.share * model.n), "h", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(model.n + model.v + 1.0))
-    sums = rare.groupBy(F.col("r").alias(row_)).agg(F.sum(F.col("k") * log).alias(log_), F.sum(F.when(F.col("c") > 0, F.col("k"))).alias(seen_))
-    out = rows.drop(rare_).join(sums, row_, "left")
-    log = F.coalesce(log_, F.lit(0.0))
-    return out.select(
-        *names, "n_tokens", (F.col(known_) + F.coalesce(seen_, F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col(base_) + log).alias("base_score"), (F.col(score_) + log).alias("score"),
-    )
+            for r in batch.to_pylist():
+                s = _unpack(r["sizes"]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([int(s.sum())]), pa.array([int((s - 1)[_unpack(r["learn"]) > 0].sum())])], names=["n", "learned"])
+
+    all_, n = texts.select("learn", "sizes").mapInArrow(sizes, "n long, learned long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
+    buckets = all_ // _BUCKET + 1
+    least = max(model.gram_share * n, 1)
+    plain = texts.drop("rows")
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                block, b = _block(pa.Table.from_batches([batch.slice(i, 1)]))
+                none = np.zeros(len(b.keys[3]), np.int64)
+                yield from b.asked(3, block, buckets, none, none).to_batches()
+
+    def shorter(level: int):
+        def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            block, b = _block(rows)
+            count, speaks, _, _ = _answered(answers, level + 1)
+            kept = speaks & (count >= least)
+            history = b.history(level + 1)[kept]
+            size = len(b.keys[level])
+            return b.asked(level, block, buckets, np.bincount(history, minlength=size), np.bincount(history, weights=count[kept], minlength=size).astype(np.int64))
+
+        return ask
+
+    def with_answers(rows: DataFrame, answers: DataFrame):
+        return rows.groupBy("block").cogroup(answers.groupBy("block"))
+
+    three = tally(plain.mapInArrow(settled(triples), _ASKED))
+    two = tally(with_answers(plain, three.select("block", "level", "bucket", "count", "kinds", "mass")).applyInArrow(shorter(2), _ASKED))
+    one = tally(with_answers(plain, two.select("block", "level", "bucket", "count", "kinds", "mass")).applyInArrow(shorter(1), _ASKED))
+    v = one.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
+    v -= n > 0  # the start of a text is a history, not a token
+    automaton = Automaton(n, v, least, model.discount)
+    names = [f.name for f in fields]
+
+    def follow(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        _, b = _block(rows)
+        known, word, total = automaton.walk(b, answers)
+        add = lambda x: pa.array(np.add.reduceat(x, b.begin[:-1]))
+        given = rows["rows"].combine_chunks().flatten().flatten()[1:]
+        return pa.Table.from_arrays(
+            [*given, pa.array(b.sizes - 1), add(known.astype(np.int64)), pa.array(np.full(len(b.sizes), n)), add(word), add(total)],
+            names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    answers = three.union(two).union(one).drop("different")
+    asking = answers.where(F.col("block") >= 0)  # the others only count
+    return with_answers(texts.where(F.col("block") >= 0), asking).applyInArrow(follow, kind)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and the scores of every document, learned from those whose crc32(doc_id) mod 7 is not 2."""
     rows = with_crc(docs.select("doc_id", "text"), 7, 2)
-    model, counts = train(rows.where(~F.col("held_out")))
-    return score(rows, model, counts)
+    names = ["doc_id", "held_out"]
+    texts = coded(rows, ~F.col("held_out"), names)
+    return _scored(texts, [rows.schema[c] for c in names], Settings(GRAM_SHARE, DISCOUNT))
