@@ -32,12 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .textblocks import NON_SPACE, blocks, bounded_batches, fresh, mix, settled, text_buffer, with_crc, without, words
+from .textblocks import NON_SPACE, blocks, bounded_batches, fresh, give_back, mix, settled, text_buffer, with_crc, without, words
 
 WORD_SHARE = 0.0
 GRAM_SHARE = 0.0
@@ -47,8 +47,9 @@ _START = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _TRIPLE = np.uint64(0xA0761D6478BD642F)
 _BYTES = 1 << 21  # of texts that are cut into tokens together
-_BLOCK = 1 << 21  # tokens of a block
+_BLOCK = 4_000_000  # tokens of a block
 _BUCKET = 1 << 20  # tokens a bucket
+_STEP = 1 << 19  # tokens that walk together
 _BLOCKS = "block long, learn binary, sizes binary, words binary, codes binary"
 _ASKED = "level int, bucket long, block long, keys binary, k binary, kinds binary, mass binary"
 _ANSWERS = "level int, bucket long, block long, count binary, kinds binary, mass binary, different long"
@@ -137,10 +138,15 @@ def coded(docs: DataFrame, learn, names: list[str] | None) -> DataFrame:
         if held:
             yield flush()
 
-    ensure_checkpoint_dir(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     rows = docs.select("text", learn.alias(fresh(docs, "_learn")), *(names or []))
-    return rows.mapInArrow(settled(scan), _BLOCKS + ("" if names is None else f", rows array<struct<{kind}>>")).checkpoint()
+    return rows.mapInArrow(settled(scan), _BLOCKS + ("" if names is None else f", rows array<struct<{kind}>>"))
+
+
+def n_tokens(docs: DataFrame, learn) -> tuple[int, int]:
+    """The tokens of all texts, and of those that count."""
+    n = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
+    return tuple(docs.select(n.alias("n"), learn.alias("l")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("l"), F.col("n"))), F.lit(0))).first())
 
 
 class Block:
@@ -149,7 +155,7 @@ class Block:
     def __init__(self, learn: bytes, sizes: bytes, known: bytes, codes: bytes):
         self.sizes = _unpack(sizes).astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        words_, code = _unpack_keys(known), _unpack(codes).astype(np.int64)
+        words_, code = _unpack_keys(known), _unpack(codes).astype(np.int32)
         t = words_[code]
         self.real = t != _START
         self.keys, self.at = {1: words_}, {1: code}
@@ -157,13 +163,16 @@ class Block:
         pair = np.flatnonzero(self.real)  # every text has a start, so a pair ends at each other token
         self.keys[2], self.at[2] = self._kinds(pair, mix(t[pair - 1] * _PAIR + t[pair]))
         triple = pair[self.real[pair - 1]]
+        del pair
         self.keys[3], self.at[3] = self._kinds(triple, mix(self.keys[2][self.at[2][triple - 1]] * _TRIPLE + t[triple]))
 
     def _kinds(self, places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kinds, back = np.unique(keys, return_inverse=True)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
         at = np.full(len(self.real), -1, np.int32)
-        at[places] = back
-        return kinds, at
+        at[places[order]] = np.cumsum(new, dtype=np.int32) - 1
+        return keys[new], at
 
     def counts(self, level: int) -> np.ndarray:
         at = self.at[level]
@@ -194,13 +203,37 @@ def _block(rows: pa.Table) -> tuple[int, Block]:
     return row["block"], Block(row["learn"], row["sizes"], row["words"], row["codes"])
 
 
-def _answered(answers: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _answered(answers: pa.Table, level: int, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Count, whether this block speaks for it, different followers and their counts of each of a block's n-grams."""
-    rows = sorted((r for r in answers.to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
-    count, kinds, mass = (np.concatenate([np.zeros(0, np.uint64), *(_unpack(r[c]) for r in rows)]).astype(np.int64) for c in ("count", "kinds", "mass"))
+    rows = sorted(answers.filter(pc.equal(answers["level"], level)).to_pylist(), key=lambda r: r["bucket"])
+    count, kinds, mass = (np.concatenate([np.zeros(0, np.int64), *(_unpack(r[c]).view(np.int64) for r in rows)]) for c in ("count", "kinds", "mass"))
+    if len(count) != len(b.keys[level]):
+        raise RuntimeError("a block was read again with other texts: checkpoint the documents before scoring")
     return count >> 1, (count & 1).astype(bool), kinds, mass
 
 
+def _grouped(f):
+    """``f`` of a group, that gives back its memory."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        try:
+            return f(rows)
+        finally:
+            give_back()
+
+    return run
+
+
+def _cogrouped(f):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        try:
+            return f(rows, answers)
+        finally:
+            give_back()
+
+    return run
+
+
 def tally(asked: DataFrame) -> DataFrame:
     """Per bucket the sums over all blocks, and for each block those of its own n-grams."""
 
@@ -220,7 +253,7 @@ def tally(asked: DataFrame) -> DataFrame:
             "different": pa.array([int((k > 0).sum())] + [0] * (len(lists) - 1), pa.int64()),
         })
 
-    return asked.groupBy("bucket").applyInArrow(add, _ANSWERS).checkpoint()
+    return asked.groupBy("bucket").applyInArrow(_grouped(add), _ANSWERS)
 
 
 @dataclass
@@ -242,29 +275,32 @@ class Automaton:
 
     def walk(self, b: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every token: whether it is known, its word's log10 probability, and the log10 weights on its way."""
-        c1, _, kinds1, mass1 = _answered(answers, 1)
-        c2, _, kinds2, mass2 = _answered(answers, 2)
-        c3, _, _, _ = _answered(answers, 3)
-        total, places = np.zeros(len(b.real)), np.flatnonzero(b.real)
-        w, p = b.at[1], b.at[2]
-        word = np.where(b.real, self.word_log(c1[w]), 0.0)
-        left1, left2 = self.left(c1, kinds1, mass1), self.left(c2, kinds2, mass2)
-        h = w[places - 1]
-        arc = c2[p[places]]
-        low = left1[h] * 10 ** word[places]
-        prob = np.where(arc >= self.least, (arc - self.discount) / np.maximum(c1[h], 1) + low, low)
-        long = np.flatnonzero(b.real[places - 1])  # those with a bigram as their history
-        arc, h = c3[b.at[3][places[long]]], p[places[long] - 1]
-        low = left2[h] * prob[long]
-        prob[long] = np.where(arc >= self.least, (arc - self.discount) / np.maximum(c2[h], 1) + low, low)
-        total[places] = np.log10(prob)
-        return b.real & (c1[w] > 0), word, total
+        c1, _, kinds, mass = _answered(answers, 1, b)
+        left1 = self.left(c1, kinds, mass)
+        c2, _, kinds, mass = _answered(answers, 2, b)
+        left2 = self.left(c2, kinds, mass)
+        c3 = _answered(answers, 3, b)[0]
+        del kinds, mass
+        word, total = np.zeros(len(b.real)), np.zeros(len(b.real))
+        for i in range(0, len(b.real), _STEP):
+            places = i + np.flatnonzero(b.real[i : i + _STEP])
+            w, h, p = b.at[1][places], b.at[1][places - 1], b.at[2][places]
+            word[places] = self.word_log(c1[w])
+            low = left1[h] * 10 ** word[places]
+            prob = np.where(c2[p] >= self.least, (c2[p] - self.discount) / np.maximum(c1[h], 1) + low, low)
+            long = np.flatnonzero(b.real[places - 1])  # those with a bigram as their history
+            arc, h = c3[b.at[3][places[long]]], b.at[2][places[long] - 1]
+            low = left2[h] * prob[long]
+            prob[long] = np.where(arc >= self.least, (arc - self.discount) / np.maximum(c2[h], 1) + low, low)
+            total[places] = np.log10(prob)
+        return b.real & (c1[b.at[1]] > 0), word, total
 
 
 @dataclass
 class Settings:
     gram_share: float
     discount: float
+    tokens: int  # of the training texts
 
 
 def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT) -> tuple[Settings, DataFrame]:
@@ -272,7 +308,7 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = G
 
     ``word_share`` is of no effect any more: no words are sent along, all are looked up.
     """
-    return Settings(gram_share, discount), coded(docs, F.lit(True), None)
+    return Settings(gram_share, discount, n_tokens(docs, F.lit(True))[1]), coded(docs, F.lit(True), None)
 
 
 def score(docs: DataFrame, model: Settings, learned: DataFrame) -> DataFrame:
@@ -280,20 +316,19 @@ def score(docs: DataFrame, model: Settings, learned: DataFrame) -> DataFrame:
     docs = without(docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     names = [c for c in docs.columns if c != "text"]
     texts = coded(docs, F.lit(False), names)
-    return _scored(texts.unionByName(learned, allowMissingColumns=True), [docs.schema[c] for c in names], model)
+    size = model.tokens + n_tokens(docs, F.lit(False))[0]
+    return _scored(texts.unionByName(learned, allowMissingColumns=True), [docs.schema[c] for c in names], model, size)
 
 
-def _scored(texts: DataFrame, fields: list, model: Settings) -> DataFrame:
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                s = _unpack(r["sizes"]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(s.sum())]), pa.array([int((s - 1)[_unpack(r["learn"]) > 0].sum())])], names=["n", "learned"])
+def _scored(texts: DataFrame, fields: list, model: Settings, size: int) -> DataFrame:
+    """The rows and scores of the texts of some blocks; ``size``: tokens of all blocks.
 
-    all_, n = texts.select("learn", "sizes").mapInArrow(sizes, "n long, learned long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
-    buckets = all_ // _BUCKET + 1
+    One plan: Spark shuffles the blocks once, and reads that again wherever they meet answers
+    (so all steps have to take the same columns of them).
+    """
+    n, buckets = model.tokens, size // _BUCKET + 1
     least = max(model.gram_share * n, 1)
-    plain = texts.drop("rows")
+    texts = texts.repartition("block")
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,11 +336,13 @@ def _scored(texts: DataFrame, fields: list, model: Settings) -> DataFrame:
                 block, b = _block(pa.Table.from_batches([batch.slice(i, 1)]))
                 none = np.zeros(len(b.keys[3]), np.int64)
                 yield from b.asked(3, block, buckets, none, none).to_batches()
+                del b, none
+                give_back()
 
     def shorter(level: int):
         def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
             block, b = _block(rows)
-            count, speaks, _, _ = _answered(answers, level + 1)
+            count, speaks, _, _ = _answered(answers, level + 1, b)
             kept = speaks & (count >= least)
             history = b.history(level + 1)[kept]
             size = len(b.keys[level])
@@ -316,33 +353,33 @@ def _scored(texts: DataFrame, fields: list, model: Settings) -> DataFrame:
     def with_answers(rows: DataFrame, answers: DataFrame):
         return rows.groupBy("block").cogroup(answers.groupBy("block"))
 
-    three = tally(plain.mapInArrow(settled(triples), _ASKED))
-    two = tally(with_answers(plain, three.select("block", "level", "bucket", "count", "kinds", "mass")).applyInArrow(shorter(2), _ASKED))
-    one = tally(with_answers(plain, two.select("block", "level", "bucket", "count", "kinds", "mass")).applyInArrow(shorter(1), _ASKED))
-    v = one.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
-    v -= n > 0  # the start of a text is a history, not a token
-    automaton = Automaton(n, v, least, model.discount)
+    three = tally(texts.mapInArrow(settled(triples), _ASKED))
+    two = tally(with_answers(texts, three).applyInArrow(_cogrouped(shorter(2)), _ASKED))
+    one = tally(with_answers(texts, two).applyInArrow(_cogrouped(shorter(1)), _ASKED))
+    v = one.agg(F.coalesce(F.sum("different"), F.lit(0)).alias("v"))
     names = [f.name for f in fields]
 
     def follow(rows: pa.Table, answers: pa.Table) -> pa.Table:
         _, b = _block(rows)
+        v = rows["v"][0].as_py() - (n > 0)  # the start of a text is a history, not a token
+        automaton = Automaton(n, v, least, model.discount)
         known, word, total = automaton.walk(b, answers)
-        add = lambda x: pa.array(np.add.reduceat(x, b.begin[:-1]))
-        given = rows["rows"].combine_chunks().flatten().flatten()[1:]
+        some = slice(None) if rows["rows"][0].is_valid else slice(0)
+        add = lambda x: pa.array(np.add.reduceat(x, b.begin[:-1])[some])
+        given = rows["rows"].combine_chunks().flatten().flatten()[1:]  # none, if the block only counts
         return pa.Table.from_arrays(
-            [*given, pa.array(b.sizes - 1), add(known.astype(np.int64)), pa.array(np.full(len(b.sizes), n)), add(word), add(total)],
+            [*given, pa.array((b.sizes - 1)[some]), add(known.astype(np.int64)), pa.array(np.full(len(b.sizes), n)[some]), add(word), add(total)],
             names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    answers = three.union(two).union(one).drop("different")
-    asking = answers.where(F.col("block") >= 0)  # the others only count
-    return with_answers(texts.where(F.col("block") >= 0), asking).applyInArrow(follow, kind)
+    return with_answers(texts.crossJoin(F.broadcast(v)), three.union(two).union(one)).applyInArrow(_cogrouped(follow), kind)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and the scores of every document, learned from those whose crc32(doc_id) mod 7 is not 2."""
     rows = with_crc(docs.select("doc_id", "text"), 7, 2)
     names = ["doc_id", "held_out"]
-    texts = coded(rows, ~F.col("held_out"), names)
-    return _scored(texts, [rows.schema[c] for c in names], Settings(GRAM_SHARE, DISCOUNT))
+    learn = ~F.col("held_out")
+    size, learned = n_tokens(rows, learn)
+    return _scored(coded(rows, learn, names), [rows.schema[c] for c in names], Settings(GRAM_SHARE, DISCOUNT, learned), size)
