@@ -50,7 +50,7 @@ _BYTES = 1 << 21  # of texts that are cut into tokens together
 _BLOCK = 4_000_000  # tokens of a block
 _BUCKET = 1 << 20  # tokens a bucket
 _STEP = 1 << 19  # tokens that walk together
-_BLOCKS = "block long, learn binary, sizes binary, words binary, codes binary"
+_BLOCKS = "block long, learn binary, sizes binary, words binary, order binary, codes binary"
 _ASKED = "level int, bucket long, block long, keys binary, k binary, kinds binary, mass binary"
 _ANSWERS = "level int, bucket long, block long, count binary, kinds binary, mass binary, different long"
 
@@ -77,19 +77,29 @@ def _token_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 as bytes: all lowest bytes, then all next ones, as far as any number has them."""
+    """Whole numbers from 0 as bytes: all lowest bytes, then all next ones, as far as any number has them.
+
+    Each of these runs is compressed by itself, if that helps: random low bytes would spoil the code of the high ones.
+    """
     x = np.ascontiguousarray(x).astype(np.uint64)
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    raw = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    return len(x).to_bytes(8, "little") + bytes([width]) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    out = [len(x).to_bytes(8, "little") + bytes([width])]
+    for i in range(width if len(x) else 0):
+        raw = x.view(np.uint8)[i::8].tobytes()
+        less = pa.compress(raw, codec="zstd", asbytes=True)
+        less = less if len(less) < len(raw) else raw
+        out += [len(less).to_bytes(4, "little"), less]
+    return b"".join(out)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    n, width = int.from_bytes(b[:8], "little"), b[8]
+    n, width, at = int.from_bytes(b[:8], "little"), b[8], 9
     out = np.zeros((n, 8), np.uint8)
-    if n:
-        raw = pa.decompress(b[9:], decompressed_size=n * width, codec="zstd", asbytes=True)
-        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    for i in range(width if n else 0):
+        end = at + 4 + int.from_bytes(b[at : at + 4], "little")
+        raw = b[at + 4 : end]
+        out[:, i] = np.frombuffer(raw if len(raw) == n else pa.decompress(raw, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+        at = end
     return out.view(np.uint64).ravel()
 
 
@@ -115,13 +125,16 @@ def coded(docs: DataFrame, learn, names: list[str] | None) -> DataFrame:
             tokens = np.concatenate([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
             learned = pa.concat_arrays([h[2] for h in held])
-            known, code = np.unique(tokens, return_inverse=True)
+            known, code, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small codes, which pack well
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
             block = (part << 32) + n
             row = [
                 pa.array([block if names is not None else -1 - block]), *(pa.array([x], pa.binary()) for x in (
-                    _pack(learned.to_numpy(zero_copy_only=False)), _pack(sizes), _pack_keys(known), _pack(code))),
+                    _pack(learned.to_numpy(zero_copy_only=False)), _pack(sizes), _pack_keys(known), _pack(order), _pack(rank[code]))),
             ]
-            columns = ["block", "learn", "sizes", "words", "codes"]
+            columns = ["block", "learn", "sizes", "words", "order", "codes"]
             if names is not None:
                 struct = pa.StructArray.from_arrays([learned, *(pa.concat_arrays([h[3][i] for h in held]) for i in range(len(names)))], ["_", *(f"_{i}" for i in range(len(names)))])
                 row.append(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), struct))
@@ -152,10 +165,10 @@ def n_tokens(docs: DataFrame, learn) -> tuple[int, int]:
 class Block:
     """A block's words, bigrams and trigrams (ascending hashes), and for every position which one ends there (-1: none)."""
 
-    def __init__(self, learn: bytes, sizes: bytes, known: bytes, codes: bytes):
+    def __init__(self, learn: bytes, sizes: bytes, known: bytes, order: bytes, codes: bytes):
         self.sizes = _unpack(sizes).astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        words_, code = _unpack_keys(known), _unpack(codes).astype(np.int32)
+        words_, code = _unpack_keys(known), _unpack(order).astype(np.int32)[_unpack(codes).view(np.int64)]
         t = words_[code]
         self.real = t != _START
         self.keys, self.at = {1: words_}, {1: code}
@@ -199,8 +212,8 @@ class Block:
 
 
 def _block(rows: pa.Table) -> tuple[int, Block]:
-    (row,) = rows.select(["block", "learn", "sizes", "words", "codes"]).to_pylist()
-    return row["block"], Block(row["learn"], row["sizes"], row["words"], row["codes"])
+    (row,) = rows.select(["block", "learn", "sizes", "words", "order", "codes"]).to_pylist()
+    return row["block"], Block(row["learn"], row["sizes"], row["words"], row["order"], row["codes"])
 
 
 def _answered(answers: pa.Table, level: int, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -324,7 +337,8 @@ def _scored(texts: DataFrame, fields: list, model: Settings, size: int) -> DataF
     """The rows and scores of the texts of some blocks; ``size``: tokens of all blocks.
 
     One plan: Spark shuffles the blocks once, and reads that again wherever they meet answers
-    (so all steps have to take the same columns of them).
+    (so all steps have to take the same columns of them). The answers go to their blocks once as well,
+    for the next shorter n-grams and for the scores.
     """
     n, buckets = model.tokens, size // _BUCKET + 1
     least = max(model.gram_share * n, 1)
@@ -353,9 +367,9 @@ def _scored(texts: DataFrame, fields: list, model: Settings, size: int) -> DataF
     def with_answers(rows: DataFrame, answers: DataFrame):
         return rows.groupBy("block").cogroup(answers.groupBy("block"))
 
-    three = tally(texts.mapInArrow(settled(triples), _ASKED))
-    two = tally(with_answers(texts, three).applyInArrow(_cogrouped(shorter(2)), _ASKED))
-    one = tally(with_answers(texts, two).applyInArrow(_cogrouped(shorter(1)), _ASKED))
+    three = tally(texts.mapInArrow(settled(triples), _ASKED)).repartition("block")
+    two = tally(with_answers(texts, three).applyInArrow(_cogrouped(shorter(2)), _ASKED)).repartition("block")
+    one = tally(with_answers(texts, two).applyInArrow(_cogrouped(shorter(1)), _ASKED)).repartition("block")
     v = one.agg(F.coalesce(F.sum("different"), F.lit(0)).alias("v"))
     names = [f.name for f in fields]
 
