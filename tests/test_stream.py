@@ -269,3 +269,46 @@ def test_a_users_late_pools_share_one_timer():
     assert len(out) == 8 and len(p.pools) == 8 and len(p.handle.timers) == 1
     (out,) = p.handleInputRows((1,), iter([events(days[2:3], minutes=10, first=50)]), None)
     assert out["daily_xp_before"].tolist() == [10] and len(p.handle.timers) == 1
+
+
+def test_users_folded_together_equal_users_folded_alone(spark):
+    """Several micro-batches with late rows, cap boundaries crossed within a day, and users that come and go."""
+    import numpy as np
+
+    users, pools, states = np.zeros((0, 7), np.int64), {}, {}
+    caps = set()
+    for rows in random_batches(7, hot=600):
+        rows = rows + [(u, 10**6 + 1000 * rows[0][1] + i, rows[0][2], 60 * (u % 24), 480) for i, u in enumerate(range(50, 90, 1 + len(rows) % 3))]
+        base = F.col("duration_minutes").cast("double") * F.col("intensity_mult") * F.col("relevance_mult")
+        df = A.with_relevance(activity_rows(spark, rows)).select("user_id", "event_id", "ts", "day", "build", base.alias("base")).toPandas()
+        got, users, touched = LE.fold_users(df, users, pools)
+        pools |= touched
+        want = []
+        for u, part in df.groupby("user_id"):
+            one, states[u] = US.fold_events(part, states.get(u), keep=None)
+            want.append(one)
+        got, want = (x.sort_values("event_id", ignore_index=True) for x in (got, pd.concat(want)))
+        pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False)
+        caps |= set(got["daily_cap"])
+    assert caps == {c for _, c in K.DAILY_CAP_TIERS}
+    assert [tuple(r) for r in users.tolist()] == [(u, *states[u][:6]) for u in sorted(states)]
+    assert {(u, d): x for d, rows in pools.items() for u, x in rows.tolist()} == {(u, d): x for u, s in states.items() for d, x in zip(s[6], s[7])}
+
+
+def test_late_events_of_many_users_are_one_group_a_bucket(spark):
+    """The state operator has one row for the users of a bucket and one a day, however many users there are; null is a user too."""
+    batches = random_batches(3, hot=40)[:2]
+    batches[1] += [(u, 5000 + u, 15, 30, 240) for u in range(100, 140)]
+    root = US._scratch(spark, "test-buckets")
+    got = {}
+    for rows in batches:
+        log = activity_rows(spark, rows).withColumn("user_id", F.nullif("user_id", F.lit(3)))
+        log.write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/src")
+        US.finish(LE.late_user_state(stream, "40 days", buckets=2).writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").trigger(availableNow=True).start())
+    kept = spark.read.format("statestore").option("stateVarName", "user").load(f"{root}/cp")
+    assert kept.count() <= 2
+    for r in spark.read.parquet(f"{root}/out").collect():
+        got[r["event_id"]] = tuple(r[c] for c in ("final_xp", "daily_xp_before", "daily_xp_after", "daily_cap", "current_streak", "longest_streak", "shield_used", "streak_broken", "shields_remaining", "total_xp_before", "total_xp_after"))
+        assert (r["user_id"] is None) == (r["event_id"] in {row[1] for rows in batches for row in rows if row[0] == 3})
+    assert got == folded(spark, batches)
